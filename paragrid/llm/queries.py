@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paragrid.llm import line_dedup, packing, quality_rules, simhash, url_filter, warc
+from paragrid.llm import decontamination, line_dedup, packing, quality_rules, simhash, url_filter, warc
 from paragrid.llm.sql import HOST_QUALITY_SQL, LINE_DEDUP_SQL, URL_FILTER_SQL
 
 
@@ -39,11 +39,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.col("__l_lines").alias("n_lines"), F.col("__l_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "source", "text").select("doc_id", "source", "text"))
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     m = F.col("__q_m")
     return judged.select("doc_id", *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], quality_rules.base_failed(m).alias("base_failed"), F.col("__q_kept").alias("kept"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_warc": op4_warc, "op6_best_fit_packing": op6_best_fit_packing, "op7_url_filter": op7_url_filter, "op8_line_dedup": op8_line_dedup, "op10_host_quality": op10_host_quality}
+QUERIES = {"op1_simhash": op1_simhash, "op4_warc": op4_warc, "op6_best_fit_packing": op6_best_fit_packing, "op7_url_filter": op7_url_filter, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_host_quality": op10_host_quality}
 ORACLES = {"op7_url_filter": URL_FILTER_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op10_host_quality": HOST_QUALITY_SQL}
