@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paragrid.llm import decontamination, line_dedup, packing, quality_rules, simhash, url_filter, warc
+from paragrid.llm import decontamination, line_dedup, lm_scoring, packing, quality_rules, simhash, url_filter, warc
 from paragrid.llm.sql import HOST_QUALITY_SQL, LINE_DEDUP_SQL, URL_FILTER_SQL
 
 
@@ -22,6 +22,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,5 +53,5 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], quality_rules.base_failed(m).alias("base_failed"), F.col("__q_kept").alias("kept"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op4_warc": op4_warc, "op6_best_fit_packing": op6_best_fit_packing, "op7_url_filter": op7_url_filter, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_host_quality": op10_host_quality}
+QUERIES = {"op1_simhash": op1_simhash, "op4_warc": op4_warc, "op5_lm_scoring": op5_lm_scoring, "op6_best_fit_packing": op6_best_fit_packing, "op7_url_filter": op7_url_filter, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_host_quality": op10_host_quality}
 ORACLES = {"op7_url_filter": URL_FILTER_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op10_host_quality": HOST_QUALITY_SQL}
