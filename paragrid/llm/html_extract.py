@@ -264,7 +264,7 @@ class Model:
 
 _CLASSES = {
     "article": ["article", "post", "entry", "story", "content", "main content", "post body", "entry content", "article body", "text", "page content", "blog post", "news", "single post", "main", "main", "body", "content area", "primary"],
-    "nav": ["nav", "menu", "navbar", "navigation", "main menu", "breadcrumb", "topnav", "links", "pagination", "toc menu", "skip links"],
+    "nav": ["nav", "menu", "navbar", "navigation", "menu bar", "breadcrumb", "topnav", "links", "pagination", "toc menu", "skip links"],
     "header": ["header", "site header", "masthead", "top", "banner", "logo bar", "page header", "branding"],
     "footer": ["footer", "site footer", "bottom", "copyright", "colophon", "legal footer", "foot"],
     "side": ["sidebar", "side", "widget", "related", "recommended", "popular posts", "aside", "trending", "more stories", "tags widget", "rail", "teaser"],

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paragrid.llm import decontamination, html_extract, line_dedup, lm_scoring, packing, quality_rules, simhash, url_filter, warc
+from paragrid.llm import decontamination, html_extract, line_dedup, lm_scoring, packing, quality_rules, simhash, suffix_dedup, url_filter, warc
 from paragrid.llm.sql import HOST_QUALITY_SQL, LINE_DEDUP_SQL, URL_FILTER_SQL
 
 
@@ -18,6 +18,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
@@ -57,5 +61,5 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], quality_rules.base_failed(m).alias("base_failed"), F.col("__q_kept").alias("kept"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_html_text": op3_html_text, "op4_warc": op4_warc, "op5_lm_scoring": op5_lm_scoring, "op6_best_fit_packing": op6_best_fit_packing, "op7_url_filter": op7_url_filter, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_host_quality": op10_host_quality}
+QUERIES = {"op1_simhash": op1_simhash, "op2_suffix_dedup": op2_suffix_dedup, "op3_html_text": op3_html_text, "op4_warc": op4_warc, "op5_lm_scoring": op5_lm_scoring, "op6_best_fit_packing": op6_best_fit_packing, "op7_url_filter": op7_url_filter, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_host_quality": op10_host_quality}
 ORACLES = {"op7_url_filter": URL_FILTER_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op10_host_quality": HOST_QUALITY_SQL}
