@@ -26,7 +26,7 @@ def paragraph_records(spark: SparkSession, path: str) -> DataFrame:
 
 def markdown_rows(spark: SparkSession, path: str) -> DataFrame:
     """file, line, cells of each row of the markdown tables in a folder, without delimiter rows; \\| is a literal bar."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     rows = lines.where(F.col("value").rlike(r"^\s*\|")).where(~F.col("value").rlike(r"^\s*\|[\s:|-]+\|?\s*$"))
     body = F.regexp_replace(F.trim("value"), r"^\||(?<!\\)\|$", "")
     return rows.select("file", (F.col("line") + 1).alias("line"), F.transform(F.split(body, r"(?<!\\)\|"), lambda c: F.trim(F.regexp_replace(c, r"\\\|", "|"))).alias("cells"))
@@ -42,7 +42,7 @@ def table_faults(spark: SparkSession, path: str) -> DataFrame:
     """file, table, line, fault of markdown tables: no delimiter row, a lone row, or a width that differs from the header's."""
     from pyspark.sql import Window
 
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     at = Window.partitionBy("file").orderBy("line")
     marked = lines.withColumn("bar", F.col("value").rlike(r"^\s*\|"))
     grouped = marked.withColumn("table", F.sum(F.when(F.col("bar") & ~F.coalesce(F.lag("bar").over(at), F.lit(False)), 1).otherwise(0)).over(at)).where("bar")
