@@ -174,7 +174,7 @@ def parse(source: str) -> Page:
 
 def features(node: Node) -> list[str]:
     links = node.linked / node.chars if node.chars else 0.0
-    found = [f"tag {node.tag}", f"links {0 if links < 0.05 else 1 if links < 0.35 else 2 if links < 0.75 else 3}", f"chars {min(6, int(math.log2(1 + node.chars) / 2))}"]
+    found = [f"tag {node.tag}", f"links {0 if links < 0.05 else 1 if links < 0.35 else 2 if links < 0.75 else 3}", f"chars {min(5, int(math.log2(1 + node.chars) / 2))}"]
     return found + [f"word {w}" for w in set(node.words)]
 
 
@@ -302,7 +302,8 @@ def _page(r: random.Random) -> str:
         kind = r.random()
         if kind < 0.62:
             a = f' <a href="/x">{words(1, 3)}</a> {words(2, 9)}' if r.random() < 0.2 else ""
-            return f"<p>{words(1, 90) if r.random() < 0.7 else words(1, 6)}{a}</p>"
+            long = r.random()
+            return f"<p>{words(1, 90) if long < 0.67 else words(300, 900) if long < 0.7 else words(1, 6)}{a}</p>"
         if kind < 0.72:
             return f"<h{r.randint(2, 4)}>{words(1, 8)}</h{r.randint(2, 4)}>"
         if kind < 0.80:

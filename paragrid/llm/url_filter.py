@@ -61,14 +61,14 @@ def domain_of(host: Column) -> Column:
 def _with_rate(groups: DataFrame, prior: DataFrame | None, on: str | None, z: float = 0.0) -> DataFrame:
     """Adds ``rate`` (posterior mean) and ``low`` (its lower bound) to groups of (n, bad), given the level above."""
     if prior is None:
-        mean = F.coalesce(F.sum("bad") / F.sum("n"), F.lit(0.0))
+        mean = F.coalesce(F.try_divide(F.sum("bad"), F.sum("n")), F.lit(0.0))
         top = groups.agg(mean.alias("mean"))
         groups = groups.crossJoin(F.broadcast(top))  # one row
     else:
         groups = groups.join(prior.select(on, F.col("rate").alias("mean")), on)
-    total, spread = F.sum("n"), F.sum(F.when(F.col("n") > 0, F.pow(F.col("bad") - F.col("n") * F.col("mean"), 2) / F.col("n")).otherwise(0.0))
+    total, spread = F.sum("n"), F.sum(F.when(F.col("n") > 0, F.try_divide(F.pow(F.col("bad") - F.col("n") * F.col("mean"), 2), F.col("n"))).otherwise(0.0))
     inside, at = F.sum(F.when(F.col("n") > 0, F.col("mean") * (1 - F.col("mean"))).otherwise(0.0)), F.sum(F.col("n") * F.col("mean") * (1 - F.col("mean")))
-    strength = groups.agg(F.coalesce(F.greatest(F.lit(1.0), F.least(F.lit(1000.0), at / F.greatest(spread - inside, 1e-6 * total) - 1)), F.lit(1.0)).alias("k"))
+    strength = groups.agg(F.coalesce(F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.try_divide(at, F.greatest(spread - inside, 1e-6 * total)) - 1)), F.lit(1.0)).alias("k"))
     alpha, total = F.col("bad") + F.col("k") * F.col("mean"), F.col("n") + F.col("k")
     rate = alpha / total
     return groups.crossJoin(F.broadcast(strength)).withColumn("rate", rate).withColumn("low", F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (total + 1))).drop("mean", "k")
