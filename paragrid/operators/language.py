@@ -8,19 +8,37 @@ from pyspark.sql import functions as F
 from paragrid.functions.rules import ALLOWED_CONTEXTS, DETECTION_WORDS, REMNANT_MARKERS, SUBSTRING_LANGUAGES
 
 
-def score(text: Column, language: str, found: list[str]) -> Column:
-    """How often the words of a language stand in a text: one alternation each, counted once per word."""
+def _words(text: Column) -> Column:
+    return F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}\p{Pc}]+")
+
+
+def score(text: Column, words: Column, language: str, found: list[str]) -> Column:
+    """How often the words of a language stand in a text; words: the text's words that any language has. Phrases and
+    languages without blanks are looked for in the text itself."""
     if language in SUBSTRING_LANGUAGES:
         return sum((F.regexp_count(text, F.lit(w)) for w in found[1:]), F.regexp_count(text, F.lit(found[0])))
-    return F.regexp_count(text, F.lit(r"(?iU)\b(?:" + "|".join(sorted(found, key=len, reverse=True)) + r")\b"))
+    single = [w.lower() for w in found if " " not in w]
+    n = F.size(F.filter(words, lambda w: w.isin(single)))
+    for phrase in (w for w in found if " " in w):
+        hit = F.lower(text).contains(phrase.split(" ")[0])
+        n = n + F.when(hit, F.regexp_count(text, F.lit(r"(?iU)\b" + phrase.replace(" ", r"\s+") + r"\b"))).otherwise(0)
+    return n
 
 
 def detect(text: Column, least: int = 5, default: str | None = None, table=None) -> Column:
-    """The language with most hits (the first in the table of equals), if there are enough."""
+    """The language with most hits (the first in the table of equals), if there are enough.
+
+    The text is split once; the words that no language has go before the languages are counted."""
     table = table or DETECTION_WORDS
-    scores = [F.struct(score(text, lang, found).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, found) in enumerate(table)]
-    best = F.greatest(*scores)
-    return F.when(best["n"] >= least, best["lang"]).otherwise(F.lit(default))
+    known = sorted({w.lower() for lang, found in table if lang not in SUBSTRING_LANGUAGES for w in found if " " not in w})
+    few = F.array(F.filter(_words(text), lambda w: w.isin(known)))
+
+    def best(words: Column) -> Column:
+        scores = [F.struct(score(text, words, lang, found).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, found) in enumerate(table)]
+        return F.greatest(*scores)
+
+    top = F.transform(few, best)[0]
+    return F.transform(F.array(top), lambda t: F.when(t["n"] >= least, t["lang"]).otherwise(F.lit(default)))[0]
 
 
 def remnants(entries: DataFrame, language: Column, text: str = "text", allowed: list[str] = ALLOWED_CONTEXTS, markers=REMNANT_MARKERS) -> DataFrame:

@@ -27,7 +27,8 @@ def terminology(t: Column) -> Column:
 
 def spelling(to: str) -> Callable[[Column], Column]:
     pairs = SPELLINGS if to == "uk" else [(b, a) for a, b in SPELLINGS]
-    return lambda t: replace_all(t, [(rf"(?U)\b{a}\b", b) for a, b in pairs])
+    any_of = r"(?U)\b(?:" + "|".join(a for a, _ in pairs) + r")\b"
+    return lambda t: F.when(F.regexp_like(t, F.lit(any_of)), replace_all(t, [(rf"(?U)\b{a}\b", b) for a, b in pairs])).otherwise(t)
 
 
 def annexes(t: Column) -> Column:

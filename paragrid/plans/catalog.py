@@ -22,5 +22,16 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+#: Tables whose rows take long enough to be worth dealing over all cores when their files can't be split.
+HEAVY = {"documents", "conversations", "pages"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores where its files give fewer; large tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in HEAVY else found
