@@ -100,7 +100,7 @@ def _line_counts(batches):
     """(block, line hash, documents) of what a task holds, a block at a time."""
     found: dict[int, Counter] = {}
     for batch in batches:
-        for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for block, text in zip(batch.column("__l_block").to_pylist(), batch.column("__l_text").to_pylist()):
             keys = {k for x in text.split(b"\n") if (k := line_key(x))}
             found.setdefault(block, Counter()).update(keys_of(keys))
     for block, counter in found.items():
@@ -115,8 +115,10 @@ def keys_of(keys: set[bytes]) -> set[int]:
 
 
 def common_lines(blocked: DataFrame, shards: int, min_docs: int) -> DataFrame:
-    """(__l_block, h): for each block, the hashes of its lines that min_docs documents hold."""
-    counts = blocked.select("__l_block", "__l_text").mapInArrow(_line_counts, "block int, h long, n long")
+    """(__l_block, h): for each block, the hashes of its lines that min_docs documents hold.
+
+    All columns of blocked go in, so that the shuffle of the blocks serves this step and the rewriting."""
+    counts = blocked.mapInArrow(_line_counts, "block int, h long, n long")
 
     def shard(table: pa.Table) -> pa.Table:
         h = table.column("h").to_numpy().view(np.uint64)
