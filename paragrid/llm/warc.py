@@ -1,6 +1,6 @@
 """WARC archives: writing records with continuation segments, and reassembling them on reading.
 
-Writing: pages with equal payloads share one response, that of the largest page id; the others become revisit
+Writing: archives are gzip files; pages with equal payloads share one response, that of the largest page id; the others become revisit
 records. A response's block is an HTTP head and the payload in chunked transfer framing. A block longer than
 ``segment_bytes`` is split: the first segment is the response record, the rest are continuation records that name
 it by WARC-Segment-Origin-ID, the last of them with WARC-Segment-Total-Length. Archives are written through
@@ -18,6 +18,7 @@ Null URLs stay out of the record. An empty table gives an empty archive and resu
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -124,7 +125,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     made = map_batches(told, run, "value binary").select(F.col("value").cast("string"))
-    made.write.option("lineSep", END.decode()).option("maxRecordsPerFile", file_records).text(path)
+    made.write.option("lineSep", END.decode()).option("maxRecordsPerFile", file_records).option("compression", "gzip").text(path)
 
 
 _PART = "page_id string, kind string, payload_bytes long, payload_digest string, refers_to string, origin string, segment int, total long, block binary"
@@ -133,7 +134,8 @@ _PART = "page_id string, kind string, payload_bytes long, payload_digest string,
 def _parts(batch: pa.RecordBatch) -> pa.RecordBatch:
     rows = []
     for archive in batch.column(0):
-        for h, block in parse(archive.as_py()):
+        content = archive.as_py()
+        for h, block in parse(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
             kind, digest = h["warc-type"], h.get("warc-payload-digest", "")
             page, number = h.get("warc-page-id"), h.get("warc-segment-number")
             if kind == "revisit":
