@@ -11,7 +11,9 @@ from paragrid.llm.sql import HOST_QUALITY_SQL, LINE_DEDUP_SQL, URL_FILTER_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; where its files give fewer partitions than there are cores, it is dealt over all of them."""
+    found, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return found.repartition(cores) if name in ("documents", "pages") and found.rdd.getNumPartitions() < cores else found
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
