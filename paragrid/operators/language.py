@@ -55,3 +55,15 @@ def remnants(entries: DataFrame, language: Column, text: str = "text", allowed:
         hits = F.when(F.col("lang") == lang, F.filter(each, lambda h: h["n"] > 0)).otherwise(hits)
     unknown = F.array(F.struct(F.lit(None).cast("string").alias("marker"), F.lit(0).alias("n")))
     return made.withColumn("__hits", F.when(F.col("lang").isin(known), hits).otherwise(unknown)).select(*entries.columns, "lang", F.inline("__hits"))
+
+
+# Letters that hint at a language where no phrase does.
+LETTERS = {"finnish": "äöå", "hungarian": "őűáéíóú", "polish": "ąćęłńóśźż", "portuguese": "ãõçâêôáéíóú", "spanish": "ñ¿¡áéíóú", "german": "äöüß", "french": "çœ"}
+
+
+def guess(text: Column, least: int = 5) -> Column:
+    """The policy for phrase rules: Japanese and Chinese by script, then the detected language, then the language with most
+    letters of its own, else ``*``, which lets all rules apply."""
+    letters = F.greatest(*[F.struct(F.regexp_count(F.lower(text), F.lit(f"[{c}]")).alias("n"), F.lit(-k).alias("k"), F.lit(lang).alias("lang")) for k, (lang, c) in enumerate(LETTERS.items())])
+    by_letters = F.when(letters["n"] >= least, letters["lang"]).otherwise("*")
+    return F.when(text.rlike("[\\u3040-\\u30ff]"), "japanese").when(text.rlike("[\\u4e00-\\u9fff]"), "chinese").otherwise(F.coalesce(detect(text, least), by_letters))
