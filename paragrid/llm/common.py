@@ -28,7 +28,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a frame as Parquet in the shared folder and reads it back, which cuts its lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._written_to = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialized frame that no later step reads."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_bytes(column: str):

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paragrid.llm.common import materialize, text_bytes
+from paragrid.llm.common import discard, materialize, text_bytes
 
 WINDOW, GRAM = 200, 32
 _PLACE = np.uint64((1 << 24) - 1)
@@ -305,8 +305,10 @@ def _window_hashes(window: int):
     return run
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark clear the shuffles of finished steps, whose results are in the shared folder."""
+def _release(spark: SparkSession, *done: DataFrame) -> None:
+    """Deletes tables that no later step reads, and lets Spark clear the shuffles of finished steps."""
+    for df in done:
+        discard(df)
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -317,7 +319,7 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW, group_limit: int = 2
     found = materialize(anchors(texts, window), "anchors")
     again = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "again")
     members = materialize(found.join(again, "h"), "members")
-    _release(spark)
+    _release(spark, found, again)
 
     place = F.struct("key", "p")
     classes = members.groupBy("h", "s").agg((F.min(place) != F.max(place)).alias("twice"), F.min(F.struct("key", "p", "id", "more", "lead")).alias("c"))
@@ -338,12 +340,14 @@ def repeated_ranges(texts: DataFrame, window: int = WINDOW, group_limit: int = 2
         ranges = ranges.unionByName(windows.join(equal, "w").select("h", "s", F.col("at").alias("first"), F.col("at").alias("last")))
     whole = classes.where("twice").select("h", "s", F.lit(0).alias("first"), F.col("more").alias("last"))
     hits = materialize(ranges.unionByName(whole), "hits")
-    _release(spark)
+    _release(spark, mixed, chosen, cuts, classes)
     size = F.max(F.length("text"))
     copied = texts.groupBy("key").agg(F.count("*").alias("n"), size.alias("size")).where(f"n > 1 and size >= {window}")
     copied = copied.select("key", F.struct(F.lit(0).alias("a"), (F.col("size") - window).cast("int").alias("b")).alias("r"))
     begun = members.join(hits, ["h", "s"]).select("key", F.struct((F.col("p") + F.col("first")).alias("a"), (F.col("p") + F.col("last")).alias("b")).alias("r"))
-    return materialize(begun.unionByName(copied).groupBy("key").agg(F.collect_set("r").alias("ranges")), "ranges")
+    out = materialize(begun.unionByName(copied).groupBy("key").agg(F.collect_set("r").alias("ranges")), "ranges")
+    _release(spark, members, hits)
+    return out
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, group_limit: int = 200_000) -> DataFrame:
