@@ -19,9 +19,7 @@ names beginning with ``__d_`` are ours.
 
 from __future__ import annotations
 
-import math
 import string
-from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -48,14 +46,14 @@ def question_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return words[:cut], words[cut:]
 
 
-def _shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
+def _shingles(words: list) -> set[tuple]:
     if len(words) < SHINGLE:
         return {tuple(words)} if words else set()
     return set(zip(*[words[k:] for k in range(SHINGLE)]))
 
 
-def _overlap(part: list[bytes], passage: list[bytes]) -> float:
-    """The share of a part's shingles that the passage holds; 1 for a part without words."""
+def _overlap(part: list, passage: list) -> float:
+    """The share of a part's shingles of words (or their numbers) that the passage holds; 1 for a part without words."""
     want = _shingles(part)
     if not want:
         return 1.0
@@ -135,46 +133,60 @@ def block_max_wand(lists: list[Postings], least: float) -> list[tuple[int, float
                 c.seek(max(to, item + 1) if c.item == item else to)
 
 
+def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *arrays])
+
+
 class _Ids(dict):
     def __missing__(self, word):
         return 0
 
 
 class Index:
-    """The items of one shard; hits() queries it with all passages of a text."""
+    """The items of one shard; hits() queries it with all passages of a text.
+
+    Postings and words are flat arrays of numbers, a few bytes for each word of the items, as every task holds a copy;
+    a term's list with its blocks is cut from them when a passage needs it."""
 
     def __init__(self, items: list[tuple[object, str | None]], least: float = 0.5, least_overlap: float = 0.8, k1: float = 1.2, b: float = 0.75):
         self.least, self.least_overlap = least - 1e-9, least_overlap
         kept = [(i, t, w) for i, t in items if t and (w := words_of(t))]
-        self.ids, self.parts = [i for i, _, _ in kept], [question_answer(t) for _, t, _ in kept]
-        self.vocabulary = _Ids()
-        for _, _, words in kept:
-            for w in words:
-                self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
+        self.ids, self.vocabulary = [i for i, _, _ in kept], _Ids()
+        number = lambda words: np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
+        numbers = [number(words) for _, _, words in kept]
+        parts = [number(p) for _, t, _ in kept for p in question_answer(t)]
+        self.part_ends, self.part_words = np.cumsum([0, *map(len, parts)]), _joined(parts).astype(np.int32)
         self.width = len(self.vocabulary) + 1
-        numbers = [[self.vocabulary[w] for w in words] for _, _, words in kept]
-        terms = [Counter(x * self.width + y for x, y in zip(n, n[1:])) if len(n) > 1 else Counter([n[0]]) for n in numbers]
+        terms = [np.unique(n[:-1] * self.width + n[1:] if len(n) > 1 else n, return_counts=True) for n in numbers]
         self.alone = any(len(n) == 1 for n in numbers)
-        df, mean = Counter(t for x in terms for t in x), sum(map(len, numbers)) / max(1, len(numbers))
-        entries = defaultdict(list)
-        for i, (x, n) in enumerate(zip(terms, numbers)):
-            impact = {t: math.log(1 + (len(kept) - df[t] + 0.5) / (df[t] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * len(n) / mean)) for t, f in x.items()}
-            whole = sum(impact.values())
-            for t, v in impact.items():
-                entries[t].append((i, v / whole))
-        self.terms = np.array(sorted(entries), np.int64)
-        self.postings = [Postings(entries[t]) for t in self.terms.tolist()]
-        self.most = np.array([p.most for p in self.postings])
+        keys, f = _joined([t for t, _ in terms]), _joined([n for _, n in terms]).astype(np.float64)
+        item, sizes = np.repeat(np.arange(len(kept)), [len(t) for t, _ in terms]), np.array([len(n) for n in numbers], np.float64)
+        self.terms, term, df = np.unique(keys, return_inverse=True, return_counts=True)
+        length = sizes[item] / (sizes.mean() if len(kept) else 1.0)
+        impact = np.log(1 + (len(kept) - df[term] + 0.5) / (df[term] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * length))
+        order = np.lexsort((item, term))
+        self.items, self.impacts = item[order].astype(np.int32), (impact / np.bincount(item, impact, len(kept))[item])[order]
+        self.starts = np.append(0, np.cumsum(df))
+        self.most = np.maximum.reduceat(self.impacts, self.starts[:-1]) if len(self.terms) else np.zeros(0)
         self.stride = max(32, max(map(len, numbers), default=0))
 
-    def _matches(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def postings(self, term: int) -> Postings:
+        at = slice(self.starts[term], self.starts[term + 1])
+        return Postings(list(zip(self.items[at].tolist(), self.impacts[at].tolist())))
+
+    def part(self, k: int) -> list[int]:
+        """The words' numbers of a question (2 * item) or an answer (2 * item + 1)."""
+        return self.part_words[self.part_ends[k] : self.part_ends[k + 1]].tolist()
+
+    def _matches(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of words at which a term of the index begins, and the terms' numbers."""
-        ids = np.array(list(map(self.vocabulary.__getitem__, words)), np.int64)
         at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
         keys = ids[at] * self.width + ids[at + 1]
         if self.alone:
             one = np.flatnonzero(ids)
             at, keys = np.concatenate([at, one]), np.concatenate([keys, ids[one]])
+            order = np.argsort(at, kind="stable")
+            at, keys = at[order], keys[order]
         k = np.minimum(np.searchsorted(self.terms, keys), len(self.terms) - 1)
         hit = self.terms[k] == keys
         return at[hit], k[hit]
@@ -184,17 +196,18 @@ class Index:
         words = words_of(text) if text and len(self.terms) else []
         if not words:
             return []
-        at, terms = self._matches(words)
+        ids = np.array(list(map(self.vocabulary.__getitem__, words)), np.int64)  # 0: in no item
+        at, terms = self._matches(ids)
         if not len(at):
             return []
         part = at // self.stride
         bound = np.bincount(part, self.most[terms], part.max() + 2)
         best: dict[int, tuple[float, float, float]] = {}
         for k in np.flatnonzero(bound + np.append(bound[1:], 0) >= self.least).tolist():
-            lists = [self.postings[t] for t in set(terms[(part == k) | (part == k + 1)].tolist())]
-            passage = words[k * self.stride : (k + 2) * self.stride]
+            lists = [self.postings(t) for t in set(terms[np.searchsorted(part, k) : np.searchsorted(part, k + 2)].tolist())]
+            passage = ids[k * self.stride : (k + 2) * self.stride].tolist()
             for i, score in block_max_wand(lists, self.least):
-                question, answer = (_overlap(p, passage) for p in self.parts[i])
+                question, answer = (_overlap(self.part(2 * i + p), passage) for p in (0, 1))
                 if question >= self.least_overlap and answer >= self.least_overlap:
                     best[i] = max(best.get(i, (0.0, 0.0, 0.0)), (score, question, answer))
         return [(self.ids[i], *v) for i, v in sorted(best.items())]
