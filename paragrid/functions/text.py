@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from paragrid.functions.rules import DEFINITION_VERBS, STRUCTURAL_WORDS
+from paragrid.functions.rules import ABBREVIATIONS, DEFINITION_VERBS, STRUCTURAL_WORDS
 
 
 def normalized(text: Column) -> Column:
@@ -56,14 +56,15 @@ def orthographic_key(text: Column) -> Column:
 
 
 def needs_space(before: Column, after: Column) -> Column:
-    """Whether a blank is missing between two pieces of text that follow each other."""
+    """Whether a blank is missing between two pieces of text that follow each other. A full stop after a single capital, an
+    abbreviation or a title ends no sentence."""
     letter, upper = r"^\p{L}", r"^\p{Lu}"
-    abbreviation = before.rlike(r"(?:^|\s)(?:Mr|Ms|Dr|No|Art|Co|Ltd|Inc)\.$")
+    abbreviation = before.rlike(r"(?:(?:^|\s)(?:Mr|Ms|Dr|No|Art|Co|Ltd|Inc)|(?U:\b)[A-Z])\.\z") | reduce(lambda c, a: c | before.endswith(a), ABBREVIATIONS, F.lit(False))
     return (
-        (before.rlike(r"\p{L}$") & after.rlike(r"^[\p{L}(]"))
-        | (before.rlike(r"[);,:]$") & after.rlike(letter))
-        | (before.rlike(r"\.$") & after.rlike(upper) & ~abbreviation)
-        | (before.rlike(r"\p{N}$") & after.rlike(upper))
+        (before.rlike(r"\p{L}\z") & after.rlike(r"^[\p{L}(]"))
+        | (before.rlike(r"[);,:]\z") & after.rlike(letter))
+        | (before.rlike(r"\.\z") & after.rlike(upper) & ~abbreviation)
+        | (before.rlike(r"\p{N}\z") & after.rlike(upper))
     )
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paragrid.functions.rules import ANNEX_EXCLUDE, DEFINITION_VERBS, SPELLINGS, TERM_REPLACEMENTS
+from paragrid.functions.rules import ANNEX_EXCLUDE, DEFINITION_VERBS, SPELLINGS, TERM_LITERALS, TERM_REPLACEMENTS
 from paragrid.functions.text import has_definition_verb, needs_space, replace_all
 
 Pass = tuple[str, Callable[[Column], Column]]
@@ -22,7 +23,10 @@ def definition_boundaries(t: Column) -> Column:
 
 
 def terminology(t: Column) -> Column:
-    return replace_all(t, TERM_REPLACEMENTS)
+    """Literal replacements, then those by pattern. Texts that hold none of the literals, as most do, are looked through once."""
+    any_of = "|".join(rf"\Q{a}\E" for a, _ in TERM_LITERALS)
+    literal = F.when(F.regexp_like(t, F.lit(any_of)), reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), TERM_LITERALS, t)).otherwise(t)
+    return F.transform(F.array(literal), lambda x: replace_all(x, TERM_REPLACEMENTS))[0]
 
 
 def spelling(to: str) -> Callable[[Column], Column]:

@@ -227,12 +227,48 @@ def length_ratio_bands(spark, sf_dir):
 def truncated_lines(spark, sf_dir):
     """Lines that end in a function word, but for the full stop that the invented texts have everywhere."""
     lines = _lines(spark, sf_dir).withColumn("text", F.regexp_replace("text", "[.,]$", ""))
+    return lines.where(quality.ends_in_function_word(F.col("text"))).select("doc_id", "idx")
+
+
+_PLACEHOLDER = " or ".join(f"starts_with(trim(text), '{x}')" for x in [*rules.PLACEHOLDERS, "_"])
+
+
+@register("dangling_lines", f"""with {LINES}, cut as (select doc_id, idx, regexp_replace(text, '[.,]$', '') as text from lines) select doc_id, idx::int as idx from cut where length(text) >= 20 and not ({_PLACEHOLDER})
+  and len(string_split_regex(trim(text), '\\s+')) >= 5 and regexp_matches(text, '{_LEFT}(?:{"|".join(rules.LAST_WORDS)})\\s*$') and not regexp_matches(text, '(?i)[;,]\\s*(?:and|or)\\s*$')""")
+def dangling_lines(spark, sf_dir):
+    """Lines that break off, list connectives and placeholders aside, but for the full stop that the invented texts have everywhere."""
+    lines = _lines(spark, sf_dir).withColumn("text", F.regexp_replace("text", "[.,]$", ""))
     return quality.check_paragraphs(lines).where("check = 'truncation'").select("doc_id", "idx")
 
 
+_ABBREVIATED = " or ".join(f"ends_with(b, '{x}')" for x in rules.ABBREVIATIONS)
+
+
+@register("boundary_findings", rf"""
+with p as (select conv_id, turn, text from conversations where length(text) > 0),
+n as (select *, lag(text) over o as b, last_value(case when trim(text) <> '' then text end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as w from p window o as (partition by conv_id order by turn)),
+e as (select *, regexp_replace(regexp_extract(w, '(\S+)\s*$', 1), '[,;:."'')\]]+$', '') as ends, regexp_replace(regexp_extract(text, '^\s*(\S+)', 1), '^["''(\[]+', '') as begins from n)
+select conv_id, turn, 'spacing' as "check" from e where regexp_matches(b, '\p{{L}}$') and regexp_matches(text, '^[\p{{L}}(]') or regexp_matches(b, '[);,:]$') and regexp_matches(text, '^\p{{L}}') or regexp_matches(b, '\p{{N}}$') and regexp_matches(text, '^\p{{Lu}}')
+  or ends_with(b, '.') and regexp_matches(text, '^\p{{Lu}}') and not ({_ABBREVIATED} or regexp_matches(b, '(?:(?:^|\s)(?:Mr|Ms|Dr|No|Art|Co|Ltd|Inc)|{_LEFT}[A-Z])\.$'))
+union all select conv_id, turn, 'doubled_across' from e where lower(ends) = lower(begins) and length(ends) > 2 and regexp_full_match(ends, '\p{{L}}+')""")
+def boundary_findings(spark, sf_dir):
+    """Turns as pieces of one paragraph."""
+    return quality.boundary_findings(table(spark, sf_dir, "conversations"), doc="conv_id", order="turn")
+
+
+@register("truncated_pairs", """
+with p as (select conv_id, turn, text, lead(text) over (partition by conv_id order by turn) as en from conversations)
+select conv_id, turn, case when trim(coalesce(en, '')) = '' then 'empty' else 'short' end as fault from p
+where trim(text) <> '' and length(text) >= 20 and case when trim(coalesce(en, '')) = '' then length(trim(text)) > 30 else length(text) > 50 and length(en) / length(text) < 0.4 end""")
+def truncated_pairs(spark, sf_dir):
+    """Each turn as the source of the next."""
+    near = sequence.neighbours(table(spark, sf_dir, "conversations"), "text", "conv_id", "turn").withColumnRenamed("after_1", "en")
+    return quality.truncated_pairs(near).select("conv_id", "turn", "fault")
+
+
 @register("quality_findings")
 def quality_findings(spark, sf_dir):
-    return quality.check_paragraphs(_lines(spark, sf_dir))
+    return quality.check_paragraphs(_lines(spark, sf_dir), shortest_doubled=3)
 
 
 @register("quote_balance", """select doc_id, len(regexp_extract_all(text, '“')) = len(regexp_extract_all(text, '”')) as balanced, len(regexp_extract_all(text, '"')) as straight from documents""")
