@@ -51,7 +51,7 @@ def test_spelling_of_the_other_variant(spark):
 def test_boundaries(spark):
     pieces = lines(spark, "ends here", "Here", "", None, " again", "  ", "(again so", "No.", "Five", "J.", "Doe", "end\n", "x", "5", "Days")
     got = sorted((r["idx"], r["check"]) for r in quality.boundary_findings(pieces).collect())
-    assert got == [(1, "doubled_across"), (1, "spacing"), (6, "doubled_across"), (7, "spacing"), (14, "spacing")]
+    assert got == [(1, "doubled_across"), (1, "spacing"), (6, "doubled_across"), (7, "spacing"), (9, "spacing"), (11, "spacing"), (14, "spacing")]
 
 
 def test_truncated_pairs(spark):
