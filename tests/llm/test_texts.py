@@ -207,6 +207,32 @@ def test_spelling_is_a_distribution():
     assert 0 < first < 1
 
 
+def test_weights_are_fitted_on_all_tokens(spark):
+    """All tokens that a draw by hash picks occur once; those that it leaves out occur fifty times."""
+    df = spark.range(1200).selectExpr("cast(concat('w', id * 7919 % 1201) as binary) token")
+    words = df.selectExpr("token", "if(pmod(xxhash64(token), 6) = 0, 1, 50) c0").selectExpr("token", "cast(c0 as long) c0")
+    made = lm_scoring.fit(words, 1, table_bits=12, mixer_words=200)
+    assert made.shares[:2].sum() > 0.5
+    again = lm_scoring.fit(words.repartition(3), 1, table_bits=12, mixer_words=200)
+    assert np.array_equal(made.weights, again.weights) and np.array_equal(made.map, again.map)
+
+
+def test_classes_are_fitted_on_all_documents(spark):
+    """All documents that a draw by hash picks are of one language; the others are of another."""
+    rng, a, b = random.Random(5), [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    ids = spark.range(4000).selectExpr("id", "cast(concat(id, '') as binary) text").collect()
+    texts = []
+    for r in ids:
+        texts.append((r["id"], " ".join(rng.choices(a, k=20)), " ".join(rng.choices(b, k=20))))
+    df = spark.createDataFrame(texts, "doc_id long, a string, b string").selectExpr("doc_id", "if(pmod(xxhash64(doc_id, cast(a as binary)), 4) = 0, a, b) text")
+    found = lm_scoring.fit_classes(df.selectExpr("cast(text as binary) text"), 2)
+    assert len(found.words) == 120
+    one = found.of([x.encode() for x in a])
+    assert found.of([x.encode() for x in b]) != one
+    assert abs(found.priors[one] - df.where("text like 'a%'").count() / 4000) < 0.01
+
+
+
 def test_decontamination(spark):
     item = "What is the tallest mountain of the whole wide world as measured from the level of the sea? It is Mount Everest in Nepal."
     other = "Name the longest river that flows through the southern part of the old continent. The answer is the Nile."
