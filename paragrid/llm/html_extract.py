@@ -13,7 +13,8 @@ Output: character references decoded; white space within a block becomes one bla
 line feed. Line breaks within a block are white space.
 
 Defined cases: null or empty html gives an empty text; so do pages without content. A page of bare text without
-elements is all content. Tags left open at the end are closed there, a tag cut off at the end is dropped. Repeated rows and null ids pass as
+elements is all content. A head without an end tag ends at the first text or element that no head may hold. Formulas, and what stands
+in for scripts, objects and players, are text like any other. Tags left open at the end are closed there, a tag cut off at the end is dropped. Repeated rows and null ids pass as
 they are. Columns other than the three named are not read.
 """
 
@@ -37,9 +38,13 @@ STATES = "wcb"
 
 # Kinds of elements in HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-HIDDEN = {"head", "script", "style", "noscript", "template", "svg", "iframe", "object", "select", "textarea", "title", "canvas", "audio", "video", "math"}
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+HIDDEN = {"head", "script", "style", "template", "svg", "iframe", "select", "textarea", "title", "canvas", "annotation", "annotation-xml"}
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp"}
+#: What a head may hold: any other element ends it, as its end tag may be left out.
+IN_HEAD = {"html", "head", "base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+#: Sources of a player or object, which stand within a line.
+SOURCES = {"source", "track", "param"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"} | {"audio", "object", "video"} | {"math", "menclose", "merror", "mfenced", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded", "mphantom", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder", "munderover", "semantics"}
 CONTAINERS = {"#root", "html", "body", "main", "article", "section", "div", "nav", "header", "footer", "aside", "form", "figure", "center", "details", "fieldset"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tr", "td", "th", "thead", "tbody"}}
 SCOPES = {"table", "ul", "ol", "dl", "#root", "div", "section", "article"}
@@ -115,6 +120,8 @@ def parse(source: str) -> Page:
         piece = source[at : m.start() if m else end]
         if not m and (cut := _CUT.search(piece)):
             piece = piece[: cut.start()]
+        if hidden and stack[-1][0] == "head" and piece.strip():
+            pop()
         if piece and not hidden:
             text(piece)
         if not m:
@@ -134,6 +141,12 @@ def parse(source: str) -> Page:
                 if tag in INLINE and stack[k][0] not in INLINE:
                     break
             continue
+        if hidden and tag not in IN_HEAD and not any(t == "template" for t, _ in stack):
+            k = next((k for k, (t, _) in enumerate(stack) if t == "head"), len(stack))
+            while len(stack) > k:
+                pop()
+        if tag in SOURCES:
+            continue
         if tag == "br":
             if not hidden:
                 page.texts.append((stack[-1][1] if bare < 0 else bare, " ", fresh))

@@ -75,6 +75,19 @@ def test_extraction_of_frames(spark, model):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string"), model).count() == 0
 
 
+@pytest.mark.parametrize("head", ["<head><title>x</title>", "<head><meta charset=utf-8><noscript><style>p{}</style></noscript>", "<head><title>x</title></head>"])
+@pytest.mark.parametrize("body", ["<body>", ""])
+def test_head_without_end(model, head, body):
+    said = "A long enough paragraph of plain words, which any reader would take for the text of the page. " * 3
+    page = html_extract.parse(f"<html>{head}{body}<article><p>{said}</p></article></html>")
+    assert "".join(x for _, x, _ in page.texts).split() == said.split()
+
+
+def test_formulas_and_fallbacks_are_text():
+    made = html_extract.parse("<article><p>Then <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds, <video><source src=a>see the film</video> and <object>a map</object>.</p><noscript>Shown <b>without</b> scripts</noscript></article>")
+    assert "".join("|" * fresh + x for _, x, fresh in made.texts).strip("|") == "Then x=1 holds, see the film and a map.|Shown without scripts"
+
+
 def test_deep_and_broken_markup(model):
     assert isinstance(model.extract("<div>" * 5000 + "deep" + "</div>" * 10), str)
     assert isinstance(model.extract('<a href="never closed>text <p class=\'x> more'), str)
