@@ -1,17 +1,20 @@
 """WARC archives: writing records with continuation segments, and reassembling them on reading.
 
 Writing: archives are gzip files; pages with equal payloads share one response, that of the largest page id; the others become revisit
-records. A response's block is an HTTP head and the payload in chunked transfer framing. A block longer than
+records, which name that response's record by WARC-Refers-To, and its page by a field of our own. A response's record id follows
+from its page id and payload. A response's block is an HTTP head and the payload in chunked transfer framing. A block longer than
 ``segment_bytes`` is split: the first segment is the response record, the rest are continuation records that name
 it by WARC-Segment-Origin-ID, the last of them with WARC-Segment-Total-Length. Archives are written through
-Spark's text sink with the record end as line separator, so that a lost executor leaves no half-written file.
+Spark's text sink with the record end as line separator, so that a lost executor leaves no half-written file; a file is one gzip
+member, as the sink makes it.
 
 Reading: archives are parsed by Content-Length. Records in one piece are decoded where they are read; segments are
 grouped by origin, ordered by number and checked for gaps and total length before decoding, and the payload is
-checked against the digest in the record.
+checked against the digest in the record. A revisit's length is that of the response with its page id and digest.
 
 Defined cases: null html is an empty payload. Rows with equal payloads are all responses where they have the
-largest page id, repeated rows too; rows with a null id are responses only if no row with that payload has an id.
+largest page id, repeated rows too (these get record ids at random, and their revisits name the page only); rows with a null id
+are responses only if no row with that payload has an id. Rows with one id and different payloads are judged by their payloads.
 Null URLs stay out of the record. An empty table gives an empty archive and result.
 """
 
@@ -66,14 +69,21 @@ def _record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + END + block
 
 
-def records_of(page_id, url: str | None, payload: bytes, refers_to, segment_bytes: int, chunk_bytes: int = 4096) -> list[bytes]:
-    """The records of one page: a revisit, or a response with its continuations."""
-    own = f"<urn:page:{'' if page_id is None else page_id}:{uuid.uuid4()}>"
+def record_id(page_id, digest: str) -> str:
+    """The record id of the response that holds a page's payload."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
+def records_of(page_id, url: str | None, payload: bytes, refers_to, segment_bytes: int, chunk_bytes: int = 4096, repeated: bool = False) -> list[bytes]:
+    """The records of one page: a revisit, or a response with its continuations. repeated: the response stands in several rows."""
+    found = payload_digest(payload)
     uri = None if url is None else "".join(c for c in url if c > " ")
     common = [("WARC-Date", _DATE), ("WARC-Target-URI", uri), ("WARC-Page-ID", page_id)]
-    digest = ("WARC-Payload-Digest", f"sha1:{payload_digest(payload)}")
+    digest, own = ("WARC-Payload-Digest", f"sha1:{found}"), f"<urn:uuid:{uuid.uuid4()}>"
     if refers_to is not None:
-        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, digest, ("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", _REVISIT)], b"")]
+        refers = [("WARC-Refers-To", None if repeated else record_id(refers_to, found)), ("WARC-Refers-To-Page-ID", refers_to)]
+        return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, digest, *refers, ("WARC-Profile", _REVISIT)], b"")]
+    own = own if repeated or page_id is None else record_id(page_id, found)
     block = _HEAD + chunked(payload, chunk_bytes)
     parts = [block[at : at + segment_bytes] for at in range(0, len(block), segment_bytes)]
     first = [("WARC-Type", "response"), ("WARC-Record-ID", own), *common, digest, ("Content-Type", "application/http; msgtype=response")]
@@ -116,12 +126,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """Writes a record per page under path; a file holds at most file_records segments."""
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text_bytes(html_col).alias("payload"))
     keyed = source.withColumn("sha", F.unhex(F.sha1("payload")))
-    shared = materialize(keyed.groupBy("sha").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha", "first"), "shared")
+    rows = keyed.groupBy("sha", "id").agg(F.count("*").alias("n"))
+    first = F.max(F.when(F.col("id").isNotNull(), F.struct("id", "n"))).alias("first")  # of structs with different ids
+    shared = materialize(rows.groupBy("sha").agg(first, F.sum("n").alias("n")).where("n > 1 and first is not null").select("sha", F.col("first.id").alias("first"), (F.col("first.n") > 1).alias("repeated")), "shared")
     refers = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    told = keyed.join(shared, "sha", "left").select(F.col("id").cast("string"), "url", "payload", refers.cast("string").alias("refers"))
+    told = keyed.join(shared, "sha", "left").select(F.col("id").cast("string"), "url", "payload", refers.cast("string").alias("refers"), F.coalesce("repeated", F.lit(False)).alias("repeated"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [r for page_id, url, payload, refers in zip(*[c.to_pylist() for c in batch.columns]) for r in records_of(page_id, url, payload, refers, segment_bytes)]
+        out = [r for page_id, url, payload, refers, repeated in zip(*[c.to_pylist() for c in batch.columns]) for r in records_of(page_id, url, payload, refers, segment_bytes, repeated=repeated)]
         return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     made = map_batches(told, run, "value binary").select(F.col("value").cast("string"))
@@ -139,8 +151,7 @@ def _parts(batch: pa.RecordBatch) -> pa.RecordBatch:
             kind, digest = h["warc-type"], h.get("warc-payload-digest", "")
             page, number = h.get("warc-page-id"), h.get("warc-segment-number")
             if kind == "revisit":
-                refers = h["warc-refers-to"].removeprefix("<urn:page:").removesuffix(">")
-                rows.append((page, kind, None, digest.removeprefix("sha1:"), refers, None, None, None, None))
+                rows.append((page, kind, None, digest.removeprefix("sha1:"), h["warc-refers-to-page-id"], None, None, None, None))
             elif number is None:
                 rows.append((page, kind, *decode(block, digest), None, None, None, None, None))
             else:
@@ -175,10 +186,11 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "bigint") -> Da
     ordered = F.array_sort(F.collect_list(F.struct("segment", "page_id", "payload_digest", "total", "block")))
     grouped = parts.where("segment is not null").groupBy("origin").agg(ordered.alias("parts")).select("parts")  # one response each
     responses = materialize(simple.unionByName(map_batches(grouped, _whole, "page_id string, payload_bytes long, payload_digest string")), "responses")
-    sizes = responses.where("page_id is not null").groupBy("page_id").agg(F.max("payload_bytes").alias("payload_bytes")).withColumnRenamed("page_id", "refers_to")
-    wanted = parts.where("kind = 'revisit'").select("page_id", "payload_digest", "refers_to")
-    referred = materialize(sizes.join(wanted.select("refers_to").distinct(), "refers_to", "left_semi"), "referred")
-    revisits = wanted.join(referred, "refers_to", "left")
+    key = ["refers_to", "payload_digest"]
+    sizes = responses.where("page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))  # equal in all of a group
+    wanted = parts.where("kind = 'revisit'").select("page_id", *key)
+    referred = materialize(sizes.join(wanted.select(*key).distinct(), key, "left_semi"), "referred")
+    revisits = wanted.join(referred, key, "left")
     out = responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"))
     out = out.unionByName(revisits.select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), "refers_to"))
     return out.withColumns({"page_id": F.col("page_id").cast(id_type), "refers_to": F.col("refers_to").cast(id_type)})

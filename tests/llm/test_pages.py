@@ -1,6 +1,7 @@
 """Main text, WARC round trips, URL verdicts."""
 
 import base64
+import gzip
 import hashlib
 import random
 
@@ -96,8 +97,8 @@ def test_deep_and_broken_markup(model):
 def test_warc_round_trip(spark):
     r = random.Random(4)
     pages = [(k, f"http://h/{k}", "".join(r.choice("abé\r\n:0 ") for _ in range(r.choice((0, 1, 10, 40_000))))) for k in range(60)]
-    pages += [(k + 100, None, html) for k, _, html in pages[:20]] + [(200, "a b\r\nc", None), (None, "u", ""), (None, "u", "only this"), (201, "u", "twice"), (201, "u", "twice"), (150, "u", "twice")]
-    df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, sha int")
+    pages += [(k + 100, None, html) for k, _, html in pages[:20]] + [(200, "a b\r\nc", None), (None, "u", ""), (None, "u", "only this"), (201, "u", "twice"), (201, "u", "twice"), (150, "u", "twice"), (305, "u", "A" * 10), (305, "u", "B" * 9000), (303, "u", "A" * 10), (302, "u", "B" * 9000)]
+    df = spark.createDataFrame([(*p, 1, "x", "y") for p in pages], "page_id long, url string, html string, sha int, payload string, first string")
     got = warc.round_trip(df, segment_bytes=1000).collect()
     first = {}
     for k, _, html in pages:
@@ -113,6 +114,23 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_references_are_records(spark, tmp_path):
+    """A revisit names a response record with its page id and digest, and all record ids differ."""
+    pages = [(5, "A" * 10), (5, "B" * 1000), (3, "A" * 10), (2, "B" * 1000), (1, "B" * 1000), (9, "twice"), (9, "twice"), (8, "twice")]
+    warc.write_archives(spark.createDataFrame([(k, "u", x) for k, x in pages], "page_id long, url string, html string"), str(tmp_path / "w"), segment_bytes=300)
+    found = [h for f in (tmp_path / "w").glob("*.gz") for h, _ in warc.parse(gzip.decompress(f.read_bytes()))]
+    assert len({h["warc-record-id"] for h in found}) == len(found)
+    responses = {h["warc-record-id"]: h for h in found if h["warc-type"] == "response"}
+    revisits = [h for h in found if h["warc-type"] == "revisit"]
+    assert sorted(h["warc-page-id"] for h in revisits) == ["1", "2", "3", "8"]
+    for h in revisits:
+        if h["warc-page-id"] == "8":  # its response stands in two rows
+            assert "warc-refers-to" not in h and h["warc-refers-to-page-id"] == "9"
+        else:
+            of = responses[h["warc-refers-to"]]
+            assert of["warc-page-id"] == h["warc-refers-to-page-id"] and of["warc-payload-digest"] == h["warc-payload-digest"]
+
+
 def test_warc_faults():
     records = warc.records_of(5, "u", b"x" * 3000, None, 1000)
     assert len(records) > 2 and [h["warc-type"] for h, _ in warc.parse(warc.END.join(records) + warc.END)][:2] == ["response", "continuation"]
@@ -165,5 +183,7 @@ def test_host_reputation(spark):
 
 
 def test_registered_domain(spark):
-    hosts = spark.createDataFrame([("a.b.co.uk",), ("a.b.com",), ("x",), ("",)], "h string")
-    assert [r[0] for r in hosts.select(url_filter.domain_of(F.col("h"))).collect()] == ["b.co.uk", "b.com", "x", ""]
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("a.b.com",), ("x",), ("",), ("me.github.io",), ("www.me.github.io:8080",), ("co.uk",), ("a.asso.fr",)], "h string")
+    got = hosts.select(url_filter.domain_of(F.col("h")), url_filter.suffix_of(F.col("h")), url_filter.domain_of(F.col("h"), ["b.com"])).collect()
+    assert [r[0] for r in got] == ["b.co.uk", "b.com", "x", "", "me.github.io", "me.github.io", "co.uk", "a.asso.fr"]
+    assert [r[1] for r in got] == ["co.uk", "com", "x", "", "github.io", "github.io", "uk", "asso.fr"] and got[1][2] == "a.b.com"
