@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paragrid.llm.common import map_batches, text_bytes
+from paragrid.llm.common import map_batches, materialize, text_bytes
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 WINDOW = 5
@@ -58,12 +58,12 @@ def measure(text: bytes) -> tuple[int, ...]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words), len(lines)
 
 
-def with_measures(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of df and a struct ``__q_m`` of the measures."""
-    names = df.columns
+def with_measures(df: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of df (all by default) and a struct ``__q_m`` of the measures."""
+    names = df.columns if carry is None else carry
     source = df.select(*[F.col(f"`{c}`") for c in names], text_bytes(text_col).alias("__q_text"))
     kind = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
-    schema = T.StructType([*df.schema.fields, T.StructField("__q_m", kind)])
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("__q_m", kind)])
     arrow = pa.struct([pa.field(m, pa.int64()) for m in MEASURES])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -97,10 +97,10 @@ def host_verdicts(measured: DataFrame, host_col: str, most_failed: float = 0.5,
     return hosts.crossJoin(F.broadcast(prior)).select("__q_host", (low > most_failed).alias("__q_rejected"))  # prior is one row
 
 
-def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", most_failed: float = 0.5) -> DataFrame:
-    """All columns of df, the struct ``__q_m``, and ``__q_kept``."""
-    measured = with_measures(df, text_col)
-    hosts = host_verdicts(with_measures(df.select(host_col, text_col), text_col), host_col, most_failed)
+def judge(df: DataFrame, text_col: str = "text", host_col: str = "source", most_failed: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` of df (all by default; the host's is one of them), the struct ``__q_m``, and ``__q_kept``. Texts are measured once."""
+    measured = materialize(with_measures(df, text_col, carry), "measured")
+    hosts = host_verdicts(measured, host_col, most_failed)
     joined = measured.join(hosts, F.col(f"`{host_col}`").eqNullSafe(F.col("__q_host")), "left")
     return joined.withColumn("__q_kept", ~base_failed(F.col("__q_m")) & ~F.col("__q_rejected")).drop("__q_host", "__q_rejected")
 

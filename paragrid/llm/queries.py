@@ -58,7 +58,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    judged = quality_rules.judge(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), carry=["doc_id", "source"])
     m = F.col("__q_m")
     return judged.select("doc_id", *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], quality_rules.base_failed(m).alias("base_failed"), F.col("__q_kept").alias("kept"))
 
