@@ -1,6 +1,12 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 from paragrid.llm.common import LOWER, UPPER
+from paragrid.llm.url_filter import SECOND_LEVEL, SUFFIXES
+
+
+def _listed(values: list[str]) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
 
 _LOWER = f"translate({{}}, '{UPPER}', '{LOWER}')"
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -13,10 +19,9 @@ with p as (
   from pages),
 l as (select doc_id as key, max(case when toxic = 1 or quality = 0 then 1 else 0 end) as bad from labels group by 1),
 j as (select p.host, l.bad from p left join l using (key)),
-h0 as (select host, count(bad) as n, coalesce(sum(bad), 0) as bad, string_split(host, '.') as parts from j group by host),
-h1 as (select *, parts[-1] as suffix,
-         case when len(parts) > 2 and length(parts[-1]) = 2 and parts[-2] in ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org')
-              then array_to_string(parts[-3:], '.') else array_to_string(parts[-2:], '.') end as domain from h0),
+h0 as (select host, count(bad) as n, coalesce(sum(bad), 0) as bad, regexp_replace(host, ':[0-9]*$', '') as name, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') as parts from j group by host),
+h1 as (select host, n, bad, case when len(parts) > 2 and ((length(parts[-1]) = 2 and parts[-2] in {_listed(SECOND_LEVEL)}) or array_to_string(parts[-2:], '.') in {_listed(SUFFIXES)})
+              then array_to_string(parts[-3:], '.') else array_to_string(parts[-2:], '.') end as domain, regexp_replace(domain, '^[^.]*\.', '') as suffix from h0),
 d0 as (select suffix, domain, sum(n) as n, sum(bad) as bad from h1 group by all),
 s0 as (select suffix, sum(n) as n, sum(bad) as bad from d0 group by all),
 s1 as (select *, (select coalesce(sum(bad) / sum(n), 0) from s0) as mean from s0),

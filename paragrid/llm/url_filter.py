@@ -3,7 +3,12 @@
 Labelled page outcomes are counted per host and shrunk through beta-binomial priors: the global rate is the
 prior mean of each suffix, a suffix's posterior mean that of its registered domains, a domain's that of its
 hosts. Each level's prior strength is fitted by moments over that level's groups. A host is blocked when the
-lower bound of its posterior rate of bad pages passes a threshold.
+lower bound of its posterior rate of bad pages passes a threshold. The bound is the posterior mean less z posterior standard
+deviations, a normal approximation: SQL has no quantile of the beta distribution. URLs are tallied by host once; that table is
+written, and domains and suffixes are summed from it.
+
+A registered domain is one label below a public suffix: the last label, or the last two where ``suffixes`` lists them or where a
+two-letter country's second label is one of ``SECOND_LEVEL``. A port is no part of the domain.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and no rule; all such pages
 share the empty host's reputation. An unlabelled host takes its domain's rate, an unlabelled domain its
@@ -16,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paragrid.llm.common import LOWER, UPPER
+from paragrid.llm.common import LOWER, UPPER, materialize
 
 #: Fixed values: (verdict, host, path) of the rules.
 RULES = [
@@ -28,6 +33,13 @@ RULES = [
 ]
 #: Second-level labels under which domains are registered in two-letter suffixes.
 SECOND_LEVEL = ["ac", "co", "com", "edu", "gov", "net", "org"]
+#: Further suffixes of two labels under which anyone registers names.
+SUFFIXES = [
+    "asso.fr", "gouv.fr", "ltd.uk", "me.uk", "nhs.uk", "plc.uk", "police.uk", "sch.uk", "asn.au", "id.au", "ad.jp", "ed.jp", "go.jp", "gr.jp", "lg.jp", "ne.jp", "or.jp", "go.kr", "ne.kr", "or.kr", "re.kr",
+    "gen.in", "firm.in", "ind.in", "nic.in", "res.in", "art.br", "blog.br", "eco.br", "gob.mx", "gob.ar", "gob.es", "nom.es", "gv.at", "or.at", "gen.nz", "geek.nz", "govt.nz", "iwi.nz", "kiwi.nz", "maori.nz", "school.nz",
+    "go.id", "or.id", "sch.id", "web.id", "gen.tr", "web.tr", "gov.pl", "info.pl", "waw.pl", "law.za", "nom.za", "school.za", "web.za", "idv.tw", "idv.hk", "in.th", "go.th", "or.th", "msk.ru", "spb.ru", "pp.ru",
+    "blogspot.com", "github.io", "gitlab.io", "netlify.app", "vercel.app", "web.app", "firebaseapp.com", "herokuapp.com", "pages.dev", "workers.dev", "wordpress.com", "tumblr.com", "weebly.com", "wixsite.com", "livejournal.com", "narod.ru",
+]
 
 
 def host_of(url: Column) -> Column:
@@ -48,14 +60,16 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def suffix_of(host: Column) -> Column:
-    return F.element_at(F.split(host, r"\."), -1)
+def suffix_of(host: Column, suffixes=SUFFIXES) -> Column:
+    """The public suffix: the registered domain without its first label (of a domain of one label, that label)."""
+    return F.regexp_replace(domain_of(host, suffixes), r"^[^.]*\.", "")
 
 
-def domain_of(host: Column) -> Column:
-    parts = F.split(host, r"\.")
-    three = (F.size(parts) > 2) & (F.length(F.element_at(parts, -1)) == 2) & F.try_element_at(parts, F.lit(-2)).isin(SECOND_LEVEL)
-    return F.when(three, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def domain_of(host: Column, suffixes=SUFFIXES) -> Column:
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    parts = F.split(name, r"\.")
+    three = (F.length(F.element_at(parts, -1)) == 2) & F.try_element_at(parts, F.lit(-2)).isin(SECOND_LEVEL) | F.substring_index(name, ".", -2).isin(list(suffixes))
+    return F.when(three & (F.size(parts) > 2), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def _with_rate(groups: DataFrame, prior: DataFrame | None, on: str | None, z: float = 0.0) -> DataFrame:
@@ -66,6 +80,7 @@ def _with_rate(groups: DataFrame, prior: DataFrame | None, on: str | None, z: fl
         groups = groups.crossJoin(F.broadcast(top))  # one row
     else:
         groups = groups.join(prior.select(on, F.col("rate").alias("mean")), on)
+    groups = materialize(groups, "groups")
     total, spread = F.sum("n"), F.sum(F.when(F.col("n") > 0, F.try_divide(F.pow(F.col("bad") - F.col("n") * F.col("mean"), 2), F.col("n"))).otherwise(0.0))
     inside, at = F.sum(F.when(F.col("n") > 0, F.col("mean") * (1 - F.col("mean"))).otherwise(0.0)), F.sum(F.col("n") * F.col("mean") * (1 - F.col("mean")))
     strength = groups.agg(F.coalesce(F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.try_divide(at, F.greatest(spread - inside, 1e-6 * total)) - 1)), F.lit(1.0)).alias("k"))
@@ -74,25 +89,25 @@ def _with_rate(groups: DataFrame, prior: DataFrame | None, on: str | None, z: fl
     return groups.crossJoin(F.broadcast(strength)).withColumn("rate", rate).withColumn("low", F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (total + 1))).drop("mean", "k")
 
 
-def host_reputation(labelled: DataFrame, z: float = 1.645) -> DataFrame:
+def host_reputation(labelled: DataFrame, z: float = 1.645, suffixes=SUFFIXES) -> DataFrame:
     """host, n, bad, rate, low from (host, bad); bad is 0, 1 or null (not labelled)."""
     hosts = labelled.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = materialize(hosts.withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)}), "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = _with_rate(suffixes, None, None)
-    domains = _with_rate(domains, suffixes, "suffix")
+    tops = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    tops = _with_rate(tops, None, None)
+    domains = _with_rate(domains, tops, "suffix")
     return _with_rate(hosts, domains, "domain", z).select("host", "n", "bad", "rate", "low")
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", key: Column | None = None, most_bad: float = 0.5, z: float = 1.645, rules=RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", key: Column | None = None, most_bad: float = 0.5, z: float = 1.645, rules=RULES, suffixes=SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict, rate, low of every page.
 
     labels: (key, bad); ``key`` says what of a page is looked up there (its id by default)."""
     url = F.col(url_col)
     judged = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), (F.col(id_col) if key is None else key).alias("key"))
     bad = labels.groupBy("key").agg(F.max("bad").cast("long").alias("bad"))
-    reputation = host_reputation(judged.join(bad, "key", "left").select("host", "bad"), z)
+    reputation = host_reputation(judged.join(bad, "key", "left").select("host", "bad"), z, suffixes)
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
     return judged.join(reputation.select("host", "rate", "low"), "host", "left").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("low") > most_bad, "block").otherwise("allow")).alias("verdict"), "rate", "low"
