@@ -184,8 +184,8 @@ def test_scores(spark):
     english, german = ["the", "of", "and", "house", "tree", "walk", "green"], ["der", "und", "haus", "baum", "gehen", "grün", "nicht"]
     docs = [(k, " ".join(r.choice(english if k % 2 else german) for _ in range(r.randint(5, 60)))) for k in range(400)]
     docs += [(1000, None), (1001, ""), (1002, "neverseenword"), (3, "repeated row"), (3, "repeated row"), (None, "no id"), (1003, "x" * 20_000)]
-    df = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, block int")
-    got = lm_scoring.score(df, mixer_words=200, table_bits=12, block_bytes=5000).collect()
+    df = spark.createDataFrame([(*d, 1, "x", True) for d in docs], "doc_id long, text string, block int, token string, train boolean")
+    got = lm_scoring.score(df, table_bits=12, block_bytes=5000, learner_bytes=(5000, 1 << 30)).collect()
     held = lambda k: zlib.crc32(("" if k is None else str(k)).encode()) % 7 == 2
     tokens = lambda t: [*WORD.findall(lower(t or "")), ""]
     counts = Counter(w for k, t in docs if not held(k) for w in tokens(t))
@@ -193,45 +193,79 @@ def test_scores(spark):
     want = sorted((k or -1, held(k), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t)), 6)) for k, t in docs)
     assert sorted((x["doc_id"] or -1, x["held_out"], x["n_tokens"], x["n_known"], x["train_tokens"], round(x["base_score"], 6)) for x in got) == want
     assert all(math.isfinite(x["score"]) and x["score"] < 0 for x in got)
+    size = {k: len((t or "").encode()) for k, t in docs}
+    assert all(abs(x["total_bits"] + x["score"] * math.log2(10)) < 1e-6 and (k := x["doc_id"]) in size and abs(x["bits_per_byte"] * max(size[k], 1) - x["total_bits"]) < 1e-6 for x in got if x["doc_id"] != 3)
     out = [x for x in got if x["held_out"] and x["n_known"] == x["n_tokens"] and x["n_tokens"] > 5]
-    assert out and sum(x["score"] for x in out) > sum(x["base_score"] for x in out)  # it tells the two languages apart
+    assert out and sum(x["score"] for x in out) > sum(x["base_score"] for x in out)  # the words before tell the two languages apart
+    again = {x["doc_id"]: x["score"] for x in lm_scoring.score(df.repartition(3), table_bits=12, block_bytes=5000, learner_bytes=(1 << 20, 1 << 30)).collect()}
+    assert all(math.isfinite(x) for x in again.values())
     assert lm_scoring.score(df.limit(0)).count() == 0
 
 
-def test_spelling_is_a_distribution():
-    """Over all tokens of at most one byte, and what longer ones leave: no more than one."""
-    m = lm_scoring.Mixer(np.zeros((lm_scoring.ORDERS, 256), np.float32), np.zeros((lm_scoring.ORDERS, 256), np.float32), np.full((8, lm_scoring.GATES, lm_scoring.ORDERS), 0.3), np.full((lm_scoring.GATES, lm_scoring.POINTS), 0.5), np.full(3, 1 / 3), 8, np.ones(1), 1)
-    for k in range(200):
-        m.spell([b"abc", b"abd", b"b"], rate=0.5)
-    first = sum(math.exp(x) for x in m.spell([b""] + [bytes([b]) for b in range(256) if b != 32]))
-    assert 0 < first < 1
-
-
-def test_weights_are_fitted_on_all_tokens(spark):
-    """All tokens that a draw by hash picks occur once; those that it leaves out occur fifty times."""
-    df = spark.range(1200).selectExpr("cast(concat('w', id * 7919 % 1201) as binary) token")
-    words = df.selectExpr("token", "if(pmod(xxhash64(token), 6) = 0, 1, 50) c0").selectExpr("token", "cast(c0 as long) c0")
-    made = lm_scoring.fit(words, 1, table_bits=12, mixer_words=200)
-    assert made.shares[:2].sum() > 0.5
-    again = lm_scoring.fit(words.repartition(3), 1, table_bits=12, mixer_words=200)
-    assert np.array_equal(made.weights, again.weights) and np.array_equal(made.map, again.map)
-
-
-def test_classes_are_fitted_on_all_documents(spark):
-    """All documents that a draw by hash picks are of one language; the others are of another."""
-    rng, a, b = random.Random(5), [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
-    ids = spark.range(4000).selectExpr("id", "cast(concat(id, '') as binary) text").collect()
-    texts = []
-    for r in ids:
-        texts.append((r["id"], " ".join(rng.choices(a, k=20)), " ".join(rng.choices(b, k=20))))
-    df = spark.createDataFrame(texts, "doc_id long, a string, b string").selectExpr("doc_id", "if(pmod(xxhash64(doc_id, cast(a as binary)), 4) = 0, a, b) text")
-    found = lm_scoring.fit_classes(df.selectExpr("cast(text as binary) text"), 2)
-    assert len(found.words) == 120
-    one = found.of([x.encode() for x in a])
-    assert found.of([x.encode() for x in b]) != one
-    assert abs(found.priors[one] - df.where("text like 'a%'").count() / 4000) < 0.01
+def fitted(texts, table_bits=12, least=2):
+    """A model of texts that is read by one learner, without Spark."""
+    tokens = [lm_scoring.tokens_of(t.encode()) for t in texts]
+    counts = Counter(t for x in tokens for t in x)
+    top = sorted(((t, n) for t, n in counts.items() if n >= least), key=lambda x: (-x[1], x[0]))
+    total, inside = sum(counts.values()), sum(n for _, n in top)
+    tree = lm_scoring.Tree([t for t, _ in top], [n for _, n in top], total - inside)
+    learner = lm_scoring.Learner(tree, table_bits)
+    learner.read(tokens)
+    packed = [np.array([lm_scoring.packed(row.astype(np.int64)) for row in c]) for c in learner.counts]
+    single = sum(n == 1 for n in counts.values())
+    return lm_scoring.Model(tree, table_bits, packed, [[*m.weights, m.map] for m in learner.mixers], total, len(counts), total - inside, single / max(total - inside, 1)), counts
 
 
+def scored(model, counts, text, own=0):
+    tokens = lm_scoring.tokens_of(text.encode())
+    return float(model.log_probabilities([tokens], [np.array([counts[t] for t in tokens])], np.array([own]))[0])
+
+
+def test_texts_are_a_distribution():
+    """Over all texts of at most one token, and what longer ones leave: no more than one."""
+    model, counts = fitted(["ab ba ab", "ba ab ab ab", "ab c", "d ba"])
+    texts = ["", *(t.decode() for t in counts if t), *(chr(k) for k in range(33, 127) if chr(k).lower() == chr(k) and chr(k).encode() not in counts)]
+    mass = sum(math.exp(scored(model, counts, t)) for t in texts)
+    assert 0.05 < mass < 1
+    first = np.exp(model.log_probabilities([[t.encode()] for t in texts], [np.array([counts[t.encode()]]) for t in texts], np.zeros(len(texts), np.int64)))
+    assert first.sum() < 1  # over the first token
+
+
+def test_words_before_count():
+    """In running text the word before tells the next one."""
+    r = random.Random(2)
+    pairs = [("alpha", "one"), ("beta", "two"), ("gamma", "three"), ("delta", "four")]
+    texts = [" ".join(w for _ in range(20) for w in r.choice(pairs)) for _ in range(300)]
+    model, counts = fitted(texts, 16)
+    assert scored(model, counts, "alpha one beta two gamma three") > scored(model, counts, "alpha three beta one gamma two") + 5
+
+
+def test_reading_adapts():
+    """A long text that goes against the trained weights costs less a token as it is read on."""
+    r = random.Random(3)
+    model, counts = fitted([" ".join(r.choices(["a", "b", "c", "d"], [8, 4, 2, 1], k=60)) for _ in range(200)], 14)
+    cost = [scored(model, counts, "d " * n) for n in (1, 33, 2049)]
+    assert (cost[2] - cost[1]) / 2016 > (cost[1] - cost[0]) / 32 + 0.3
+
+
+def test_own_counts_are_left_out():
+    """A training text is scored as by a model that counted it away: its one-off words are new to it."""
+    texts = ["red green blue", "red blue green", "zebra red green", "green red blue"]
+    model, counts = fitted(texts)
+    known = scored(model, counts, "zebra red green")
+    assert scored(model, counts, "zebra red green", own=1) < known - 2
+
+
+def test_batches_do_not_count():
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["x", "y", "zz", "new%d" % r.randint(0, 50)]) for _ in range(r.randint(0, 300))) for _ in range(30)]
+    model, counts = fitted(texts)
+    tokens = [lm_scoring.tokens_of(t.encode()) for t in texts]
+    c = [np.array([counts[t] for t in x]) for x in tokens]
+    together = model.log_probabilities(tokens, c, np.arange(30) % 2)
+    alone = [model.log_probabilities([x], [y], np.array([k % 2]))[0] for k, (x, y) in enumerate(zip(tokens, c))]
+    assert np.allclose(together, alone, rtol=1e-12)
+
 
 def test_decontamination(spark):
     item = "What is the tallest mountain of the whole wide world as measured from the level of the sea? It is Mount Everest in Nepal."
