@@ -3,30 +3,35 @@
 The terms are pairs of neighbouring words (a word alone for an item of one word), lower-cased, with ASCII
 punctuation as white space. A posting's impact is the term's BM25 weight in the item divided by the item's whole
 BM25 weight, so that a passage's score for an item is the share of the item's weight that it holds, and one
-threshold serves all items. Every passage of every document is a query: passages are twice as long as the longest
-item and overlap by half, so that each item lies whole in one. A passage whose upper bounds don't reach the
-threshold ends there; the rest goes through block-max WAND, which returns all items above the threshold. A hit
+threshold serves all items. Every passage of every document is a query. Items are kept in classes of length (up to 32, 64,
+128 words and so on), each with an inverted index of its own; a class's passages are twice as long as its longest items may be and
+overlap by half, so that each item lies whole in one. A passage whose upper bounds don't reach the threshold ends there; the
+rest goes through block-max WAND over the stored postings and block maxima, which returns all items above the threshold. A hit
 counts when the passage holds enough of the five-word shingles of both the item's question and its answer (the
 last sentence, or the last quarter of the words where there is one sentence).
 
 The index goes to every task. It is made of the items in shards of at most ``shard_bytes`` of text, one scan of the
-documents for each, so that its size is bounded; each shard has BM25 statistics of its own.
+documents for each, so that its size is bounded. Document frequencies, the number of items and their mean length are counted
+over all items first, so that scores don't depend on shards.
 
 Defined cases: null or empty texts hold nothing; null or empty items match nothing. Repeated items hit each,
-repeated documents are each judged. Without items no document is a hit. Further columns pass through ``keep_clean``;
+repeated documents are each judged; item ids may be of any type. A score equal to the threshold is a hit. Without items no
+document is a hit. A very long text is read as passages like any other. Further columns pass through ``keep_clean``;
 names beginning with ``__d_`` are ours.
 """
 
 from __future__ import annotations
 
 import string
+from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paragrid.llm.common import map_batches
+from paragrid.llm.common import map_batches, materialize
 
 _TABLE = bytes(32 if chr(b) in string.punctuation else b for b in range(256))
 SHINGLE = 5
@@ -63,50 +68,66 @@ def _overlap(part: list, passage: list) -> float:
 
 
 class Postings:
-    """Items of one term by rising number, with impacts and the greatest impact of each block."""
+    """The lists of all terms, one after another: items by rising number with impacts; for each block of a list its
+    greatest impact and its last item; for each list its greatest impact."""
 
     BLOCK = 64
 
-    def __init__(self, entries: list[tuple[int, float]]):
-        self.items, self.impacts = [e[0] for e in entries], [e[1] for e in entries]
-        self.most = max(self.impacts)
-        self.block_most = [max(self.impacts[k : k + self.BLOCK]) for k in range(0, len(entries), self.BLOCK)]
-        self.block_last = [self.items[min(k + self.BLOCK, len(entries)) - 1] for k in range(0, len(entries), self.BLOCK)]
+    def __init__(self, term: np.ndarray, item: np.ndarray, impact: np.ndarray, terms: int):
+        order = np.lexsort((item, term))
+        term, item, impact = term[order], item[order], impact[order]
+        starts = np.searchsorted(term, np.arange(terms + 1))
+        sizes = np.diff(starts)
+        blocks = np.append(0, np.cumsum(-(-sizes // self.BLOCK)))
+        block_term = np.repeat(np.arange(terms), np.diff(blocks))
+        first = starts[block_term] + (np.arange(len(block_term)) - blocks[block_term]) * self.BLOCK
+        last = np.minimum(first + self.BLOCK, starts[block_term + 1]) - 1
+        most = np.maximum.reduceat(impact, first) if len(first) else np.zeros(0)
+        self.most = np.maximum.reduceat(most, blocks[:-1]) if terms else np.zeros(0)
+        self.items, self.impacts, self.starts = array("q", item.tolist()), array("d", impact.tolist()), array("q", starts.tolist())
+        self.blocks, self.block_most, self.block_last = array("q", blocks.tolist()), array("d", most.tolist()), array("q", item[last].tolist() if len(first) else [])
 
 
 class Cursor:
     END = 1 << 60
 
-    def __init__(self, postings: Postings):
-        self.p, self.at, self.block = postings, 0, 0
-        self.item = postings.items[0]
+    def __init__(self, lists: Postings, term: int):
+        self.p, self.start, self.end, self.most = lists, lists.starts[term], lists.starts[term + 1], float(lists.most[term])
+        self.at, self.block, self.first_block, self.last_block = self.start, lists.blocks[term], lists.blocks[term], lists.blocks[term + 1]
+        self.item = lists.items[self.at]
+
+    def _block(self, item: int) -> int:
+        """The first block from here on whose last item isn't below the given one."""
+        k, last = max(self.block, self.first_block + (self.at - self.start) // Postings.BLOCK), self.p.block_last
+        while k < self.last_block and last[k] < item:
+            k += 1
+        self.block = k
+        return k
 
     def seek(self, item: int) -> None:
-        """To the first posting whose item isn't below the given one, skipping whole blocks."""
-        p = self.p
-        while self.at < len(p.items) and p.items[self.at] < item:
-            k = self.at // p.BLOCK
-            self.at = (k + 1) * p.BLOCK if p.block_last[k] < item else self.at + 1
-        self.item = p.items[self.at] if self.at < len(p.items) else self.END
+        """To the first posting whose item isn't below the given one; blocks before it are skipped by their last items."""
+        k = self._block(item)
+        if k == self.last_block:
+            self.at, self.item = self.end, self.END
+            return
+        low = self.start + (k - self.first_block) * Postings.BLOCK
+        self.at = bisect_left(self.p.items, item, max(self.at, low), min(low + Postings.BLOCK, self.end))
+        self.item = self.p.items[self.at]
 
     def bound(self, item: int) -> tuple[float, int]:
         """The greatest impact in the block that would hold an item, and that block's last item."""
-        p = self.p
-        k = max(self.block, self.at // p.BLOCK)
-        while k < len(p.block_last) and p.block_last[k] < item:
-            k += 1
-        self.block = k
-        return (p.block_most[k], p.block_last[k]) if k < len(p.block_last) else (0.0, self.END - 1)
+        k = self._block(item)
+        return (self.p.block_most[k], self.p.block_last[k]) if k < self.last_block else (0.0, self.END - 1)
 
 
-def block_max_wand(lists: list[Postings], least: float) -> list[tuple[int, float]]:
-    """(item, score) of all items whose impacts add up to at least the threshold."""
-    cursors, found = [Cursor(p) for p in lists], []
+def block_max_wand(lists: Postings, terms: list[int], least: float) -> list[tuple[int, float]]:
+    """(item, score) of all items whose impacts in the lists of the terms add up to at least the threshold."""
+    cursors, found = [Cursor(lists, t) for t in terms], []
     while True:
         cursors = sorted((c for c in cursors if c.item < Cursor.END), key=lambda c: c.item)
         total, pivot = 0.0, -1
         for k, c in enumerate(cursors):
-            total += c.p.most
+            total += c.most
             if total >= least:
                 pivot = k
                 break
@@ -118,7 +139,7 @@ def block_max_wand(lists: list[Postings], least: float) -> list[tuple[int, float
         bounds = [c.bound(item) for c in cursors[: pivot + 1]]
         if sum(b for b, _ in bounds) >= least:
             if cursors[0].item == item:
-                score = sum(c.p.impacts[c.at] for c in cursors[: pivot + 1])
+                score = sum(lists.impacts[c.at] for c in cursors[: pivot + 1])
                 if score >= least:
                     found.append((item, score))
                 for c in cursors[: pivot + 1]:
@@ -142,44 +163,24 @@ class _Ids(dict):
         return 0
 
 
-class Index:
-    """The items of one shard; hits() queries it with all passages of a text.
+def terms_of(words: list[bytes]) -> list[bytes]:
+    """An item's terms, repeats included."""
+    return [a + b" " + b for a, b in zip(words, words[1:])] if len(words) > 1 else words
 
-    Postings and words are flat arrays of numbers, a few bytes for each word of the items, as every task holds a copy;
-    a term's list with its blocks is cut from them when a passage needs it."""
-
-    def __init__(self, items: list[tuple[object, str | None]], least: float = 0.5, least_overlap: float = 0.8, k1: float = 1.2, b: float = 0.75):
-        self.least, self.least_overlap = least - 1e-9, least_overlap
-        kept = [(i, t, w) for i, t in items if t and (w := words_of(t))]
-        self.ids, self.vocabulary = [i for i, _, _ in kept], _Ids()
-        number = lambda words: np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
-        numbers = [number(words) for _, _, words in kept]
-        parts = [number(p) for _, t, _ in kept for p in question_answer(t)]
-        self.part_ends, self.part_words = np.cumsum([0, *map(len, parts)]), _joined(parts).astype(np.int32)
-        self.width = len(self.vocabulary) + 1
-        terms = [np.unique(n[:-1] * self.width + n[1:] if len(n) > 1 else n, return_counts=True) for n in numbers]
-        self.alone = any(len(n) == 1 for n in numbers)
-        keys, f = _joined([t for t, _ in terms]), _joined([n for _, n in terms]).astype(np.float64)
-        item, sizes = np.repeat(np.arange(len(kept)), [len(t) for t, _ in terms]), np.array([len(n) for n in numbers], np.float64)
-        self.terms, term, df = np.unique(keys, return_inverse=True, return_counts=True)
-        length = sizes[item] / (sizes.mean() if len(kept) else 1.0)
-        impact = np.log(1 + (len(kept) - df[term] + 0.5) / (df[term] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * length))
-        order = np.lexsort((item, term))
-        self.items, self.impacts = item[order].astype(np.int32), (impact / np.bincount(item, impact, len(kept))[item])[order]
-        self.starts = np.append(0, np.cumsum(df))
-        self.most = np.maximum.reduceat(self.impacts, self.starts[:-1]) if len(self.terms) else np.zeros(0)
-        self.stride = max(32, max(map(len, numbers), default=0))
 
-    def postings(self, term: int) -> Postings:
-        at = slice(self.starts[term], self.starts[term + 1])
-        return Postings(list(zip(self.items[at].tolist(), self.impacts[at].tolist())))
+class Level:
+    """The items of one class of length: their terms, as numbers of two words, and postings."""
 
-    def part(self, k: int) -> list[int]:
-        """The words' numbers of a question (2 * item) or an answer (2 * item + 1)."""
-        return self.part_words[self.part_ends[k] : self.part_ends[k + 1]].tolist()
+    def __init__(self, numbers: list[np.ndarray], items: list[int], weights: list[tuple[np.ndarray, np.ndarray]], width: int, stride: int):
+        self.stride, self.width = stride, width
+        keys = np.concatenate([k for k, _ in weights])
+        item = np.repeat(items, [len(k) for k, _ in weights])
+        self.terms, term = np.unique(keys, return_inverse=True)
+        self.alone = any(len(n) == 1 for n in numbers)
+        self.lists = Postings(term, item, np.concatenate([w for _, w in weights]), len(self.terms))
 
-    def _matches(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of words at which a term of the index begins, and the terms' numbers."""
+    def matches(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of words at which a term begins, and the terms' numbers."""
         at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
         keys = ids[at] * self.width + ids[at + 1]
         if self.alone:
@@ -191,64 +192,122 @@ class Index:
         hit = self.terms[k] == keys
         return at[hit], k[hit]
 
-    def hits(self, text: str | None) -> list[tuple[object, float, float, float]]:
-        """(item id, score, question overlap, answer overlap), the best passage of each item that a text holds."""
-        words = words_of(text) if text and len(self.terms) else []
+    def candidates(self, ids: np.ndarray, least: float):
+        """(item, score, passage) of all items whose score in a passage of the text reaches the threshold."""
+        at, terms = self.matches(ids)
+        if not len(at):
+            return
+        part = at // self.stride
+        bound = np.bincount(part, self.lists.most[terms], part.max() + 2)
+        for k in np.flatnonzero(bound + np.append(bound[1:], 0) >= least).tolist():
+            inside = set(terms[np.searchsorted(part, k) : np.searchsorted(part, k + 2)].tolist())
+            passage = None
+            for item, score in block_max_wand(self.lists, sorted(inside), least):
+                passage = ids[k * self.stride : (k + 2) * self.stride].tolist() if passage is None else passage
+                yield item, score, passage
+
+
+class Index:
+    """The items of one shard; hits() queries it with all passages of a text.
+
+    items: (text, document frequency of each of its terms among all items); n: how many items there are in all, mean: their mean length in
+    words. Postings and words are flat arrays of numbers, a few bytes for each word of the items, as every task holds a copy."""
+
+    def __init__(self, items: list[tuple[str | None, dict[bytes, int]]], n: int, mean: float, least: float = 0.5, least_overlap: float = 0.8, k1: float = 1.2, b: float = 0.75):
+        self.least, self.least_overlap = least - 1e-9, least_overlap
+        kept = [(at, t, w, df) for at, (t, df) in enumerate(items) if t and (w := words_of(t))]
+        self.rows, self.vocabulary = [at for at, _, _, _ in kept], _Ids()
+        number = lambda words: np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)
+        numbers = [number(words) for _, _, words, _ in kept]
+        parts = [number(p) for _, t, _, _ in kept for p in question_answer(t)]
+        self.part_ends, self.part_words = np.cumsum([0, *map(len, parts)]), _joined(parts).astype(np.int32)
+        width = len(self.vocabulary) + 1
+        classes: dict[int, list[int]] = {}
+        weights = []
+        for k, (_, _, words, dfs) in enumerate(kept):
+            ids = numbers[k]
+            keys, first, f = np.unique(ids[:-1] * width + ids[1:] if len(ids) > 1 else ids, return_index=True, return_counts=True)
+            terms = terms_of(words)
+            df = np.array([dfs[terms[j]] for j in first.tolist()], np.float64)
+            weight = np.log(1 + (n - df + 0.5) / (df + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * len(words) / mean))
+            weights.append((keys, weight / weight.sum()))
+            stride = 32
+            while stride < len(words):
+                stride *= 2
+            classes.setdefault(stride, []).append(k)
+        self.levels = [Level([numbers[k] for k in mine], mine, [weights[k] for k in mine], width, stride) for stride, mine in sorted(classes.items())]
+
+    def part(self, k: int) -> list[int]:
+        """The words' numbers of a question (2 * item) or an answer (2 * item + 1)."""
+        return self.part_words[self.part_ends[k] : self.part_ends[k + 1]].tolist()
+
+    def hits(self, text: str | None) -> list[tuple[int, float, float, float]]:
+        """(item's row, score, question overlap, answer overlap), the best passage of each item that a text holds."""
+        words = words_of(text) if text and self.levels else []
         if not words:
             return []
         ids = np.array(list(map(self.vocabulary.__getitem__, words)), np.int64)  # 0: in no item
-        at, terms = self._matches(ids)
-        if not len(at):
-            return []
-        part = at // self.stride
-        bound = np.bincount(part, self.most[terms], part.max() + 2)
         best: dict[int, tuple[float, float, float]] = {}
-        for k in np.flatnonzero(bound + np.append(bound[1:], 0) >= self.least).tolist():
-            lists = [self.postings(t) for t in set(terms[np.searchsorted(part, k) : np.searchsorted(part, k + 2)].tolist())]
-            passage = ids[k * self.stride : (k + 2) * self.stride].tolist()
-            for i, score in block_max_wand(lists, self.least):
+        for level in self.levels:
+            for i, score, passage in level.candidates(ids, self.least):
                 question, answer = (_overlap(self.part(2 * i + p), passage) for p in (0, 1))
                 if question >= self.least_overlap and answer >= self.least_overlap:
                     best[i] = max(best.get(i, (0.0, 0.0, 0.0)), (score, question, answer))
-        return [(self.ids[i], *v) for i, v in sorted(best.items())]
+        return [(self.rows[i], *v) for i, v in sorted(best.items())]
+
+
+def _item_terms(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(key, words, distinct terms) of each item."""
+    words = [words_of(t) if t else [] for t in batch.column(1).to_pylist()]
+    terms = [sorted(set(terms_of(w))) for w in words]
+    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, words), pa.int64()), pa.array(terms, pa.list_(pa.binary()))], names=["key", "words", "terms"])
 
 
 def shards(items: DataFrame, id_col: str = "item_id", text_col: str = "text", shard_bytes: int = 16 << 20):
-    """Indexes of the items, each over at most about shard_bytes of text."""
-    total = items.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    n = max(1, -(-2 * total // shard_bytes)) if total > shard_bytes else 1
-    for k in range(n):
-        mine = items.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == k) if n > 1 else items
-        yield Index([(r[0], r[1]) for r in mine.select(id_col, text_col).collect()])  # bounded by shard_bytes
+    """(index, item ids) of the items, each over at most about shard_bytes of text."""
+    keyed = materialize(items.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "items")
+    terms = materialize(map_batches(keyed.select("key", "text"), _item_terms, "key long, words long, terms array<binary>"), "terms")
+    n, mean = terms.where("words > 0").agg(F.count("*"), F.avg("words")).first()
+    each = terms.select("key", F.explode("terms").alias("term"))
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    told = each.join(df, "term").groupBy("key").agg(F.collect_list(F.struct("term", "df")).alias("df"))  # as long as the item
+    told = materialize(keyed.join(told, "key", "left"), "told")
+    total = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    count = max(1, -(-2 * total // shard_bytes)) if total > shard_bytes else 1
+    for k in range(count):
+        table = told.where(F.pmod(F.xxhash64("key"), F.lit(count)) == k).select("id", "text", "df").toArrow().combine_chunks()  # bounded by shard_bytes
+        rows = zip(table.column("text").to_pylist(), table.column("df").to_pylist())
+        ids = table.column("id")
+        yield Index([(text, {d["term"]: d["df"] for d in df or ()}) for text, df in rows], n, mean or 1.0), (ids.chunk(0) if ids.num_chunks else pa.array([], ids.type))
 
 
 def contaminated(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap of each test item found in each document."""
     kinds = df.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
-    item_type = pa.string() if kinds[1] == "string" else pa.int64()
     out = None
-    for index in shards(items, item_col, item_text_col, shard_bytes):
-        shared = df.sparkSession.sparkContext.broadcast(index)
+    for made in shards(items, item_col, item_text_col, shard_bytes):
+        shared = df.sparkSession.sparkContext.broadcast(made)
 
         def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            rows = [(k, *hit) for k, text in enumerate(batch.column(1).to_pylist()) for hit in shared.value.hits(text)]
+            index, ids = shared.value
+            rows = [(k, *hit) for k, text in enumerate(batch.column(1).to_pylist()) for hit in index.hits(text)]
             at, item, score, question, answer = zip(*rows) if rows else [()] * 5
-            values = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(item, item_type), *(pa.array(x, pa.float64()) for x in (score, question, answer))]
+            values = [batch.column(0).take(pa.array(at, pa.int64())), ids.take(pa.array(item, pa.int64())), *(pa.array(x, pa.float64()) for x in (score, question, answer))]
             return pa.RecordBatch.from_arrays(values, names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        made = map_batches(df.select(F.col(id_col).alias("doc_id"), text_col), run, f"doc_id {kinds[0]}, item_id {'string' if kinds[1] == 'string' else 'long'}, score double, question_overlap double, answer_overlap double")
-        out = made if out is None else out.unionByName(made)
+        found = map_batches(df.select(F.col(id_col).alias("doc_id"), text_col), run, f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double")
+        out = found if out is None else out.unionByName(found)
     return out
 
 
 def keep_clean(df: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = 16 << 20) -> DataFrame:
     """The rows of df that hold no test item."""
     at = df.columns.index(text_col)
-    for index in shards(items, item_col, item_text_col, shard_bytes):
-        shared = df.sparkSession.sparkContext.broadcast(index)
+    for made in shards(items, item_col, item_text_col, shard_bytes):
+        shared = df.sparkSession.sparkContext.broadcast(made)
 
         def run(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            return batch.filter(pa.array([not shared.value.hits(x) for x in batch.column(at).to_pylist()], pa.bool_()))
+            return batch.filter(pa.array([not shared.value[0].hits(x) for x in batch.column(at).to_pylist()], pa.bool_()))
 
         df = map_batches(df, run, df.schema)
     return df

@@ -282,15 +282,71 @@ def test_decontamination(spark):
     assert decontamination.contaminated(df.limit(0), items).count() == 0 and decontamination.contaminated(df, items.limit(0)).count() == 0
 
 
+def brute_hits(text, items, least=0.5, least_overlap=0.8):
+    """Items that some passage of some length holds, by the rules alone: no index, no bounds."""
+    words_of, overlap = decontamination.words_of, decontamination._overlap
+    words = [words_of(t or "") for t in items]
+    terms = [Counter(decontamination.terms_of(w)) for w in words]
+    df = Counter(t for x in terms for t in x)
+    n, mean = sum(map(bool, words)), np.mean([len(w) for w in words if w] or [1])
+    held, found = words_of(text or ""), {}
+    for i, (w, c) in enumerate(zip(words, terms)):
+        if not w:
+            continue
+        weight = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t, f in c.items()}
+        stride = max(32, 1 << (len(w) - 1).bit_length())
+        for at in range(0, len(held), stride):
+            passage = held[at : at + 2 * stride]
+            inside = set(decontamination.terms_of(passage)) if len(w) > 1 else set(passage)
+            score = sum(x for t, x in weight.items() if t in inside) / sum(weight.values())
+            parts = [overlap(p, passage) for p in decontamination.question_answer(items[i])]
+            if score >= least - 1e-9 and min(parts) >= least_overlap:
+                found[i] = max(found.get(i, (0.0,)), (round(score, 9), *parts))
+    return found
+
+
+def test_contaminated_against_brute_force(spark):
+    """Altered items in filler of their own words, of very different lengths, in one shard or many."""
+    r = random.Random(13)
+    pool = [f"w{k}" for k in range(60)]
+    items = ["".join(r.choice([" ", " ", " ", ". "]) + r.choice(pool) for _ in range(n)) for n in (1, 2, 5, 20, 33, 70, 140, 300)] + [None, "", "w1 w2. w1 w2 w1 w2"]
+    items.append(items[3])
+    texts = []
+    for _ in range(120):
+        w = r.choice([x for x in items if x]).split()
+        for _ in range(r.randint(0, 1 + len(w) // 12)):
+            w[r.randrange(len(w))] = r.choice(pool)
+        texts.append(" ".join(r.choices(pool, k=r.randint(0, 200)) + w + r.choices(pool, k=r.randint(0, 60))))
+    texts += [None, "", " ".join(r.choices(pool, k=30_000)) + " " + items[5]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame = spark.createDataFrame([(f"2024-01-{k + 1:02d}", t) for k, t in enumerate(items)], "item_id string, text string").selectExpr("cast(item_id as date) item_id", "text")
+    want = {(d, i): v for d, t in enumerate(texts) for i, v in brute_hits(t, items).items()}
+    assert len(want) > 100
+    for size in (16 << 20, 300):
+        found = decontamination.contaminated(df, frame, shard_bytes=size)
+        assert found.schema["item_id"].dataType.simpleString() == "date"
+        got = {(x["doc_id"], x["item_id"].day - 1): (round(x["score"], 9), x["question_overlap"], x["answer_overlap"]) for x in found.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+
+
 def test_wand_finds_all_above_the_threshold():
     r = random.Random(1)
     for _ in range(150):
-        lists = [decontamination.Postings([(i, r.random()) for i in sorted(r.sample(range(500), r.randint(1, 300)))]) for _ in range(r.randint(1, 7))]
-        least, sums = r.random() * 4, Counter()
-        for p in lists:
-            for i, x in zip(p.items, p.impacts):
-                sums[i] += x
-        assert sorted(i for i, x in sums.items() if x >= least) == sorted(i for i, _ in decontamination.block_max_wand(lists, least))
+        rows = [(t, i, r.random()) for t in range(r.randint(1, 7)) for i in r.sample(range(500), r.randint(1, 300))]
+        term, item, impact = map(np.array, zip(*rows))
+        lists = decontamination.Postings(term, item, impact, int(term.max()) + 1)
+        least, sums, chosen = r.random() * 4, Counter(), r.sample(range(int(term.max()) + 1), r.randint(1, int(term.max()) + 1))
+        for t, i, x in rows:
+            sums[i] += x * (t in chosen)
+        assert sorted(i for i, x in sums.items() if x >= least) == sorted(i for i, _ in decontamination.block_max_wand(lists, chosen, least))
+
+
+def test_block_maxima_decide():
+    """WAND trusts the stored maxima: without them items are lost."""
+    lists = decontamination.Postings(np.zeros(200, np.int64), np.arange(200), np.linspace(0.1, 1, 200), 1)
+    assert len(decontamination.block_max_wand(lists, [0], 0.9)) > 10
+    lists.block_most = type(lists.block_most)("d", [0.0] * len(lists.block_most))
+    assert decontamination.block_max_wand(lists, [0], 0.9) == []
 
 
 def test_pipeline(spark, whole, tmp_path):
