@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from paragrid.llm import decontamination, line_dedup, lm_scoring, packing, quality_rules
@@ -94,6 +95,30 @@ def test_count_index():
     others = np.random.default_rng(2).integers(2**63, 2**64, 50_000, dtype=np.uint64)
     assert (index.probe(others) > 0).sum() <= 1
     assert line_dedup.CountIndex(keys[:0], counts[:0]).probe(keys[:3]).tolist() == [0, 0, 0]
+    again = line_dedup.CountIndex.of(*index.arrays())  # as read from its table
+    assert (again.probe(keys) == counts).all() and (again.probe(others) > 0).sum() <= 1
+    assert (line_dedup.CountIndex(keys, counts, 64).probe(others) == 0).all()
+
+
+def test_documents_probe_the_arrays(spark, monkeypatch):
+    """What the arrays say decides, for hot lines and for others: with other counts in them other lines go."""
+    texts = [f"hot line\nown {k}\n" + ("seldom" if k < 12 else f"more {k}") for k in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = lambda: Counter(x for r in line_dedup.drop_common_lines(df, block_bytes=100).collect() for x in r["text"].split("\n"))
+    before = lines()
+    assert "hot line" not in before and "seldom" not in before and len(before) == 388
+    built = line_dedup.build
+
+    def emptied(*a):
+        """The index with all counts, hot ones too, set to one."""
+        found = built(*a)
+        ones = F.udf(lambda x: (1).to_bytes(4, "little") * (len(x) // 4), "binary")
+        few = F.udf(lambda x: (1).to_bytes(8, "little") * (len(x) // 8), "binary")
+        return found.withColumns({"counts": ones("counts"), "hot_counts": few("hot_counts")})
+
+    monkeypatch.setattr(line_dedup, "build", emptied)
+    after = lines()
+    assert after["hot line"] == 200 and after["seldom"] == 12
 
 
 @pytest.fixture(scope="module")
