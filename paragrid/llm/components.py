@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paragrid.llm.common import materialize
+from paragrid.llm.common import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,9 +26,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct(), "large")
+        discard(least)
+        discard(now)
         smallest = materialize(large.groupBy("hi").agg(F.min("lo").alias("m")), "smallest")
         rest = large.join(smallest, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         now = materialize(rest.unionByName(smallest.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
+        discard(large)
+        discard(smallest)
         before, state = state, _state(now)
         if state == before:
             break

@@ -3,14 +3,13 @@
 A fingerprint sums the bits of the XXH64 hashes of a text's word shingles. Two fingerprints link when at most
 two bits differ. The 64 bits form a ring of five segments. If the differences over the ring add up to two at
 most, there is a segment from which every chain of consecutive segments stays within its share of the budget:
-none in one or two segments (0.4, 0.8), one in three or four (1.2, 1.6). So fingerprints are keyed by each
-pair of neighbouring segments, equal pairs meet, the chain is extended over the next two segments, and only
-what is left gets the full Hamming check.
+none in one or two segments (0.4, 0.8), one in three or four (1.2, 1.6). So a fingerprint has a partner only if one of its
+chains meets another fingerprint's: first by the two equal segments, then with the third that differs by a bit at most. Fingerprints that
+meet none are pruned at each step. Chains are counted by key, never paired, so that the work is linear in any bucket.
 
-Only distinct fingerprints are keyed. A bucket of at most ``bucket_limit`` fingerprints is compared by a
-self-join. Fuller buckets are not compared pair by pair: each of their fingerprints is put under itself and its
-64 one-bit changes; any two that link share such a key, all that share one link by way of it, and each is tied
-to the least. That is exact and linear. Components are then found over fingerprints.
+The full Hamming check of what is left puts each fingerprint under itself and its 64 one-bit changes: two that differ
+in two bits at most share such a key, all that share one link by way of it, and each is tied to the least. That is exact and
+linear, whatever the number of near fingerprints. Components are then found over fingerprints.
 
 Defined cases: a null or empty text has no words and fingerprint zero; a text of fewer words than a shingle
 is one shingle. Repeated rows and ids each get a row. A null id stays null and never names a component unless
@@ -69,60 +68,63 @@ def _lit(mask: int) -> Column:
     return F.lit(mask - (1 << 64) if mask >> 63 else mask).cast("long")
 
 
-def _within_chain(x: Column, start: Column) -> Column:
-    """Whether the chain that begins with segments start, start + 1 stays within its shares over two more."""
-    masks, n = _masks(), len(SEGMENTS)
-    fits = F.lit(False)
-    for i in range(n):
-        third, both = _lit(masks[(i + 2) % n]), _lit(masks[(i + 2) % n] | masks[(i + 3) % n])
-        within = (F.bit_count(x.bitwiseAND(third)) <= 3 * DISTANCE // n) & (F.bit_count(x.bitwiseAND(both)) <= 4 * DISTANCE // n)
-        fits = F.when(start == i, within).otherwise(fits)
-    return fits
+def _bits(mask: int) -> list[int]:
+    return [1 << k for k in range(64) if mask >> k & 1]
 
 
-def links(fps: DataFrame, bucket_limit: int = 32) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints fp: enough of them to connect all that differ in at most two bits."""
+def _meeting(fps: DataFrame) -> DataFrame:
+    """The fingerprints fp one of whose chains over three segments meets that of another one."""
     masks, n = _masks(), len(SEGMENTS)
-    keys = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(_lit(masks[i] | masks[(i + 1) % n])).alias("key")) for i in range(n)])
-    keyed = fps.select("fp", F.inline(keys))
-    sizes = materialize(keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    met = materialize(keyed.join(sizes, ["i", "key"]), "met")
-
-    few = met.where(F.col("n") <= bucket_limit)
-    x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
-    near = (F.col("l.i") == F.col("r.i")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.fp") < F.col("r.fp")) & _within_chain(x, F.col("l.i")) & (F.bit_count(x) <= DISTANCE)
-    pairs = few.alias("l").join(few.alias("r"), near).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
-
-    many = met.where(F.col("n") > bucket_limit).select("fp").distinct()
+    two = F.array(*[F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(_lit(masks[i] | masks[(i + 1) % n])).alias("key")) for i in range(n)])
+    keyed = fps.select("fp", F.inline(two))
+    again = materialize(keyed.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1").select("i", "key"), "chains")
+    met = materialize(keyed.join(again, ["i", "key"]).select("fp", "i"), "met")
+
+    def variants(i: int):
+        """Chain i: its three segments, as they are and with each bit of the third changed."""
+        own = F.col("fp").bitwiseAND(_lit(masks[i] | masks[(i + 1) % n] | masks[(i + 2) % n]))
+        flips = F.array(_lit(0), *[_lit(b) for b in _bits(masks[(i + 2) % n])])
+        return F.transform(flips, lambda flip: F.struct(own.bitwiseXOR(flip).alias("key"), (flip == 0).cast("int").alias("own")))
+
+    third = variants(0)
+    for i in range(1, n):
+        third = F.when(F.col("i") == i, variants(i)).otherwise(third)
+    chains = met.select("fp", "i", F.inline(third))
+    shared = materialize(chains.groupBy("i", "key").agg(F.count("*").alias("n"), F.sum("own").alias("own")).where("n > 1 and own > 0").select("i", "key"), "shared")
+    return chains.join(shared, ["i", "key"], "left_semi").select("fp").distinct()
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints fp: enough of them to connect all that differ in at most two bits."""
+    left = materialize(_meeting(fps), "left")
     flips = F.array(F.lit(0).cast("long"), *[_lit(1 << k) for k in range(64)])
-    around = many.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near"))
+    around = left.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("near"))
     least = around.groupBy("near").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("near", "a")
-    stars = around.join(least, "near").where("fp <> a").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(stars)
+    return around.join(least, "near").where("fp <> a").select("a", F.col("fp").alias("b"))
 
 
-def components(told: DataFrame, id_col: str = "doc_id", bucket_limit: int = 32) -> DataFrame:
+def components(told: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """fp, component_id: each distinct fingerprint with the smallest id reachable. told: (id, fp) read from files."""
     fps = materialize(told.groupBy("fp").agg(F.min(id_col).alias("id")), "fps")
-    roots = materialize(connected_components(links(fps.select("fp"), bucket_limit)), "roots")
+    roots = materialize(connected_components(links(fps.select("fp"))), "roots")
     named = fps.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = named.groupBy("root").agg(F.min("id").alias("least"))
     ids = named.select("fp", "root").join(least, "root").select("fp", "least")
     return materialize(fps.join(ids, "fp", "left").select("fp", F.coalesce("least", "id").alias("component_id")), "classes")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_limit: int = 32) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """id, fingerprint (16 hex digits), component_id for every row."""
-    told = materialize(fingerprints(df, [id_col], text_col), "fingerprints")
-    classes = components(told, id_col, bucket_limit)
+    told = materialize(fingerprints(df, [id_col], text_col, shingle), "fingerprints")
+    classes = components(told, id_col)
     return told.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The rows of df with one document of each component: that with the smallest id (nulls last), and of rows with
     the same id and text any one."""
     keys = df.withColumn("__s_h", F.xxhash64(text_col))
-    told = materialize(fingerprints(keys, [id_col, "__s_h"], text_col), "fingerprints")
+    told = materialize(fingerprints(keys, [id_col, "__s_h"], text_col, shingle), "fingerprints")
     classes = components(told, id_col)
     of = told.join(classes, "fp").select(F.coalesce("component_id", "fp").alias("c"), F.col("component_id").isNull().alias("c0"), F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("__s_h")).alias("k"))
     kept = materialize(of.groupBy("c", "c0").agg(F.min("k").alias("k")).select(F.col(f"k.{id_col}").alias("__s_id"), F.col("k.__s_h").alias("__s_k")).distinct(), "kept")

@@ -53,30 +53,49 @@ def test_fingerprints_and_components(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     fps = {i: brute_fingerprint(t) for i, t in enumerate(texts)}
     want = brute_components(fps)
-    for limit in (32, 1):  # by pairs, and by one-bit changes only
-        got = simhash.near_duplicates(df, bucket_limit=limit).collect()
-        assert len(got) == len(texts)
-        assert all(x["fingerprint"] == f"{fps[x['doc_id']]:016x}" and x["component_id"] == want[x["doc_id"]] for x in got)
+    got = simhash.near_duplicates(df).collect()
+    assert len(got) == len(texts)
+    assert all(x["fingerprint"] == f"{fps[x['doc_id']]:016x}" and x["component_id"] == want[x["doc_id"]] for x in got)
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and sorted(x["doc_id"] for x in kept.collect()) == sorted(set(want.values()))
 
 
-@pytest.mark.parametrize("limit", [32, 2])
-def test_links_connect_all_near_fingerprints(spark, limit):
-    """Planted fingerprints around a few centres: components equal those of all pairs."""
-    r = random.Random(limit)
+@pytest.mark.parametrize("centers, around", [(40, 5), (3, 150)])
+def test_links_connect_all_near_fingerprints(spark, centers, around):
+    """Planted fingerprints around a few centres, in small buckets and in full ones: components equal those of all pairs."""
+    r = random.Random(centers)
     fps = {}
-    for _ in range(8):
+    for _ in range(centers):
         center = r.getrandbits(64)
-        for _ in range(25):
+        for _ in range(around):
             fps[len(fps)] = center ^ sum({1 << r.randrange(64) for _ in range(r.randint(0, 3))})
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     told = spark.createDataFrame([(i, signed(x)) for i, x in fps.items()], "doc_id long, fp long")
-    got = told.join(simhash.components(told, bucket_limit=limit), "fp").collect()
+    got = told.join(simhash.components(told), "fp").collect()
     want = brute_components(fps)
     assert {x["doc_id"]: x["component_id"] for x in got} == want
 
 
+def test_chains_prune_and_lose_no_pair(spark):
+    """What the chains leave: exactly the fingerprints with a chain that meets another's, all near ones among them."""
+    r = random.Random(9)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    fps = [r.getrandbits(64) for _ in range(300)]
+    for x in fps[:60]:
+        fps.append(x ^ sum(1 << k for k in r.sample(range(64), r.randint(1, 6))))
+    fps = sorted(set(fps))
+    masks = simhash._masks()
+
+    def meets(a, b):
+        x = a ^ b
+        return any(not x & (masks[i] | masks[(i + 1) % 5]) and (x & masks[(i + 2) % 5]).bit_count() <= 1 for i in range(5))
+
+    want = {a for a in fps if any(a != b and meets(a, b) for b in fps)}
+    near = {a for a in fps if any(a != b and (a ^ b).bit_count() <= 2 for b in fps)}
+    got = {x["fp"] & (1 << 64) - 1 for x in simhash._meeting(spark.createDataFrame([(signed(x),) for x in fps], "fp long")).collect()}
+    assert got == want and near <= got and len(near) < len(got) < len(fps)
+
+
 def test_components_of_long_chains(spark):
     n = 60
     edges = [(k, k + 1) for k in range(0, n)] + [(100, 101), (5, 5)]
