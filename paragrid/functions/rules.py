@@ -198,6 +198,21 @@ TERM_REPLACEMENTS = [
 ]
 ANNEX_EXCLUDE = ["Regulation", "Directive", "Law", "Decree", "Regolamento"]
 DEFINITION_VERBS = ["means", "shall mean", "has the meaning", "indicates"]
+# Parts of the document itself, words that point within it, and what makes a name one of the document's own.
+INTERNAL_ANCHORS = ["Schedule", "Schedules", "Annex", "Annexes", "Annexure", "Annexures", "Attachment", "Attachments", "Appendix", "Appendices", "Appendixes", "Exhibit", "Exhibits", "Section", "Sections", "Paragraph", "Paragraphs", "Subparagraph", "Subparagraphs", "Clause", "Clauses", "Article", "Articles", "Chapter", "Chapters", "Part", "Parts"]
+INTERNAL_LOCATORS = ["above", "below", "hereof", "hereto", "herein", "hereinafter", "hereinabove", "hereinbelow", "hereunder", "foregoing", "preceding", "following", "said"]
+INTERNAL_DETERMINERS = ["this", "the present", "the said", "this same", "that precedes", "that follows", "the foregoing", "the preceding", "the following"]
+# Bold words before a colon that define no term, whole and as beginnings; what no term holds.
+BOLD_NO_TERMS = [
+    "subject", "re", "from", "to", "date", "sent", "cc", "bcc", "whereas", "now therefore", "now, therefore", "witnesseth", "in witness whereof", "attention", "attn", "address", "fax", "tel", "telephone", "phone", "email", "e-mail", "pec",
+    "oggetto", "premesso", "considerato", "visto", "tanto premesso", "tutto ciò premesso", "ora pertanto", "indirizzo", "all'attenzione", "all’attenzione", "asunto", "assunto", "considerando", "considerandos", "visto que",
+    "objet", "attendu", "attendu que", "considérant", "betreff", "erwägung", "in erwägung", "onderwerp", "overwegende", "aangezien", "temat", "zważywszy", "mając na uwadze", "tárgy", "mivel", "tekintettel arra", "aihe", "ottaen huomioon", "koska",
+]
+BOLD_NO_TERM_STARTS = ["if to ", "with copy to ", "se a ", "in caso di "]
+NO_TERM_PARTS = ['"', "“", "”", "«", "»", " means", " shall mean", " has the meaning", " is defined as"]
+HEADING_STYLES = ["heading", "fwbl", "legance title", "titulo", "titolo", "clausola", "articolo"]
+# Marks that stand between two revisions without parting them.
+TRANSPARENT_MARKS = ["commentRangeStart", "commentRangeEnd", "bookmarkStart", "bookmarkEnd", "proofErr"]
 
 
 def word_pattern(word: str) -> str:

@@ -15,6 +15,11 @@ def normalized(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
 
 
+def trimmed(text: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def match_count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 

@@ -1,50 +1,145 @@
-"""Definition blocks: finding them, grouping their rows, putting them in order."""
+"""Definition blocks: finding them, grouping their rows, putting them in order.
+
+A document has one block at most. It is found by windows over the document's rows: starts of definitions that stand close together, else a
+heading with definitions behind it. Rows may have a style and runs (of text and bold); where these are not named, texts alone decide."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paragrid.functions.text import defined_term, has_definition_verb
-from paragrid.operators.sequence import gap_clusters, look_ahead, running_group
+from paragrid.functions.rules import BOLD_NO_TERM_STARTS, BOLD_NO_TERMS, HEADING_STYLES, NO_TERM_PARTS
+from paragrid.functions.text import trimmed
+from paragrid.operators.sequence import running_group
+
+#: How far starts of one block may be from each other, how many isolated starts may go, and how far behind a heading definitions begin.
+GAP, MOST_TRIMS, AHEAD = 20, 5, 8
+QUOTES = {'"': '"”', "“": '”"', "‘": "’'", "«": "»"}
+_TERM = "|".join(f"{a}([^{b}]{{1,79}})[{b}]" for a, b in QUOTES.items())
+HEADING = r"(?i)^\s*(?:(?:Article|Clause|Section|Art\.|Cl\.|Sec\.)\s*\d+\s*[.:–—-]?\s*|\d+\s*[.:–—-]?\s+)?(?:Definitions(?:\s+and\s+Interpretation)?|Defined\s+Terms|Interpretation)\s*\.?\s*$"
+PREDICATE = r"(?U)^\s*[“”\"«»‘’']?\s*[A-Z][\w/&’'-]*(?:\s+[A-Z\d][\w/&’'-]*)*\s*[”\"»]?\s*(?:\s*[:–—-]\s*|\s+)(?i:means|shall\s+mean|has\s+the\s+meaning|indicates|signifies|refers\s+to)\b"
+
+
+def quoted_term(text: Column) -> Column:
+    """The term in quotes that a text begins with, closed within 80 characters; else null."""
+    found = F.regexp_extract(text, rf"(?U)^\s*(?:{_TERM})", 0)
+    term = trimmed(F.substring(trimmed(found), F.lit(2), F.length(trimmed(found)) - 2))
+    return F.when((found != "") & (term != ""), term)
+
+
+def bold_term(runs: Column, text: Column) -> Column:
+    """The bold words that a text with a colon begins with, up to a run that begins with a colon; null for other texts and for words of letters and notices."""
+    kind = "struct<parts:array<string>,on:boolean,off:boolean>"
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(True).alias("on"), F.lit(False).alias("off")).cast(kind)
+
+    def step(s: Column, r: Column) -> Column:
+        piece = trimmed(F.coalesce(r["text"], F.lit("")))
+        more = F.coalesce(r["bold"], F.lit(False)) & (piece != "")
+        colon = piece.startswith(":")
+        made = F.struct(F.when(more, F.array_append(s["parts"], piece)).otherwise(s["parts"]).alias("parts"), more.alias("on"), (~more & ~colon).alias("off"))
+        return F.when(s["on"], made).otherwise(s)
+
+    read = F.aggregate(runs, start, step)
+    term = trimmed(F.regexp_replace(F.array_join(read["parts"], " "), ":+$", ""))
+    head = F.lower(F.regexp_replace(trimmed(F.regexp_extract(term, "(?s)^([^:]*)", 1)), "[,. ]+$", ""))
+    stopped = head.isin(BOLD_NO_TERMS) | reduce(lambda c, x: c | head.startswith(x), BOLD_NO_TERM_STARTS, F.lit(False))
+    return F.when((F.size(read["parts"]) > 0) & ~read["off"] & text.contains(":") & ~stopped, term)
 
 
-def is_start(text: Column) -> Column:
-    """A quoted term and a body, or a term, a colon and a body."""
-    return defined_term(text).isNotNull() & (has_definition_verb(text) | text.rlike(r'^\s*["“«][^"”»]{1,80}["”»]\s*:'))
+def is_real_term(term: Column) -> Column:
+    """Whether a term can be one: of 60 characters or fewer, without quotes, definition verbs or a colon at its end."""
+    t = trimmed(F.coalesce(term, F.lit("")))
+    return (t != "") & (F.length(t) <= 60) & ~reduce(lambda c, x: c | t.contains(x), NO_TERM_PARTS, F.lit(False)) & ~t.endswith(":")
 
 
-def is_heading(text: Column, style: Column | None = None) -> Column:
-    by_text = (F.length(F.trim(text)) <= 60) & text.rlike(r"(?i)\bdefin") & ~text.rlike(r"[.;]\s*$")
-    return by_text if style is None else by_text | F.lower(style).startswith("heading")
+def is_start(text: Column, runs: Column | None = None) -> Column:
+    """A quoted term with five characters or more behind it, or a bold term before a colon."""
+    rest = F.regexp_replace(text, rf"(?U)^\s*(?:{_TERM})", "")
+    quoted = F.coalesce(quoted_term(text).isNotNull() & (F.length(trimmed(rest)) >= 5), F.lit(False))
+    return quoted if runs is None else quoted | bold_term(runs, text).isNotNull()
+
+
+def is_heading(style: Column | None, outline: Column | None = None) -> Column:
+    named = F.lit(False) if style is None else reduce(lambda c, x: c | F.coalesce(F.lower(style).startswith(x), F.lit(False)), HEADING_STYLES, F.lit(False))
+    return named if outline is None else named | outline.isNotNull()
+
+
+def _capitals(text: Column) -> Column:
+    t = trimmed(text)
+    return (t == F.upper(t)) & (F.length(t) > 5) & ~F.substring(t, 1, 3).rlike(r"\d")
+
+
+def sections(rows: DataFrame, text: str = "text", doc: str = "doc_id", order: str = "idx", style: str | None = None, runs: str | None = None) -> DataFrame:
+    """doc, first, last, n, by: the block of each document that has one, with the number of definition starts in it.
+
+    by cluster: two or more starts, after up to five isolated ones are dropped from the front, of which the first three stand within three gaps (two: within
+    one). The block reaches from the first of them to the last row before the next heading or line in capitals, or to the document's end.
+    by heading: a heading that names definitions with three or more predicates (term, then means or the like) in the eight rows behind it; up
+    to the last predicate that follows within a gap."""
+    at = Window.partitionBy(doc).orderBy(order)
+    words = F.coalesce(text, F.lit(""))
+    told = rows.select(doc, order, words.alias("t"), (F.col(style) if style else F.lit(None).cast("string")).alias("style"), is_start(words, F.col(runs) if runs else None).alias("start"))
+    blank, heading = trimmed(F.col("t")) == "", is_heading(F.col("style")) if style else F.lit(False)
+
+    starts = told.where("start").select(doc, order)
+    for k in (1, 2, 3):
+        starts = starts.withColumn(f"s{k}", F.lead(order, k).over(at))
+    here, rank = F.col(order), F.row_number().over(at)
+    tail = F.when(F.col("s3").isNotNull(), F.col("s3") - F.col("s1") <= 3 * GAP).otherwise(F.col("s2").isNotNull() & (F.col("s2") - F.col("s1") <= GAP))
+    isolated = F.coalesce((F.col("s1") - here > GAP) & tail, F.lit(False))
+    ranked = starts.withColumn("rank", rank).withColumn("stays", ~isolated | (rank > MOST_TRIMS))
+    first = F.min(F.when(F.col("stays"), F.col("rank"))).over(Window.partitionBy(doc))
+    kept = ranked.withColumn("from", first).where(F.col("rank") >= F.col("from"))
+    tight = F.when(F.col("s2").isNotNull(), F.col("s2") - here <= 3 * GAP).otherwise(F.coalesce(F.col("s1") - here <= GAP, F.lit(False)))
+    broken = F.sum(F.when(here - F.lag(order).over(at) > GAP, 1).otherwise(0)).over(at)
+    kept = kept.withColumns({"tight": F.first(tight).over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "broken": broken}).where("tight and broken = 0")
+    clusters = kept.groupBy(doc).agg(F.min(order).alias("first"), F.max(order).alias("final"))
 
+    capitals = _capitals(F.col("t")) & ~trimmed(F.col("t")).rlike('^["“‘«]') & ~F.substring(trimmed(F.col("t")), 1, 30).contains(":")
+    stop = ~blank & ~F.col("start") & (heading | capitals)
+    inside = told.join(clusters, doc).where(F.col(order) >= F.col("first"))
+    end = F.min(F.when(stop & (F.col(order) > F.col("final")), F.col(order)))
+    spans = inside.groupBy(doc).agg(F.min("first").alias("first"), end.alias("end"), F.max(order).alias("most"), F.min("final").alias("final"))
+    before = told.join(spans, doc).where(F.col(order).between(F.col("first"), F.col("most")) & (F.col("end").isNull() | (F.col(order) < F.col("end"))))
+    by_cluster = before.groupBy(doc).agg(F.min("first").alias("first"), F.max(order).alias("last"), F.sum(F.col("start").cast("int")).cast("long").alias("n"), F.lit("cluster").alias("by"))
 
-def sections(rows: DataFrame, text: str = "text", doc: str = "doc_id", order: str = "idx") -> DataFrame:
-    """doc, first, last, n, by: clusters of three or more definition starts, else a heading with three starts in the next eight rows."""
-    start = is_start(F.col(text))
-    clusters = gap_clusters(rows, start, 20, doc, order).where("n >= 3").select(doc, "first", "last", "n", F.lit("cluster").alias("by"))
-    headed = look_ahead(rows, is_heading(F.col(text)), start, 8, 3, doc, order).select(doc, (F.col(order) + 1).alias("first"), (F.col(order) + 8).alias("last"), F.col("hits").alias("n"), F.lit("heading").alias("by"))
-    return clusters.unionByName(headed.join(clusters.select(doc).distinct(), doc, "left_anti"))
+    rest = told.join(by_cluster.select(doc), doc, "left_anti").withColumn("hit", F.col("t").rlike(PREDICATE))
+    ahead = at.rowsBetween(1, AHEAD)
+    hits = F.coalesce(F.sum(F.col("hit").cast("int")).over(ahead), F.lit(0))
+    near = rest.withColumns({"hits": hits, "head": F.min(F.when(F.col("hit"), F.col(order))).over(ahead), "tail": F.max(F.when(F.col("hit"), F.col(order))).over(ahead)})
+    titles = near.where((F.length(trimmed(F.col("t"))) <= 80) & F.col("t").rlike(HEADING) & (F.col("hits") >= 3))
+    title = titles.groupBy(doc).agg(F.min(F.struct(order, "head", "tail")).alias("at")).select(doc, F.col("at.head").alias("first"), F.col("at.tail").alias("tail"))
+    behind = rest.join(title, doc).where(F.col(order) >= F.col("tail")).withColumn("far", F.col(order) - F.max(F.when(F.col("hit"), F.col(order))).over(at.rowsBetween(Window.unboundedPreceding, -1)) > GAP)
+    ends = ~(trimmed(F.col("t")) == "") & (F.coalesce(F.col("far"), F.lit(False)) | (~F.col("hit") & (heading | _capitals(F.col("t")))))
+    reached = behind.withColumn("ended", F.max(ends).over(at)).where(F.col("hit") & ~F.col("ended"))
+    last = reached.groupBy(doc).agg(F.max(order).alias("last"), F.min("first").alias("first"))
+    by_heading = rest.join(last, doc).where(F.col(order).between(F.col("first"), F.col("last"))).groupBy(doc).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.col("hit").cast("int")).cast("long").alias("n"), F.lit("heading").alias("by"))
+    return by_cluster.unionByName(by_heading)
 
 
-def grouped(rows: DataFrame, found: DataFrame, text: str = "text", doc: str = "doc_id", order: str = "idx") -> DataFrame:
-    """The rows of each section with group (rows follow their definition's start) and the group's term."""
+def grouped(rows: DataFrame, found: DataFrame, text: str = "text", doc: str = "doc_id", order: str = "idx", runs: str | None = None) -> DataFrame:
+    """The rows of each block with group (rows follow their definition's start) and the group's term."""
     inside = rows.join(found.select(doc, "first", "last"), doc).where(F.col(order).between(F.col("first"), F.col("last")))
-    numbered = running_group(inside, is_start(F.col(text)), doc, order)
-    term = F.first(defined_term(F.col(text)), ignorenulls=True).over(Window.partitionBy(doc, "group"))
-    return numbered.withColumn("term", term).where("group > 0")
+    words = F.coalesce(text, F.lit(""))
+    bold = bold_term(F.col(runs), words) if runs else F.lit(None).cast("string")
+    starts = (trimmed(words) != "") & (bold.isNotNull() | trimmed(words).rlike('^["“‘«]'))
+    numbered = running_group(inside.withColumns({"term": F.when(starts, F.coalesce(bold, quoted_term(words), F.substring(trimmed(words), 1, 50)))}), F.col("term").isNotNull(), doc, order)
+    return numbered.withColumn("term", F.first("term", ignorenulls=True).over(Window.partitionBy(doc, "group"))).where("group > 0")
 
 
-def reordered(rows: DataFrame, found: DataFrame, text: str = "text", doc: str = "doc_id", order: str = "idx") -> DataFrame:
+def reordered(rows: DataFrame, found: DataFrame, text: str = "text", doc: str = "doc_id", order: str = "idx", runs: str | None = None) -> DataFrame:
     """doc, idx, new_idx of all rows: definitions by lower-cased term (the earlier of equals first), their further rows behind
-    them, in the places that the block had; rows outside stay."""
-    block = grouped(rows, found, text, doc, order)
-    head = F.min(order).over(Window.partitionBy(doc, "group"))
-    placed = block.withColumn("head", head)
-    at = Window.partitionBy(doc).orderBy(F.lower("term"), "head", order)
-    first = F.min(order).over(Window.partitionBy(doc))
-    moved = placed.select(doc, order, (first + F.row_number().over(at) - 1).cast("int").alias("new_idx"))
-    return rows.join(moved, [doc, order], "left").select(doc, order, F.coalesce("new_idx", order).alias("new_idx"))
+    them, in the places that the block had. Rows outside stay, as do all rows of a document with a term that can't be one."""
+    block = grouped(rows, found, text, doc, order, runs)
+    whole = Window.partitionBy(doc)
+    real = F.min(is_real_term(F.col("term"))).over(whole)
+    placed = block.withColumns({"head": F.min(order).over(Window.partitionBy(doc, "group")), "real": real, "place": F.row_number().over(whole.orderBy(order))}).where("real")
+    to = F.row_number().over(whole.orderBy(F.lower("term"), "head", order))
+    moved = placed.withColumn("to", to)
+    places = moved.select(F.col(doc), F.col("place").alias("to"), F.col(order).alias("new_idx"))
+    return rows.select(doc, order).join(moved.select(doc, order, "to").join(places, [doc, "to"]).drop("to"), [doc, order], "left").select(doc, order, F.coalesce("new_idx", order).alias("new_idx"))
 
 
 def out_of_order(rows: DataFrame, term: str = "term", least: int = 3, doc: str = "doc_id", order: str = "idx") -> DataFrame:
