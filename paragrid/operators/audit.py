@@ -16,6 +16,12 @@ def parity(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> Da
     return a.join(b, keys, "full_outer").select(*keys, status.alias("status"))
 
 
+def chained(rows: DataFrame, place: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the comparison of each tree with the next: rows with pair, the place of the earlier one. One join of them compares all."""
+    last = rows.agg(F.max(place)).first()[0]
+    return rows.where(F.col(place) < F.lit(last)).withColumn("pair", F.col(place)), rows.where(F.col(place) > 0).withColumn("pair", F.col(place) - 1)
+
+
 def unresolved(citations: DataFrame, headings: DataFrame, cited: str = "cited", heading: str = "heading") -> DataFrame:
     """Citations whose words aren't the first words of any heading. Headings are keyed by each of their beginnings, so that this is an equi join."""
     starts = headings.select(words(F.col(heading)).alias("w")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.array_join(F.slice("w", 1, n), " "))).alias("k")).distinct()

@@ -17,18 +17,20 @@ def rule_counts(rows: DataFrame, rules: list[tuple[str, str]], text: str = "text
 
 
 def findings(rows: DataFrame, checks: list[tuple[str, str, Column]], keys: list[str]) -> DataFrame:
-    """keys, check, severity, n: one row for each check whose count is above zero, in one pass over the rows."""
+    """keys, check, severity, n: one row for each check whose count is above zero, in one pass over the rows.
+
+    The outer form, as Catalyst puts a filter before the inner one that computes all checks a second time."""
     each = F.array(*[F.struct(F.lit(name).alias("check"), F.lit(severity).alias("severity"), n.cast("long").alias("n")) for name, severity, n in checks])
-    return rows.select(*keys, F.inline(F.filter(each, lambda c: c["n"] > 0)))
+    return rows.select(*keys, F.inline_outer(F.filter(each, lambda c: c["n"] > 0))).where("check is not null")
 
 
-def rule_join(entries: DataFrame, rules: DataFrame, text: str = "text", language: Column | None = None, most_rules: int = 10_000) -> DataFrame:
+def rule_join(entries: DataFrame, rules: DataFrame, text: str = "text", language: Column | None = None, most_rules: int = 10_000, most_bytes: int = 8 << 20) -> DataFrame:
     """entries with the rules that match them. A rule holds for its language, for all (``*``), or when the entry's is unknown (``*``).
 
-    Rule tables are small by nature and go to every task; the number of rules is checked."""
-    n = rules.limit(most_rules + 1).count()
-    if n > most_rules:
-        raise ValueError(f"more than {most_rules} rules: split the table")
+    Rule tables are small by nature and go to every task; the number of rules and their bytes are checked."""
+    n, size = rules.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()
+    if n > most_rules or size > most_bytes:
+        raise ValueError(f"more than {most_rules} rules or {most_bytes} bytes of patterns: split the table")
     entry_language = F.lit("*") if language is None else language
     on = F.regexp_like(text, F.col("pattern")) & ((F.col("language") == "*") | (F.col("language") == entry_language) | (entry_language == "*"))
     return entries.join(F.broadcast(rules), on)

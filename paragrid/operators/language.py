@@ -54,7 +54,8 @@ def remnants(entries: DataFrame, language: Column, text: str = "text", allowed:
         each = F.array(*[F.struct(F.lit(m).alias("marker"), F.regexp_count("__clean", F.lit(m if lang in SUBSTRING_LANGUAGES else rf"(?iU)\b{m}\b")).alias("n")) for m in found])
         hits = F.when(F.col("lang") == lang, F.filter(each, lambda h: h["n"] > 0)).otherwise(hits)
     unknown = F.array(F.struct(F.lit(None).cast("string").alias("marker"), F.lit(0).alias("n")))
-    return made.withColumn("__hits", F.when(F.col("lang").isin(known), hits).otherwise(unknown)).select(*entries.columns, "lang", F.inline("__hits"))
+    found = made.withColumn("__hits", F.when(F.col("lang").isin(known), hits).otherwise(unknown)).select(*entries.columns, "lang", F.inline_outer("__hits"))
+    return found.where("n is not null")
 
 
 # Letters that hint at a language where no phrase does.

@@ -42,11 +42,46 @@ def nearest_exact(left: DataFrame, right: DataFrame, text: str = "text", doc: st
 
 
 def prefix_candidates(left: DataFrame, right: DataFrame, length: int = 30, least: int = 10, text: str = "text") -> DataFrame:
-    """Pairs of rows whose texts begin alike; texts shorter than ``least`` don't take part."""
-    a, b = left.withColumn("p", F.substring(normalized(F.col(text)), 1, length)).where(F.length("p") >= least), right.withColumn("p", F.substring(normalized(F.col(text)), 1, length)).where(F.length("p") >= least)
+    """Pairs (a, b) of rows of which the right one's text begins with the first ``length`` characters of the left one's, or
+    with all of it where it is shorter; left texts shorter than ``least`` don't take part.
+
+    Right rows are keyed by their beginnings of each length that a left row has, so that this is an equi join."""
+    a = left.withColumn("p", F.substring(normalized(F.col(text)), 1, length)).where(F.length("p") >= least)
+    kept = F.substring(normalized(F.col(text)), 1, length)
+    begins = F.transform(F.sequence(F.lit(least), F.length("__n")), lambda n: F.substring(F.col("__n"), F.lit(1), n))
+    b = right.withColumn("__n", kept).where(F.length("__n") >= least).withColumn("p", F.explode_outer(begins)).drop("__n")
     return a.alias("a").join(b.alias("b"), F.col("a.p") == F.col("b.p"))
 
 
+def nearest_by_prefix(left: DataFrame, right: DataFrame, taken: DataFrame, text: str = "text", doc: str = "doc_id", order: str = "idx") -> DataFrame:
+    """doc_id, idx, match_idx, match_kind: what ``nearest_exact`` (taken) left over, one to one by the beginnings of texts.
+
+    Left rows choose in order; each takes, of the right texts that begin with its first 30 characters, the first one (by its first
+    row) that has a free row, and of its rows the nearest. The rows that begin alike meet in one group, by document and first
+    ten characters, which all candidates share."""
+    done = taken.select("doc_id", "idx", "match_idx")
+    a = left.select(F.col(doc).alias("doc_id"), F.col(order).cast("long").alias("idx"), normalized(F.col(text)).alias("t")).where("length(t) >= 10").join(done.select("doc_id", "idx"), ["doc_id", "idx"], "left_anti")
+    b = right.select(F.col(doc).alias("doc_id"), F.col(order).cast("long").alias("idx"), normalized(F.col(text)).alias("t")).where("length(t) >= 10").join(done.select("doc_id", F.col("match_idx").alias("idx")), ["doc_id", "idx"], "left_anti")
+    begin, seen = F.substring("t", 1, 10).alias("begin"), F.xxhash64("t").alias("h")
+
+    def claim(wanted: pd.DataFrame, free: pd.DataFrame) -> pd.DataFrame:
+        texts: dict[int, list] = {}
+        for r in free.sort_values("idx").itertuples():
+            texts.setdefault(r.h, [r.p, []])[1].append(r.idx)
+        out = []
+        for r in wanted.sort_values("idx").itertuples():
+            rows = next((rows for p, rows in texts.values() if rows and p.startswith(r.p)), None)
+            if rows:
+                best = min(rows, key=lambda i: (abs(i - r.idx), i))
+                rows.remove(best)
+                out.append((r.doc_id, r.idx, best, "prefix"))
+        return pd.DataFrame(out, columns=["doc_id", "idx", "match_idx", "match_kind"])
+
+    cut = F.substring("t", 1, 30).alias("p")
+    sides = [x.select("doc_id", begin, "idx", cut, seen).groupBy("doc_id", "begin") for x in (a, b)]
+    return sides[0].cogroup(sides[1]).applyInPandas(claim, f"doc_id {left.schema[doc].dataType.simpleString()}, idx long, match_idx long, match_kind string")
+
+
 def overlap_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str = "text") -> DataFrame:
     """left_id, right_id, shared, wanted: numbers of tokens in common and of the left side's."""
     a = left.select(left_id, tokens(F.col(text)).alias("t")).select(left_id, F.size("t").alias("wanted"), F.explode("t").alias("t"))
@@ -56,7 +91,8 @@ def overlap_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id
 
 def greedy_overlap(left: DataFrame, right: DataFrame, share: float = 0.5, text: str = "text", doc: str = "doc_id", order: str = "idx") -> DataFrame:
     """doc, idx, match_idx, shared: within a document, left rows by falling number of tokens claim the free right row that
-    shares most (the first of equals), if it holds the share of their tokens."""
+    shares most (the first of equals), if it holds the share of their tokens. A row that finds none gets the right row of its own
+    place among rows with tokens (on the right: with text), if that is free; shared is null then. A document's candidates meet in one task."""
     a = left.select(F.col(doc).alias("doc_id"), F.col(order).alias("idx"), tokens(F.col(text)).alias("t"))
     b = right.select(F.col(doc).alias("doc_id"), F.col(order).alias("match_idx"), tokens(F.col(text)).alias("t"))
     pairs = a.select("doc_id", "idx", F.size("t").alias("wanted"), F.explode("t").alias("t")).join(b.select("doc_id", "match_idx", F.explode("t").alias("t")), ["doc_id", "t"])
@@ -72,7 +108,13 @@ def greedy_overlap(left: DataFrame, right: DataFrame, share: float = 0.5, text:
                     break
         return pd.DataFrame(out, columns=["doc_id", "idx", "match_idx", "shared"])
 
-    return counted.groupBy("doc_id").applyInPandas(claim, f"doc_id {left.schema[doc].dataType.simpleString()}, idx long, match_idx long, shared long")  # a document's candidates
+    claimed = counted.groupBy("doc_id").applyInPandas(claim, f"doc_id {left.schema[doc].dataType.simpleString()}, idx long, match_idx long, shared long")
+    place = lambda by: F.row_number().over(Window.partitionBy("doc_id").orderBy(by)).alias("place")
+    placed = a.where(F.size("t") > 0).select("doc_id", F.col("idx").cast("long").alias("idx"), place("idx"))
+    at = right.where(F.col(text).rlike(r"(?U)\S")).select(F.col(doc).alias("doc_id"), F.col(order).cast("long").alias("match_idx")).select("doc_id", "match_idx", place("match_idx"))
+    left_over = placed.join(claimed.select("doc_id", "idx"), ["doc_id", "idx"], "left_anti").join(at, ["doc_id", "place"])
+    by_place = left_over.join(claimed.select("doc_id", "match_idx"), ["doc_id", "match_idx"], "left_anti").select("doc_id", "idx", "match_idx", F.lit(None).cast("long").alias("shared"))
+    return claimed.unionByName(by_place)
 
 
 def missing_tokens(wanted: DataFrame, applied: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id", "idx")) -> DataFrame:

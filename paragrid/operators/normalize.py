@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paragrid.functions.rules import ANNEX_EXCLUDE, DEFINITION_VERBS, SPELLINGS, TERM_LITERALS, TERM_REPLACEMENTS
-from paragrid.functions.text import has_definition_verb, needs_space, replace_all
+from paragrid.functions.text import needs_space, replace_all
 
 Pass = tuple[str, Callable[[Column], Column]]
 
@@ -36,7 +36,7 @@ def spelling(to: str) -> Callable[[Column], Column]:
 
 
 def annexes(t: Column) -> Column:
-    return F.when(t.rlike("|".join(ANNEX_EXCLUDE)), t).otherwise(F.regexp_replace(F.regexp_replace(t, r"\bAnnexes\b", "Schedules"), r"\bAnnex\b", "Schedule"))
+    return F.when(t.rlike("|".join(ANNEX_EXCLUDE)), t).otherwise(replace_all(t, [(r"\bAnnexes\b", "Schedules"), (r"\bAnnex\b", "Schedule"), (r"\bANNEX\b", "SCHEDULE")]))
 
 
 def doubled_words(t: Column) -> Column:
@@ -44,13 +44,14 @@ def doubled_words(t: Column) -> Column:
 
 
 def definition_line_breaks(t: Column) -> Column:
-    return F.when(has_definition_verb(t), F.regexp_replace(t, r"\s*\n\s*", " ")).otherwise(t)
+    """A definition, which has a verb of definitions and a quote, stands on one line."""
+    return F.when(t.rlike("|".join(DEFINITION_VERBS)) & t.rlike("[“\"„]"), F.regexp_replace(t, r"\s*\n\s*", " ")).otherwise(t)
 
 
 def internal_articles(t: Column) -> Column:
-    """Article N becomes Clause N unless it is followed by ``of`` and a capitalized name that is no part of the document."""
+    """Article N becomes Clause N, Articles N Clauses N, unless ``of`` and a capitalized name that is no part of the document follow."""
     inside = r"Schedules?|Annex(?:es|ures?)?|Attachments?|Append(?:ix|ices|ixes)|Exhibits?|Sections?|(?:Sub)?[Pp]aragraphs?|Clauses?|Articles?|Chapters?|Parts?"
-    return F.regexp_replace(t, rf"\bArticle(\s+\d+(?:\.\d+)*)\b(?!(?:\([^)]*\)|[\d.,\s]|and )*\s+of\s+(?:the\s+|a\s+)?(?!(?:{inside})\b)[A-Z])", "Clause$1")
+    return F.regexp_replace(t, rf"\bArticle(s?)\s+(\d(?:[\d.:]*\d)?+(?:-[A-Za-z]{{1,15}})*+)(?!(?:\([^)]*\)|[\d.,\s]|and )*\s+of\s+(?:the\s+|a\s+)?(?!(?:{inside})\b)[A-Z])", "Clause$1 $2")
 
 
 def passes(variant: str = "uk") -> list[Pass]:
@@ -90,6 +91,16 @@ def fix_spacing(pieces: DataFrame, text: str = "text", doc: str = "doc_id", orde
     return pieces.withColumn("__b", before).withColumn(text, F.when(needs_space(F.col("__b"), F.col(text)), F.concat(F.lit(" "), text)).otherwise(F.col(text))).drop("__b")
 
 
+def drop_doubled_across(pieces: DataFrame, text: str = "text", doc: str = "doc_id", order: str = "idx") -> DataFrame:
+    """pieces without the first word of one that is the last word of the piece before (three letters or more, case and punctuation aside); blank pieces don't count."""
+    at = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(F.when(F.col(text).rlike(r"(?U)\S"), F.col(text)), ignorenulls=True).over(at)
+    ends = F.regexp_replace(F.regexp_extract("__b", r"(?U)(\S+)\s*$", 1), r"[,;:.\"')\]]+$", "")
+    begins = F.regexp_replace(F.regexp_extract(text, r"(?U)^\s*(\S+)", 1), r"^[\"'(\[]+", "")
+    doubled = F.coalesce((F.lower(ends) == F.lower(begins)) & ends.rlike(r"^\p{L}{3,}$"), F.lit(False))
+    return pieces.withColumn("__b", before).withColumn(text, F.when(doubled, F.regexp_replace(text, r"(?U)^\s*\S+\s*", " ")).otherwise(F.col(text))).drop("__b")
+
+
 def close_quotes(t: Column) -> Column:
     """Closes a quote that is still open before a definition verb."""
     return F.regexp_replace(t, r"“([^”“]{1,80}?)\s+(" + "|".join(DEFINITION_VERBS) + r")\b", "“$1” $2")

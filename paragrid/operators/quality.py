@@ -71,7 +71,7 @@ def boundary_findings(pieces: DataFrame, text: str = "text", doc: str = "doc_id"
     doubled = (F.lower(ends) == F.lower(begins)) & (F.length(ends) > 2) & ends.rlike(r"^\p{L}+$")
     faults = {"spacing": needs_space(F.col("__b"), F.col(text)), "doubled_across": doubled}
     each = F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(c, F.lit(False)).alias("hit")) for n, c in faults.items()])
-    return near.select(doc, order, F.inline(F.filter(each, lambda x: x["hit"]))).drop("hit")
+    return near.select(doc, order, F.inline_outer(F.filter(each, lambda x: x["hit"]))).where("check is not null").drop("hit")
 
 
 def rows_with_text(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -124,4 +124,4 @@ def formatting(rows: DataFrame) -> DataFrame:
         "italic_run": long_italic & ~heading & ~F.coalesce("p_italic", F.lit(False)),
     }
     each = F.array(*[F.struct(F.lit(n).alias("fault"), F.coalesce(c, F.lit(False)).alias("hit")) for n, c in faults.items()])
-    return rows.select("path", "idx", F.inline(F.filter(each, lambda x: x["hit"]))).drop("hit")
+    return rows.select("path", "idx", F.inline_outer(F.filter(each, lambda x: x["hit"]))).where("fault is not null").drop("hit")

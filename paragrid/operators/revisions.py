@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from paragrid.functions.rules import ARTICLES, FORBIDDEN_COLLOCATIONS, VIEW_RULES
 from paragrid.functions.text import is_bracket_only, is_noise, is_wordlike, normalized, orthographic_key
 
+#: How many segments away a revision's content keeps a bracket.
+NEAR = 8
 KEPT = {"accept": ["regular", "ins"], "reject": ["regular", "del"]}
 
 
@@ -31,7 +33,7 @@ def view_findings(docs: DataFrame, collocations: list[str] | None = None, key: s
     each = docs.select(key, F.inline(views))
     counts = [F.struct(F.lit(n).alias("rule"), F.regexp_count("text", F.lit(p)).alias("n")) for n, p in VIEW_RULES]
     counts += [F.struct(F.lit(f"collocation: {c}").alias("rule"), ((F.length("text") - F.length(F.replace(F.lower("text"), F.lit(c), F.lit("")))) / len(c)).cast("int").alias("n")) for c in banned]
-    return each.select(key, "view", F.inline(F.filter(F.array(*counts), lambda c: c["n"] > 0)))
+    return each.select(key, "view", F.inline_outer(F.filter(F.array(*counts), lambda c: c["n"] > 0))).where("rule is not null")
 
 
 def _merged(segments: Column, text: str = "text") -> Column:
@@ -68,10 +70,11 @@ def fold_pairs(segments: Column, key=normalized, text: str = "text") -> Column:
 
 
 def strip_noops(segments: Column, text: str = "text", keep_phantoms: bool = False) -> Column:
-    """Equal pairs, then revisions without content (brackets stay where other revisions have content), pairs again, phantoms."""
+    """Equal pairs, then revisions without content (brackets stay where one of the eight segments on either side is a revision with letters or digits), pairs again, phantoms."""
     once = fold_pairs(segments, text=text)
-    content = lambda s: s["type"].isin("ins", "del") & ~is_noise(s[text])
-    dropped = F.filter(once, lambda s: ~(s["type"].isin("ins", "del") & is_noise(s[text]) & ~(is_bracket_only(s[text]) & F.exists(once, content))))
+    content = lambda s: s["type"].isin("ins", "del") & F.coalesce(s[text], F.lit("")).rlike(r"[\p{L}\p{N}]")
+    near = lambda i: F.slice(once, F.greatest(i + 1 - NEAR, F.lit(1)), i + 1 + NEAR - F.greatest(i + 1 - NEAR, F.lit(1)) + 1)
+    dropped = F.filter(once, lambda s, i: ~(s["type"].isin("ins", "del") & is_noise(s[text]) & ~(is_bracket_only(s[text]) & F.exists(near(i), content))))
     again = fold_pairs(dropped, text=text)
     return again if keep_phantoms else F.filter(again, lambda s: s["type"] != "ins_then_del")
 
@@ -103,7 +106,7 @@ def segment_findings(rows: DataFrame, doc: str = "doc_id", order: str = "idx", t
     mixed = pair & (revised != (F.col("bk") != "regular"))
     rules = {
         "article_collision": pair & (F.col("bk") == "regular") & revised & b.rlike(rf"(?iU)\b(?:{articles})\s*$") & t.rlike(rf"(?iU)^\s*(?:{articles})\b"),
-        "alpha_collision": pair & b.rlike(r"\p{L}$") & t.rlike(r"^\p{L}") & ~b.rlike(r"-\p{L}*$"),
+        "alpha_collision": pair & b.rlike(r"\p{L}\z") & t.rlike(r"^\p{L}"),
         "digit_at_boundary": mixed & ((b.rlike(r"\d$") & t.rlike(r"^\p{L}")) | (b.rlike(r"\p{L}$") & t.rlike(r"^\d"))),
         "double_space": pair & b.endswith(" ") & t.startswith(" "),
         "bare_article": revised & F.lower(F.trim("t")).isin(ARTICLES),
@@ -113,4 +116,4 @@ def segment_findings(rows: DataFrame, doc: str = "doc_id", order: str = "idx", t
         "digit_then_word": t.rlike("[0-9][a-z]{3,}"),
     }
     each = F.array(*[F.struct(F.lit(n).alias("rule"), c.alias("hit")) for n, c in rules.items()])
-    return made.select(doc, order, F.inline(F.filter(each, lambda r: r["hit"]))).drop("hit")
+    return made.select(doc, order, F.inline_outer(F.filter(each, lambda r: r["hit"]))).where("rule is not null").drop("hit")

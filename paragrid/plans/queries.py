@@ -173,10 +173,24 @@ def remnants_by_language(spark, sf_dir):
     return found.groupBy(F.col("lang").alias("language"), "marker").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
 
 
-@register("forbidden_phrases")
+_PLANTED = ["Wind Park", "in the present Agreement", "hereby"]
+
+
+def _planted(spark, sf_dir):
+    """Lines of which every third one holds a phrase."""
+    phrase = F.element_at(F.array(*map(F.lit, _PLANTED)), ((F.col("idx") / 3).cast("int") % len(_PLANTED) + 1).cast("int"))
+    return _lines(spark, sf_dir).withColumn("text", F.when(F.col("idx") % 3 == 0, F.concat(F.lit("The "), phrase, F.lit(" "), "text")).otherwise(F.col("text")))
+
+
+#: DuckDB's patterns can't look ahead; two rules say what may not follow, and no text holds the phrases that it would follow.
+_PHRASES = ", ".join(f"({k}, '{s}', '(?i){p.split('(?!')[0].replace(chr(39), chr(39) * 2)}')" for k, (s, p, _) in enumerate(rules.FORBIDDEN_PHRASES))
+
+
+@register("forbidden_phrases", f"""with {LINES}, planted as (select doc_id, idx, case when idx % 3 = 0 then 'The ' || {_PLANTED!r}[(idx // 3) % {len(_PLANTED)} + 1] || ' ' || text else text end as text from lines)
+select doc_id, idx::int as idx, seq, severity from planted join (values {_PHRASES}) r(seq, severity, pattern) on regexp_matches(text, pattern)""")
 def forbidden_phrases(spark, sf_dir):
     """Findings of the forbidden-phrase rules; rules of any language, as the source language is unknown."""
-    found = findings.rule_join(_lines(spark, sf_dir), rules.phrase_rules(spark))
+    found = findings.rule_join(_planted(spark, sf_dir), rules.phrase_rules(spark))
     return found.select("doc_id", "idx", "seq", "severity")
 
 
@@ -194,22 +208,24 @@ def nearest_match(spark, sf_dir):
     return matching.nearest_exact(lines, lines.withColumn("idx", F.col("idx") + 1))
 
 
-@register("prefix_match", r"""
-with a as (select min(doc_id) as doc_id, p from (select doc_id, left(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'), 30) as p from documents where doc_id % 2 = 0) group by p),
-b as (select doc_id, left(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g'), 30) as p from documents where doc_id % 2 = 1)
-select a.doc_id, b.doc_id as copy_id from a join b using (p) where length(p) >= 10""")
+_SENTENCES = r"list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n\s*\n', chr(1), 'g'), chr(1)), lambda x: regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> '')"
+
+
+@register("prefix_match", f"""
+with a as (select item_id, left(s, 30) as p from (select item_id, unnest({_SENTENCES}) as s from benchmark)), b as (select doc_id, unnest({_SENTENCES}) as s from documents)
+select item_id, doc_id, count(*) as n from (select item_id, doc_id, p, s from b join a on left(s, length(p)) = p where length(p) >= 10) group by 1, 2""")
 def prefix_match(spark, sf_dir):
-    """Two versions, of even and of odd ids: the first even document of each beginning with the odd ones that begin alike."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    even = docs.where("doc_id % 2 = 0").withColumn("p", F.substring(text.normalized(F.col("text")), 1, 30)).groupBy("p").agg(F.min(F.struct("doc_id", "text")).alias("d")).select("d.*")
-    return matching.prefix_candidates(even, docs.where("doc_id % 2 = 1")).select("a.doc_id", F.col("b.doc_id").alias("copy_id"))
+    """Documents that have a sentence that begins as one of a reference text, with the number of such pairs."""
+    wanted = sentence_rows(table(spark, sf_dir, "benchmark"), "item_id").select(F.col("doc_id").alias("item_id"), "text")
+    told = sentence_rows(table(spark, sf_dir, "documents")).select("doc_id", "text")
+    return matching.prefix_candidates(wanted, told).groupBy("item_id", "doc_id").agg(F.count("*").alias("n"))
 
 
 @register("greedy_match")
 def greedy_match(spark, sf_dir):
-    """Turns of each conversation against its own turns, one to one by shared tokens."""
-    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text")
-    return matching.greedy_overlap(turns, turns)
+    """Each conversation's turns of the user against those of the assistant, one to one by shared tokens, else by place."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text", "role")
+    return matching.greedy_overlap(turns.where("role = 'user'"), turns.where("role = 'assistant'"))
 
 
 @register("length_ratio_bands", """
@@ -290,10 +306,16 @@ for _mode, _roles in (("accept", "'system', 'user'"), ("reject", "'system', 'ass
         return docs.select("conv_id", revisions.view(F.col("segments"), mode).alias("shown"))
 
 
-@register("view_findings")
+_VIEWS = """views as (select conv_id, v.view, coalesce(string_agg(text, '' order by turn) filter (where role = 'system' or role = v.kind), '') as text from conversations, (values ('accept', 'user'), ('reject', 'assistant')) v(view, kind) group by 1, 2)"""
+_VIEW_COUNTS = {"double_article": ARTICLES, "stranded_preposition": STRANDED, "missing_space_between_words": GLUED, "double_space": r"len(regexp_extract_all(text, '[ \t\f\v\r]{2,}'))", "empty_parens": r"len(regexp_extract_all(text, '\(\s*\)'))", "empty_quotes": r"""len(regexp_extract_all(text, '"\s*"'))""", "double_comma": r"len(regexp_extract_all(text, ',\s*,'))"}
+_VIEW_COUNTS |= {f"collocation: {c}": f"(length(text) - length(replace(lower(text), '{c}', ''))) // {len(c)}" for c in rules.FORBIDDEN_COLLOCATIONS}
+
+
+@register("view_findings", f"with {_VIEWS} select conv_id, view, rule, n::int as n from (" + " union all ".join(f"select conv_id, view, '{r}' as rule, {n} as n from views" for r, n in _VIEW_COUNTS.items()) + ") where n > 0")
 def view_findings(spark, sf_dir):
+    """The rules on views but for that of repeated words, which needs a back-reference (``doubled_words`` counts those)."""
     docs = revisions.segments_of(_segments(spark, sf_dir), F.col("type"), doc="conv_id", order="turn")
-    return revisions.view_findings(docs, key="conv_id")
+    return revisions.view_findings(docs, key="conv_id").where("rule <> 'repeated_word'")
 
 
 @register("stripped_segments")
@@ -303,7 +325,24 @@ def stripped_segments(spark, sf_dir):
     return docs.select("conv_id", F.size("segments").alias("n_before"), F.size(revisions.strip_noops(F.col("segments"))).alias("n_after"))
 
 
-@register("segment_findings")
+_WORD = r"[^\p{L}\p{M}\p{N}_]"
+_ONE_ARTICLE = f"(?:{'|'.join(rules.ARTICLES)})"
+_SEGMENT_RULES = {
+    "article_collision": rf"pair and before = 'regular' and type <> 'regular' and regexp_matches(b, '(?i)(?:^|{_WORD}){_ONE_ARTICLE}\s*$') and regexp_matches(text, '(?i)^\s*{_ONE_ARTICLE}(?:$|{_WORD})')",
+    "alpha_collision": r"pair and regexp_matches(b, '\p{L}$') and regexp_matches(text, '^\p{L}')",
+    "digit_at_boundary": r"pair and (type = 'regular') <> (before = 'regular') and (regexp_matches(b, '[0-9]$') and regexp_matches(text, '^\p{L}') or regexp_matches(b, '\p{L}$') and regexp_matches(text, '^[0-9]'))",
+    "double_space": "pair and ends_with(b, ' ') and starts_with(text, ' ')",
+    "bare_article": "type <> 'regular' and lower(trim(text)) in (" + ", ".join(f"'{a}'" for a in rules.ARTICLES) + ")",
+    "double_article": rf"regexp_matches(text, '(?i)(?:^|{_WORD}){_ONE_ARTICLE}\s+{_ONE_ARTICLE}(?:$|{_WORD})')",
+    "camel_collision": "regexp_matches(text, '[a-z][A-Z]')",
+    "word_then_digit": "regexp_matches(text, '[a-z]{2,}[0-9]')",
+    "digit_then_word": "regexp_matches(text, '[0-9][a-z]{3,}')",
+}
+
+
+@register("segment_findings", """with k as (select conv_id, turn, coalesce(text, '') as text, case role when 'system' then 'regular' when 'user' then 'ins' else 'del' end as type from conversations),
+n as (select *, lag(type) over o as before, coalesce(lag(text) over o, '') as b from k window o as (partition by conv_id order by turn)),
+p as (select *, before is not null and (type <> 'regular' or before <> 'regular') and b <> '' and text <> '' as pair from n) """ + " union all ".join(f"select conv_id, turn, '{r}' as rule from p where {c}" for r, c in _SEGMENT_RULES.items()))
 def segment_findings(spark, sf_dir):
     return revisions.segment_findings(_segments(spark, sf_dir), "conv_id", "turn")
 
@@ -396,7 +435,7 @@ def ordered_replacement(spark, sf_dir):
 def normalisation_passes(spark, sf_dir):
     """How many documents each pass changes."""
     made = normalize.apply_passes(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return made.select(F.explode("changed").alias("pass")).groupBy("pass").agg(F.count("*").alias("n_docs"))
+    return made.select(F.explode_outer("changed").alias("pass")).where("pass is not null").groupBy("pass").agg(F.count("*").alias("n_docs"))  # the inner form would compute all passes twice
 
 
 def _log(spark, sf_dir):
@@ -405,10 +444,12 @@ def _log(spark, sf_dir):
 
 
 @register("coverage_missing", """
-select o.custkey as doc_id, o.idx from (select c_custkey as custkey, unnest(range(5)) as idx from customer) o
+select o.custkey as doc_id, o.idx from (select c_custkey as custkey, idx from customer, (select distinct event_id % 500 as idx from events)) o
 where not exists (select 1 from events e where e.user_id = o.custkey and e.event_id % 500 = o.idx)""")
 def coverage_missing(spark, sf_dir):
-    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("idx"))
+    """All places of the log, for every customer that lacks one."""
+    places = F.sequence(F.lit(0).cast("long"), F.lit(499).cast("long"))
+    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.explode(places).alias("idx"))
     return state.not_yet(wanted, _log(spark, sf_dir))
 
 
@@ -427,22 +468,30 @@ def latest_state(spark, sf_dir):
     return state.latest(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "ts")
 
 
-@register("freshness", """
-select doc_id, case when doc_id % 7 = 0 then 'not_applicable' when doc_id % 5 = 0 then 'missing' when doc_id % 3 = 0 then 'stale' else 'fresh' end as status from documents""")
+_OLD = "ts < timestamp '2024-01-28 00:00:00'"
+
+
+@register("freshness", f"""
+with n as (select user_id, max(event_id)::varchar as content from events group by 1),
+e as (select user_id, max(event_id)::varchar as was, count(*) = 1 as alone from events where {_OLD} group by 1)
+select user_id, case when alone then 'not_applicable' when was is null then 'missing' when was = content then 'fresh' else 'stale' end as status from n left join e using (user_id)""")
 def freshness(spark, sf_dir):
-    """Evidence of which some is of another content, some is gone, some doesn't apply."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    old = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
-    evidence = docs.where("doc_id % 5 <> 0 or doc_id % 7 = 0").select("doc_id", F.sha2(old.cast("binary"), 256).alias("sha256"), (F.col("doc_id") % 7 == 0).alias("not_applicable"))
-    return state.freshness(docs, evidence, "doc_id", "text")
+    """Each user's last event against evidence of it as of two days before the end; one event alone needs none."""
+    events = table(spark, sf_dir, "events")
+    last = F.max("event_id").cast("string")
+    evidence = events.where(_OLD).groupBy("user_id").agg(F.sha2(last.cast("binary"), 256).alias("sha256"), (F.count("*") == 1).alias("not_applicable"))
+    return state.freshness(events.groupBy("user_id").agg(last.alias("content")), evidence, "user_id", "content")
 
 
-@register("baseline_drift", """
-select doc_id, case when doc_id % 4 = 0 then 'gone' when doc_id % 5 = 0 then 'new' else 'changed' end as change from documents where doc_id % 4 = 0 and doc_id % 5 <> 0 or doc_id % 5 = 0 and doc_id % 4 <> 0 or doc_id % 4 <> 0 and doc_id % 5 <> 0 and doc_id % 3 = 0""")
+@register("baseline_drift", f"""
+with b as (select user_id, event_type, count(*) as n from events where {_OLD} group by 1, 2), c as (select user_id, event_type, count(*) as n from events where ts >= timestamp '2024-01-03 00:00:00' group by 1, 2)
+select coalesce(b.user_id, c.user_id) as user_id, coalesce(b.event_type, c.event_type) as event_type, case when c.n is null then 'gone' when b.n is null then 'new' else 'changed' end as change
+from b full join c on b.user_id = c.user_id and b.event_type = c.event_type where b.n is distinct from c.n""")
 def baseline_drift(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    now = docs.where("doc_id % 4 <> 0").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n_chars"))
-    return state.drift(docs.where("doc_id % 5 <> 0"), now, ["doc_id"], "n_chars")
+    """Numbers of each user's events of a type: all but the last two days (baseline) against all but the first two."""
+    events = table(spark, sf_dir, "events")
+    counts = lambda when: events.where(when).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return state.drift(counts(_OLD), counts("ts >= timestamp '2024-01-03 00:00:00'"), ["user_id", "event_type"], "n")
 
 
 @register("part_text", r"select page_id, regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g') as plain from pages")
@@ -462,11 +511,12 @@ def graded_fit(spark, sf_dir):
 
 
 @register("tree_parity", """
-with a as (select text, max(n_chars) as v from documents where source = 'src0' group by 1), b as (select text, max(n_chars) as v from documents where source = 'src1' group by 1)
-select sha256(coalesce(a.text, b.text)) as key, case when b.v is null then 'left_only' when a.v is null then 'right_only' when a.v = b.v then 'same' else 'differs' end as status from a full join b on a.text = b.text""")
+with t as (select substr(source, 4)::int as place, text, max(n_chars) as v from documents group by 1, 2), a as (select place as pair, text, v from t where place < (select max(place) from t)), b as (select place - 1 as pair, text, v from t where place > 0)
+select coalesce(a.pair, b.pair) as pair, sha256(coalesce(a.text, b.text)) as key, case when b.v is null then 'left_only' when a.v is null then 'right_only' when a.v = b.v then 'same' else 'differs' end as status from a full join b on a.pair = b.pair and a.text = b.text""")
 def tree_parity(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("source", F.sha2(F.col("text").cast("binary"), 256).alias("key"), "n_chars")
-    return audit.parity(docs.where("source = 'src0'"), docs.where("source = 'src1'"), ["key"], "n_chars")
+    """Each source against the next."""
+    docs = table(spark, sf_dir, "documents").select(F.substring("source", 4, 9).cast("int").alias("place"), F.sha2(F.col("text").cast("binary"), 256).alias("key"), "n_chars")
+    return audit.parity(*audit.chained(docs, "place"), ["pair", "key"], "n_chars")
 
 
 @register("set_relation", "with a as (select distinct user_id % 40 as v from events), b as (select distinct c_nationkey as v from customer) select coalesce(a.v, b.v)::bigint as v, case when b.v is null then 'left' when a.v is null then 'right' else 'both' end as side from a full join b on a.v = b.v")
@@ -480,14 +530,17 @@ def repeated_keys(spark, sf_dir):
     return audit.repeated_keys(table(spark, sf_dir, "events"), ["user_id", "event_type"])
 
 
-@register("unresolved_citations", r"""
-with c as (select doc_id, list_filter(string_split_regex(lower(left(text, 25)), '[^0-9a-z]+'), lambda w: w <> '') as w from documents),
+_CITED = f"array_to_string(list_filter(string_split_regex(lower(s), '[^0-9a-z]+'), lambda w: w <> ''), ' ')"
+
+
+@register("unresolved_citations", rf"""
+with c as (select doc_id, {_CITED} as k from (select doc_id, unnest({_SENTENCES}) as s from documents)),
 h as (select distinct array_to_string(list_filter(string_split_regex(lower(text), '[^0-9a-z]+'), lambda w: w <> '')[1:n], ' ') as k from benchmark, (select unnest(range(1, 400)) as n))
-select doc_id from c where array_to_string(w, ' ') not in (select k from h)""")
+select doc_id, count(*) as n from c where k not in (select k from h) group by 1""")
 def unresolved_citations(spark, sf_dir):
-    """Documents whose first 25 characters' words begin no reference text."""
-    cited = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 25).alias("cited"))
-    return audit.unresolved(cited, table(spark, sf_dir, "benchmark").select(F.col("text").alias("heading"))).select("doc_id")
+    """How many sentences of each document begin no reference text."""
+    cited = sentence_rows(table(spark, sf_dir, "documents")).select("doc_id", F.col("text").alias("cited"))
+    return audit.unresolved(cited, table(spark, sf_dir, "benchmark").select(F.col("text").alias("heading"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @register("most_common_words", r"""
@@ -502,8 +555,9 @@ def first_findings(spark, sf_dir):
     return findings.first_n(_found(spark, sf_dir), 5, ["doc_id", "check"], ["idx"]).select("doc_id", "check", "idx", "more")
 
 
-@register("missing_tokens")
+@register("missing_tokens", f"""with t as (select conv_id, turn, {_TOKENS.format('text')} as w, lead({_TOKENS.format('text')}) over (partition by conv_id order by turn) as a, lead(turn) over (partition by conv_id order by turn) as next from conversations)
+select conv_id as doc_id, turn as idx, list_sort(list_filter(w, lambda x: next is distinct from turn + 1 or not list_contains(a, x))) as missing from t where len(list_filter(w, lambda x: next is distinct from turn + 1 or not list_contains(a, x))) > 0""")
 def missing_tokens(spark, sf_dir):
     """Tokens of each turn that the next turn of its conversation lacks."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text")
-    return matching.missing_tokens(turns, turns.withColumn("idx", F.col("idx") - 1))
+    return matching.missing_tokens(turns, turns.withColumn("idx", F.col("idx") - 1)).withColumn("missing", F.array_sort("missing"))

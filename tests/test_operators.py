@@ -1,5 +1,6 @@
 """Operators on small invented inputs: each check has an input that it must reject and one that it must accept."""
 
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -104,10 +105,97 @@ def test_matching(spark):
     assert [(r["idx"], sorted(r["missing"])) for r in missing] == [(0, ["delta", "gamma"])]
 
 
+def test_prefixes(spark):
+    left = lines(spark, "a short entry", "x", "this text is longer than thirty characters A", "a short entry")
+    right = lines(spark, "a short entry and its rest", "other", "this text is longer than thirty characters B", "a short entry, cut", "a short")
+    pairs = matching.prefix_candidates(left, right).select(F.col("a.idx").alias("i"), F.col("b.idx").alias("j")).collect()
+    assert sorted(map(tuple, pairs)) == [(0, 0), (0, 3), (2, 2), (3, 0), (3, 3)]
+    none = matching.nearest_exact(left, right)
+    assert none.count() == 0
+    got = sorted((r["idx"], r["match_idx"], r["match_kind"]) for r in matching.nearest_by_prefix(left, right, none).collect())
+    assert got == [(0, 0, "prefix"), (2, 2, "prefix"), (3, 3, "prefix")]
+    taken = spark.createDataFrame([(1, 0, 0, "exact")], "doc_id long, idx long, match_idx long, match_kind string")
+    assert sorted((r["idx"], r["match_idx"]) for r in matching.nearest_by_prefix(left, right, taken).collect()) == [(2, 2), (3, 3)]
+
+
+def greedy(left, right, share=0.5):
+    """Brute force: (left row, right row) of token sets, each a list by place."""
+    matched, used = {}, set()
+    for i in sorted((i for i in range(len(left)) if left[i]), key=lambda i: (-len(left[i]), i)):
+        free = [j for j in range(len(right)) if j not in used]
+        best = max(free, key=lambda j: (len(left[i] & right[j]), -j), default=None)
+        if best is not None and len(left[i] & right[best]) >= share * len(left[i]):
+            matched[i] = best
+            used.add(best)
+    for place, i in enumerate(i for i in range(len(left)) if left[i]):
+        if i not in matched and place < len(right) and place not in used:
+            matched[i] = place
+            used.add(place)
+    return matched
+
+
+def test_greedy_against_brute_force(spark):
+    r = random.Random(11)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma", "kappa"]
+    sides = [[[" ".join(r.choice(words) for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 7))] for _ in range(40)] for _ in range(2)]
+    frames = [spark.createDataFrame([(d, k, t) for d, texts in enumerate(side) for k, t in enumerate(texts)], "doc_id long, idx int, text string") for side in sides]
+    got = {}
+    for x in matching.greedy_overlap(*frames).collect():
+        got.setdefault(x["doc_id"], {})[x["idx"]] = x["match_idx"]
+    assert got == {d: want for d in range(40) if (want := greedy(*[[set(t.split()) for t in side[d]] for side in sides]))}
+
+
+def test_definitions_of_two_clusters(spark):
+    """Only the first cluster is a block; the last definition keeps its further rows; new places are a permutation."""
+    first = ["Definitions", "“Zeta” means the last letter", "“Beta” means the second letter", "“Alpha” means the first letter", "(a) with this", "(b) and that", "OTHER MATTERS"]
+    rows = lines(spark, *first, *[f"Text {k}" for k in range(25)], "“Y” means another thing", "“X” means one more thing", "“W” means some thing")
+    found = definitions.sections(rows)
+    assert [(r["first"], r["last"]) for r in found.collect()] == [(1, 5)]
+    new = {r["idx"]: r["new_idx"] for r in definitions.reordered(rows, found).collect()}
+    assert sorted(new.values()) == list(range(35)) and all(new[k] == k for k in [0, *range(6, 35)])
+    assert [new[k] for k in range(1, 6)] == [5, 4, 1, 2, 3]
+
+
+def test_passes_that_must_and_must_not_change(spark):
+    t = F.col("t")
+    cases = [
+        (normalize.annexes, "See ANNEX 1, Annex 2 and Annexes 3", "See SCHEDULE 1, Schedule 2 and Schedules 3"),
+        (normalize.annexes, "ANNEX 1 of the Directive", "ANNEX 1 of the Directive"),
+        (normalize.internal_articles, "Articles 5 and 6 of this deed", "Clauses 5 and 6 of this deed"),
+        (normalize.internal_articles, "Articles 5 and 6 of the Penal Act", "Articles 5 and 6 of the Penal Act"),
+        (normalize.internal_articles, "Article 12-bis of the Penal Act", "Article 12-bis of the Penal Act"),
+        (normalize.internal_articles, "Article 12-bis.", "Clause 12-bis."),
+        (normalize.definition_line_breaks, "It means\nnothing.", "It means\nnothing."),
+        (normalize.definition_line_breaks, "“It”\nmeans nothing.", "“It” means nothing."),
+    ]
+    for step, before, after in cases:
+        assert one(spark, step(t), before) == after
+    pieces = lines(spark, "by the Seller,", "  ", "“x” seller's", "Seller pays", "and and", "to", "to all")
+    assert [r["text"] for r in normalize.drop_doubled_across(lines(spark, "of the Seller,", "  ", "(Seller pays", "all", "All", "up to", "to go")).orderBy("idx").collect()] == ["of the Seller,", "  ", " pays", "all", " ", "up to", "to go"]
+    assert normalize.drop_doubled_across(pieces).count() == 7
+
+
+def test_brackets_and_hyphens(spark):
+    kind, s = "array<struct<type:string,text:string>>", F.col("t")
+    near = [("ins", "["), *[("regular", f"r{k}") for k in range(6)], ("ins", "12 May")]
+    far = [("ins", "["), *[("regular", f"r{k}") for k in range(8)], ("ins", "12 May")]
+    assert len(one(spark, revisions.strip_noops(s), near, kind)) == len(near) and len(one(spark, revisions.strip_noops(s), far, kind)) == len(far) - 1
+    only_sign = [("del", "("), ("ins", "%")]
+    assert [x["text"] for x in one(spark, revisions.strip_noops(s), only_sign, kind)] == ["%"]
+    rows = spark.createDataFrame([(1, 0, "regular", "pre-tax"), (1, 1, "ins", "rate"), (2, 0, "regular", "pre-"), (2, 1, "ins", "tax")], "doc_id int, idx int, type string, text string")
+    assert [(r["doc_id"], r["rule"]) for r in revisions.segment_findings(rows).collect()] == [(1, "alpha_collision")]
+
+
+def test_chained_trees(spark):
+    rows = spark.createDataFrame([(0, "a", 1), (0, "b", 1), (1, "a", 2), (2, "a", 2), (2, "c", 1)], "place int, key string, v int")
+    got = sorted(map(tuple, audit.parity(*audit.chained(rows, "place"), ["pair", "key"], "v").collect()))
+    assert got == [(0, "a", "differs"), (0, "b", "left_only"), (1, "a", "same"), (1, "c", "right_only")]
+
+
 def test_definitions(spark):
     rows = lines(spark, "Definitions", "“Buyer” means the one who buys", "and its heirs", "“agent” means the one who acts", "“Clause” means a part of this", "“Zone” means the zone of trade", "Other text")
     found = definitions.sections(rows)
-    assert [(r["first"], r["last"], r["n"]) for r in found.collect()] == [(1, 5, 4)]
+    assert [(r["first"], r["last"], r["n"]) for r in found.collect()] == [(1, 6, 4)]  # no heading ends it before the document does
     new = {r["idx"]: r["new_idx"] for r in definitions.reordered(rows, found).collect()}
     assert new == {0: 0, 3: 1, 1: 2, 2: 3, 4: 4, 5: 5, 6: 6} and sorted(new.values()) == sorted(new)
 
