@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paragrid.llm import decontamination, html_extract, line_dedup, lm_scoring, packing, quality_rules, simhash, suffix_dedup, url_filter, warc
-from paragrid.llm.sql import HOST_QUALITY_SQL, LINE_DEDUP_SQL, URL_FILTER_SQL
+from paragrid.llm import decontamination, hard_negatives, html_extract, line_dedup, lm_scoring, packing, quality_rules, simhash, suffix_dedup, url_filter, warc
+from paragrid.llm.sql import HARD_NEGATIVES_SQL, HOST_QUALITY_SQL, LINE_DEDUP_SQL, URL_FILTER_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,5 +63,11 @@ def op10_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *[m[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], quality_rules.base_failed(m).alias("base_failed"), F.col("__q_kept").alias("kept"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_suffix_dedup": op2_suffix_dedup, "op3_html_text": op3_html_text, "op4_warc": op4_warc, "op5_lm_scoring": op5_lm_scoring, "op6_best_fit_packing": op6_best_fit_packing, "op7_url_filter": op7_url_filter, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_host_quality": op10_host_quality}
-ORACLES = {"op7_url_filter": URL_FILTER_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op10_host_quality": HOST_QUALITY_SQL}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; every seventh vector bears the next label, as the contract wants it."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label")), F.col("id") % 50 == 0)
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_suffix_dedup": op2_suffix_dedup, "op3_html_text": op3_html_text, "op4_warc": op4_warc, "op5_lm_scoring": op5_lm_scoring, "op6_best_fit_packing": op6_best_fit_packing, "op7_url_filter": op7_url_filter, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_host_quality": op10_host_quality, "op11_hard_negatives": op11_hard_negatives}
+ORACLES = {"op7_url_filter": URL_FILTER_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op10_host_quality": HOST_QUALITY_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL}
