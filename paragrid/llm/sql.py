@@ -85,8 +85,8 @@ from f join z on f.source is not distinct from z.source
 HARD_NEGATIVES_SQL = r"""
 with e as (
   select row_number() over () as u, vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
-         list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
-  from embeddings where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0),
+         [cast(floor(256 * cast(x as double)) as bigint) for x in embedding] as v
+  from embeddings where vec_id is not null and label is not null and embedding is not null and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
 c as (select u, id, unnest(v) as x, generate_subscripts(v, 1) as i from e),
 s as (select a.u as a, b.u as b, cast(sum(a.x * b.x) as bigint) as score from c a join c b using (i) where a.id % 50 = 0 group by all),
 m as (select s.a, s.b, s.score, ea.id as anchor_id, eb.id, ea.label = eb.label as same from s join e ea on ea.u = s.a join e eb on eb.u = s.b),
@@ -96,3 +96,18 @@ n as (select p.anchor_id, p.id as positive_id, m.id as negative_id, p.score as p
       from p join m on m.a = p.a and not m.same and 100 * m.score between 50 * p.score and 95 * p.score qualify rank <= 3)
 select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n
 """
+
+_TERMS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+LEXICAL_SEARCH_SQL = rf"""
+with d as (select row_number() over () as rn, doc_id, {_TERMS} as words from documents),
+n as (select rn, doc_id, len(words) as n from d where len(words) > 0),
+t as (select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from n),
+m as (select rn, doc_id, 100 - 25 + (25 * n * n_docs) // n_terms as m from n, t),
+p as (select rn, term, count(*) as tf from (select rn, unnest(words) as term from d) group by all),
+f as (select term, cast(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) as bigint) as w from p, t group by term, n_docs),
+i as (select q, item_id, unnest(words) as term from (select row_number() over () as q, item_id, {_TERMS} as words from benchmark)),
+s as (select q, any_value(item_id) as item_id, rn, any_value(doc_id) as doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+      from i join f using (term) join p using (term) join m using (rn) group by q, rn having score > 0)
+select item_id, cast(row_number() over (partition by q order by score desc, doc_id nulls last) as int) as rank, doc_id, score from s
+qualify rank <= 20
+"""
