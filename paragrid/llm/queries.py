@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paragrid.llm import decontamination, hard_negatives, html_extract, lexical_search, line_dedup, lm_scoring, packing, quality_rules, simhash, suffix_dedup, url_filter, warc
+from paragrid.llm import decontamination, hard_negatives, html_extract, lexical_search, line_dedup, lm_scoring, packing, quality_classifier, quality_rules, simhash, suffix_dedup, url_filter, warc
 from paragrid.llm.sql import HARD_NEGATIVES_SQL, HOST_QUALITY_SQL, LEXICAL_SEARCH_SQL, LINE_DEDUP_SQL, URL_FILTER_SQL
 
 
@@ -73,5 +73,12 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), 20)
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_suffix_dedup": op2_suffix_dedup, "op3_html_text": op3_html_text, "op4_warc": op4_warc, "op5_lm_scoring": op5_lm_scoring, "op6_best_fit_packing": op6_best_fit_packing, "op7_url_filter": op7_url_filter, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_host_quality": op10_host_quality, "op11_hard_negatives": op11_hard_negatives, "op12_lexical_search": op12_lexical_search}
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from labels outside the fold that is held out."""
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    scored = quality_classifier.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), may_learn=~fold)
+    return scored.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_suffix_dedup": op2_suffix_dedup, "op3_html_text": op3_html_text, "op4_warc": op4_warc, "op5_lm_scoring": op5_lm_scoring, "op6_best_fit_packing": op6_best_fit_packing, "op7_url_filter": op7_url_filter, "op8_line_dedup": op8_line_dedup, "op9_decontamination": op9_decontamination, "op10_host_quality": op10_host_quality, "op11_hard_negatives": op11_hard_negatives, "op12_lexical_search": op12_lexical_search, "op13_quality_classifier": op13_quality_classifier}
 ORACLES = {"op7_url_filter": URL_FILTER_SQL, "op8_line_dedup": LINE_DEDUP_SQL, "op10_host_quality": HOST_QUALITY_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL, "op12_lexical_search": LEXICAL_SEARCH_SQL}
