@@ -104,24 +104,25 @@ def cut_places(sizes: list[int], text: str, window: int = 20) -> list[int]:
     return [*places, len(text)]
 
 
+def over_pieces(old: list[str], new: str | None) -> list[str]:
+    """A text laid over pieces in proportion to what they held; blanks at the very ends stay, a missing or empty text leaves all."""
+    if not old or not new:
+        return old
+    at = cut_places([len(x) for x in old], new)
+    made = [new[a:b] for a, b in zip(at, at[1:])]
+    first, last = old[0][: len(old[0]) - len(old[0].lstrip(" \t"))], old[-1][len(old[-1].rstrip(" \t")) :]
+    made[0] = made[0] if made[0][:1] in (" ", "\t") else first + made[0]
+    made[-1] = made[-1] if made[-1][-1:] in (" ", "\t") else made[-1] + last
+    return made
+
+
 def distribute(rows: DataFrame, pieces: str = "pieces", text: str = "en") -> DataFrame:
     """rows with parts: the text over the pieces; a missing text leaves them, blanks at the ends of the pieces stay."""
     columns = [c for c in rows.columns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
-            for old, new in zip(batch[pieces], batch[text]):
-                old = [x or "" for x in ([] if old is None else old)]
-                if not old or not new:
-                    parts.append(old)
-                    continue
-                at = cut_places([len(x) for x in old], new)
-                made = [new[a:b] for a, b in zip(at, at[1:])]
-                first, last = old[0][: len(old[0]) - len(old[0].lstrip(" \t"))], old[-1][len(old[-1].rstrip(" \t")) :]
-                made[0] = made[0] if made[0][:1] in (" ", "\t") else first + made[0]
-                made[-1] = made[-1] if made[-1][-1:] in (" ", "\t") else made[-1] + last
-                parts.append(made)
+            parts = [over_pieces([x or "" for x in ([] if old is None else old)], new) for old, new in zip(batch[pieces], batch[text])]
             yield batch.assign(parts=parts)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)

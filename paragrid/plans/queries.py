@@ -5,12 +5,13 @@ type), benchmark for term and reference lists, labels for graded runs, events fo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paragrid.functions import rules, text
-from paragrid.operators import audit, definitions, findings, language, matching, normalize, quality, revisions, sequence, state
+from paragrid.operators import assignment, audit, definitions, findings, language, matching, normalize, quality, revisions, sequence, state, writeback
 from paragrid.plans.catalog import register, table
+from paragrid.sources import packages
 from paragrid.sources.text import paragraphs, sentence_rows
 
 _DOUBLED = r"regexp_replace({}, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g')"
@@ -211,6 +212,14 @@ def nearest_match(spark, sf_dir):
 _SENTENCES = r"list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n\s*\n', chr(1), 'g'), chr(1)), lambda x: regexp_replace(regexp_replace(x, '\s+', ' ', 'g'), '^ | $', '', 'g')), lambda x: x <> '')"
 
 
+@register("queue_match")
+def queue_match(spark, sf_dir):
+    """Lines of each document, every third one cut, against all its lines moved by one place: equal texts first, else beginnings, row by row."""
+    lines = _lines(spark, sf_dir)
+    cut = F.when(F.col("idx") % 3 == 0, F.concat(F.substring("text", 1, 40), F.lit(" (cut)"))).otherwise(F.col("text"))
+    return assignment.find_matches(lines.withColumn("text", cut), lines.withColumn("idx", F.col("idx") + 1))
+
+
 @register("prefix_match", f"""
 with a as (select item_id, left(s, 30) as p from (select item_id, unnest({_SENTENCES}) as s from benchmark)), b as (select doc_id, unnest({_SENTENCES}) as s from documents)
 select item_id, doc_id, count(*) as n from (select item_id, doc_id, p, s from b join a on left(s, length(p)) = p where length(p) >= 10) group by 1, 2""")
@@ -561,3 +570,49 @@ def missing_tokens(spark, sf_dir):
     """Tokens of each turn that the next turn of its conversation lacks."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("idx"), "text")
     return matching.missing_tokens(turns, turns.withColumn("idx", F.col("idx") - 1)).withColumn("missing", F.array_sort("missing"))
+
+
+_SPOKEN = ("aeiou", "AEIOU")
+
+
+def _written_part(spark, sf_dir):
+    """Lines as paragraphs of a marked-up part per document, with a translation of each: every second line holds an insertion and a deletion.
+
+    The translation is the line with large vowels; an inserted word is cut out of the line's middle, its mirror image is deleted."""
+    lines = _lines(spark, sf_dir).withColumn("text", F.regexp_replace("text", "[\\x00-\\x08\\x0B-\\x1F\\uFFFE\\uFFFF]", "")).where(F.trim("text") != "")
+    words = F.split("text", " ")
+    k = (F.size("w") / 2).cast("int")
+    join = lambda a, b: F.array_join(F.slice("w", a, b), " ")
+    tracked = (F.col("idx") % 2 == 1) & (F.size("w") >= 4)
+    cut = lines.withColumn("w", words).withColumns({"tracked": tracked, "a": F.concat(join(F.lit(1), k), F.lit(" ")), "b": join(k + 1, F.lit(1)), "c": F.concat(F.lit(" "), join(k + 2, F.greatest(F.size("w") - k - 1, F.lit(0))))})
+    held = lambda t: F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    run = lambda t, tag="t": F.concat(F.lit(f'<w:r><w:{tag} xml:space="preserve">'), held(t), F.lit(f"</w:{tag}></w:r>"))
+    revised = F.concat(run("a"), F.lit('<w:ins w:author="x">'), run("b"), F.lit('</w:ins><w:del w:author="x">'), run(F.concat(F.reverse("b"), F.lit("?")), "delText"), F.lit("</w:del>"), run("c"))
+    body = F.concat(F.lit("<w:p>"), F.when(F.col("tracked"), revised).otherwise(run("text")), F.lit("</w:p>"))
+    spoken = lambda t: F.translate(t, *_SPOKEN)
+    segments = F.array(*[F.struct(F.lit(t).alias("type"), spoken(x).alias("en")) for t, x in (("regular", F.col("a")), ("ins", F.col("b")), ("del", F.concat(F.reverse("b"), F.lit("?"))), ("regular", F.col("c")))])
+    return cut.select("doc_id", "idx", "text", body.alias("body"), spoken("text").alias("en"), F.when(F.col("tracked"), segments).alias("en_segments"))
+
+
+@register("written_back", rf"""
+with {LINES}, t as (select doc_id, idx, regexp_replace(text, '[\x00-\x08\x0B-\x1F\x{{FFFE}}\x{{FFFF}}]', '', 'g') as text from lines),
+w as (select doc_id, idx, text, string_split(text, ' ') as w, len(string_split(text, ' ')) // 2 as k from t where trim(text) <> ''),
+v as (select doc_id, row_number() over (partition by doc_id order by idx) - 1 as place, idx % 2 = 1 and len(w) >= 4 and text <> translate(text, 'aeiou', 'AEIOU') as tracked, translate(text, 'aeiou', 'AEIOU') as said,
+        array_to_string(w[1:k], ' ') || ' ' as a, w[k + 1] as b, ' ' || coalesce(array_to_string(w[k + 2:], ' '), '') as c, idx % 2 = 1 and len(w) >= 4 as revised from w)
+select doc_id, place, case when revised then translate(a || b || c, 'aeiou', 'AEIOU') else said end as accepted,
+       case when revised then translate(a || reverse(b) || '?' || c, 'aeiou', 'AEIOU') end as rejected from v""")
+def written_back(spark, sf_dir):
+    """A part per document is written, read, translated by edits in place and read again: both views of each paragraph."""
+    rows = _written_part(spark, sf_dir)
+    ordered = F.array_sort(F.collect_list(F.struct("idx", "body")))
+    body = F.array_join(F.transform(ordered, lambda r: r["body"]), "")
+    top = f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{packages.W[1:-1]}"><w:body>'
+    parts = rows.groupBy("doc_id").agg(F.concat(F.lit(top), body, F.lit("</w:body></w:document>")).cast("binary").alias("content")).select(F.col("doc_id").cast("string").alias("path"), F.lit(writeback.MAIN).alias("part"), "content", F.lit(None).cast("string").alias("error"))
+    place = (F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")) - 1).cast("long")
+    none = lambda kind: F.lit(None).cast(kind)
+    records = rows.select(F.col("doc_id").cast("string").alias("path"), F.lit(writeback.MAIN).alias("part"), place.alias("idx"), "text", "en", none("string").alias("en_deleted"), "en_segments", none("array<struct<start:int,end:int,bold:boolean,italic:boolean>>").alias("en_runs"), none("array<struct<text:string,bold:boolean>>").alias("runs"))
+    changed, _ = writeback.write_back(parts, records)
+    same = parts.join(changed, ["path", "part"], "left_anti")
+    found = packages.paragraphs(changed.unionByName(same))
+    rejected = F.when(F.size("tc_segments") > 0, F.array_join(F.transform(F.filter("tc_segments", lambda s: s["type"].isin("regular", "del")), lambda s: s["text"]), ""))
+    return found.select(F.col("path").cast("long").alias("doc_id"), F.col("idx").cast("long").alias("place"), F.col("text").alias("accepted"), rejected.alias("rejected"))
