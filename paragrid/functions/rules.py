@@ -38,7 +38,7 @@ SUBSTRING_LANGUAGES = ["chinese", "japanese"]
 
 # Words of the source language that should not be left in a translation (language, patterns).
 REMNANT_MARKERS = [
-    ("italian", ["delle", "degli", "della", "dello", "nelle", "negli", "nella", "nello", "alla", "allo", "alle", "agli", "sulla", "sullo", "sulle", "sugli", "ai sensi", "in conformità", "presente Contratto", "presente contratto", "Committente", "Appaltatore", "Corrispettivo", "Normativa Applicabile", "obbligazioni", "adempimento", "sottoscrizione", "rappresentare", "comunicazioni con", "contestazioni", "predisposizione", "nonché", "laddove", "qualora", "pertanto", "altresì", "fermo restando"]),
+    ("italian", ["delle", "degli", "della", "dello", "nelle", "negli", "nella", "nello", "alla", "allo", "alle", "agli", "sulla", "sullo", "sulle", "sugli", "ai sensi", "in conformità", "presente Contratto", "presente contratto", "Committente", "Appaltatore", "Corrispettivo", "Normativa Applicabile", "obbligazioni", "adempimento", "sottoscrizione", "rappresentare", "comunicazioni con", "contestazioni", "predisposizione", "nonché", "laddove", "qualora", "pertanto", "altresì", "fermo restando", r"ivi inclus\w*"]),
     ("dutch", ["Partijen", "Overeenkomst", "hierbij", "hierna", "overkomstig", "overeenkomstig", "hetgeen", "derhalve", "onverminderd", "verplichtingen", "vertegenwoordigd", "Plangebied", "Grondeigenaren", "Windpark", "Stuurgroep", "Projectteam", "grondrechten", "omgevingsvergunning", "concessieverlener", "opzegging", "ontbinding", "ingebrekestelling", "faillissement", "surs[eé]ance", "uit hoofde van", "voor zover", "ten deze", "te dezen", "bestuurder", "vennootschap", "artikel [0-9]+"]),
     ("german", ["gemäß", "hinsichtlich", "dergestalt", "mithin", "sofern", r"vorliegend\w*", r"Vertragspartei\w*", "verpflichtet sich", "Vertragsgegenstand", r"Geschäftsführer\w*", r"Prokurist\w*", r"Bevollmächtigt\w*", "im Rahmen", "gegenüber", "des Weiteren", "Abschluss", "Unternehmen", "Ausübung", "Vertragsschluss"]),
     ("french", ["lequel", "laquelle", "lesquels", "lesquelles", "conformément", "toutefois", "néanmoins", "aux termes", "en vertu", "ledit", "ladite", "lesdits", "lesdites", "dûment", "habilité", "habilitée", "étant entendu", "étant précisé", "Représentant Légal", "Société", "convention", "chacune des parties"]),
@@ -48,7 +48,7 @@ REMNANT_MARKERS = [
     ("finnish", ["että", "sekä", "kuitenkin", "sopimus", "osapuolet", "tämän", "Toimitusjohtaja", "Hallituksen puheenjohtaja"]),
     ("hungarian", ["valamint", "továbbá", "illetve", "szerint", "alapján", "vonatkozóan", "Felek", "Szerződés", "a jelen Szerződés", "Ügyvezető", "Vezérigazgató"]),
     ("chinese", ["协议", "各方", "甲方", "乙方", "本协议", "根据", "鉴于", "董事长", "法定代表人", "授权代表"]),
-    ("japanese", ["契約", "甲", "乙", "当事者", "本契約", "本書", "代表取締役", "取締役", "支配人"]),
+    ("japanese", ["契約", "甲", "乙", "当事者", "本契約", "本書", "代表取締役", "取締役", "支配人", r"(?i)\b(?:Reiwa|Heisei|Showa|Taisho|Meiji)\s+\d"]),
 ]
 ALLOWED_CONTEXTS = ["Banca d'Italia", "Cassa Depositi e Prestiti", "Contratto di Finanziamento"]
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paragrid.functions import rules, text
-from paragrid.operators import assignment, audit, definitions, findings, language, matching, normalize, quality, revisions, sequence, state, writeback
+from paragrid.operators import assignment, audit, definitions, findings, language, matching, normalize, quality, remnant_check, revisions, sequence, state, writeback
 from paragrid.plans.catalog import register, table
 from paragrid.sources import packages
 from paragrid.sources.text import paragraphs, sentence_rows
@@ -174,6 +174,44 @@ def remnants_by_language(spark, sf_dir):
     return found.groupBy(F.col("lang").alias("language"), "marker").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
 
 
+_SOURCES = {"de": "german", "fr": "french", "es": "spanish", "en": "dutch"}
+_LEFT_OVER = {"german": "gemäß Vertragsparteien im Rahmen", "french": "ledit Société aux termes", "spanish": "dichos mediante asimismo", "dutch": "hierbij Artikel 12 surséance"}
+
+
+def _left_over(spark, sf_dir):
+    """Lines into which words of the source language are set: three in every fourth line, one in a short line, one in a deleted text."""
+    pairs = lambda d: F.create_map(*[F.lit(x) for p in d.items() for x in p])
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.element_at(pairs(_SOURCES), F.col("lang")).alias("language"))
+    said = F.element_at(pairs(_LEFT_OVER), F.col("language"))
+    first = F.split(said, " ")[0]
+    t = F.when(F.col("idx") % 4 == 0, F.concat(said, F.lit(" "), "text")).when(F.col("idx") % 4 == 1, F.concat(first, F.lit(" x"))).otherwise(F.col("text"))
+    return _lines(spark, sf_dir).join(docs, "doc_id").select("doc_id", "idx", "language", t.alias("text"), F.when(F.col("idx") % 4 == 2, first).alias("deleted_text"))
+
+
+def _left_over_sql() -> str:
+    cases = lambda d: " ".join(f"when '{k}' then '{v}'" for k, v in d.items())
+    out = []
+    for name in _SOURCES.values():
+        for m in dict(rules.REMNANT_MARKERS)[name]:
+            pattern = m.replace(r"\w*", r"[\p{L}\p{N}_]*").replace(" ", r"\s+")
+            out += [f"select doc_id, idx, '{view}' as view, '{m}' as marker, {_count(text, f'(?i){_LEFT}(?:{pattern}){_RIGHT}')} as n from r where language = '{name}' and {words} >= {least}" for view, text, words, least in (("accept", "text", "wt", 3), ("reject", "deleted", "wd", 1))]
+    words = lambda c: f"coalesce(len(list_filter(string_split_regex({c}, '\\s+'), lambda x: x <> '')), 0)"
+    return f"""with {LINES}, l as (select lines.doc_id, idx, lines.text, case d.lang {cases(_SOURCES)} end as language from lines join documents d using (doc_id)),
+s as (select *, case language {cases(_LEFT_OVER)} end as said from l),
+r0 as (select doc_id, idx, language, case idx % 4 when 0 then said || ' ' || text when 1 then string_split(said, ' ')[1] || ' x' else text end as text, case when idx % 4 = 2 then string_split(said, ' ')[1] end as deleted from s),
+r as (select *, {words("text")} as wt, {words("deleted")} as wd from r0),
+h as (select * from ({" union all ".join(out)}) where n > 0)
+select doc_id, idx::int as idx, view, 'remnant' as kind, marker, n::bigint as n from h union all
+select doc_id, idx::int, view, 'dense', null, 1 from h group by doc_id, idx, view having sum(n) >= 3"""
+
+
+@register("source_remnants", _left_over_sql())
+def source_remnants(spark, sf_dir):
+    """Findings of the remnant check in both views of lines that hold words of the source language, counted by marker."""
+    found = remnant_check.scan(_left_over(spark, sf_dir))
+    return found.groupBy("doc_id", "idx", "view", "kind", "marker").agg(F.count("*").alias("n"))
+
+
 _PLANTED = ["Wind Park", "in the present Agreement", "hereby"]
 
 
