@@ -47,7 +47,7 @@ def is_noise(text: Column) -> Column:
 
 
 def is_bracket_only(text: Column) -> Column:
-    return normalized(text).rlike(r"^[\[\](){}<>\s]+$")
+    return normalized(text).rlike(r"^[\[\](){}〈〉《》]+$")
 
 
 def is_wordlike(text: Column, most: int = 80) -> Column:

@@ -25,7 +25,7 @@ from paragrid.functions.rules import DEFINITION_VERBS
 from paragrid.functions.text import trimmed
 from paragrid.operators.assignment import find_matches
 from paragrid.operators.auxiliary import over_pieces
-from paragrid.sources.markup import EDIT, Node, own, piece, splice, tree
+from paragrid.sources.markup import EDIT, Node, own, paragraphs_of, piece, splice
 from paragrid.sources.packages import parts as parts_of
 from paragrid.sources.packages import repack
 
@@ -227,7 +227,7 @@ def texts(parts: DataFrame) -> DataFrame:
             rows = []
             for path, part, content in zip(batch["path"], batch["part"], batch["content"]):
                 try:
-                    rows += [(path, part, k, Paragraph(content, p).text, None) for k, p in enumerate(n for n in tree(content).walk() if n.tag == "p")]
+                    rows += [(path, part, k, Paragraph(content, p).text, None) for k, p in enumerate(paragraphs_of(content))]
                 except ExpatError as e:
                     rows.append((path, part, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["path", "part", "idx", "text", "error"]).astype({"idx": "Int64"})
@@ -245,7 +245,7 @@ def paragraph_edits(parts: DataFrame, assigned: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, part, content, records in zip(batch["path"], batch["part"], batch["content"], batch["records"]):
-                found = [n for n in tree(content).walk() if n.tag == "p"]
+                found = paragraphs_of(content)
                 for record in records:
                     x = Paragraph(content, found[record["idx"]])
                     rows += [(path, part, *e) for e in (_tracked(x, record) if x.tracked else _plain(x, record))]

@@ -365,11 +365,49 @@ def view_findings(spark, sf_dir):
     return revisions.view_findings(docs, key="conv_id").where("rule <> 'repeated_word'")
 
 
-@register("stripped_segments")
+_PATTERNS = 5
+
+
+def _revised(spark, sf_dir):
+    """Lines as segments, by turns: a pair parted by a bookmark, brackets around a date, noise and a phantom, a pair that noise parted, a bracket far from content."""
+    one = lambda kind, x: F.struct(F.lit(kind).alias("type"), x.alias("text"))
+    t, w = F.concat("text", F.lit(".x")), F.concat(F.lit("v"), F.col("idx").cast("string"))
+    kinds = [
+        F.array(one("regular", t), one("del", w), one("bookmarkStart", F.lit("")), one("ins", w), one("regular", F.lit("z"))),
+        F.array(one("ins", F.lit("[")), one("regular", t), one("ins", F.lit("12 May")), one("del", F.lit("]"))),
+        F.array(one("del", F.lit(" ")), one("ins", F.lit(".")), one("regular", t), one("ins_then_del", F.lit("gone")), one("del", F.lit("x")), one("regular", t), one("ins", F.lit("x"))),
+        F.array(one("ins", w), one("del", F.lit("-")), one("del", w), one("commentRangeEnd", F.lit("")), one("ins", F.lit("q"))),
+        F.array(one("ins", F.lit("[")), *[one("regular", F.lit(f"r{k}")) for k in range(8)], one("ins", F.lit("far"))),
+    ]
+    return _lines(spark, sf_dir).select("doc_id", "idx", F.element_at(F.array(*kinds), (F.col("idx") % _PATTERNS + 1).cast("int")).alias("segments"))
+
+
+@register("stripped_segments", f"""with {LINES}, p as (select doc_id, idx, text || '.x' as t, 'v' || idx as w, idx % 5 as k from lines)
+select doc_id, idx::int as idx, [5, 4, 7, 5, 10][k + 1] as n_before, [4, 4, 4, 3, 9][k + 1] as n_after,
+       ['regular bookmarkStart regular regular', 'ins regular ins del', 'regular del regular ins', 'regular commentRangeEnd ins', 'regular regular regular regular regular regular regular regular ins'][k + 1] as kinds,
+       [t || w || 'z', '[' || t || '12 May', t || t || 'x', w || 'q', 'r0r1r2r3r4r5r6r7far'][k + 1] as accepted, [t || w || 'z', t || ']', t || 'x' || t, w, 'r0r1r2r3r4r5r6r7'][k + 1] as rejected from p""")
 def stripped_segments(spark, sf_dir):
-    """Segments of each conversation before and after no-op revisions go."""
-    docs = revisions.segments_of(_segments(spark, sf_dir), F.col("type"), doc="conv_id", order="turn").withColumn("segments", F.transform("segments", lambda s: F.struct(s["type"].alias("type"), s["en"].alias("text"))))
-    return docs.select("conv_id", F.size("segments").alias("n_before"), F.size(revisions.strip_noops(F.col("segments"))).alias("n_after"))
+    """Segments of each line before and after no-op revisions go, and both views of what is left."""
+    made = _revised(spark, sf_dir).withColumn("left", revisions.strip_noops(F.col("segments")))
+    return made.select("doc_id", "idx", F.size("segments").alias("n_before"), F.size("left").alias("n_after"), F.array_join(F.transform("left", lambda s: s["type"]), " ").alias("kinds"), revisions.view(F.col("left"), "accept", "text").alias("accepted"), revisions.view(F.col("left"), "reject", "text").alias("rejected"))
+
+
+@register("coalesced_segments", f"""with {LINES}, p as (select doc_id, idx, coalesce(regexp_extract(text, '[a-z]+'), '') as w, text || ' ' as t, idx % 3 as k from lines),
+q as (select *, case k when 0 then 'ca' || w || 't' when 1 then 'a' else 'ab' end as ins, case k when 0 then 'do' || w || 'g' when 1 then 'b' else 'ab' end as del from p)
+select doc_id, idx::int as idx, [7, 4, 5][k + 1] as n_before, [4, 4, 5][k + 1] as n_after, t || ins || ' ' || t as accepted, t || del || ' ' || t as rejected from q""")
+def coalesced_segments(spark, sf_dir):
+    """Words changed in pieces as one insertion and one deletion: every third line holds such a cluster, the others one that is too small or changes nothing."""
+    one = lambda kind, x: F.struct(F.lit(kind).alias("type"), x.alias("text"))
+    t, w, lit = F.concat("text", F.lit(" ")), F.regexp_extract("text", "[a-z]+", 0), lambda kind, x: one(kind, F.lit(x))
+    tail = one("regular", F.concat(F.lit(" "), t))
+    kinds = [
+        F.array(one("regular", t), lit("ins", "ca"), lit("del", "do"), one("regular", w), lit("ins", "t"), lit("del", "g"), tail),
+        F.array(one("regular", t), lit("ins", "a"), lit("del", "b"), tail),
+        F.array(one("regular", t), lit("ins", "ab"), lit("del", "a"), lit("del", "b"), tail),
+    ]
+    rows = _lines(spark, sf_dir).select("doc_id", "idx", F.element_at(F.array(*kinds), (F.col("idx") % 3 + 1).cast("int")).alias("segments"))
+    made = rows.withColumn("fewer", revisions.coalesced(F.col("segments")))
+    return made.select("doc_id", "idx", F.size("segments").alias("n_before"), F.size("fewer").alias("n_after"), revisions.view(F.col("fewer"), "accept", "text").alias("accepted"), revisions.view(F.col("fewer"), "reject", "text").alias("rejected"))
 
 
 _WORD = r"[^\p{L}\p{M}\p{N}_]"

@@ -67,6 +67,12 @@ def tree(xml: bytes) -> Node:
     return top.children[0]
 
 
+def paragraphs_of(xml: bytes) -> list[Node]:
+    """All paragraphs of a part in order, those within others too."""
+    root = tree(xml)
+    return [n for n in [root, *root.walk()] if n.tag == "p"]
+
+
 def own(p: Node, kind: str = "regular") -> Iterator[tuple[Node, str, Node]]:
     """(run, kind of its revision, child of p that holds it) of a paragraph in order, not those of paragraphs within it."""
 
