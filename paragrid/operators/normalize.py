@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paragrid.functions.rules import ANNEX_EXCLUDE, DEFINITION_VERBS, SPELLINGS, TERM_LITERALS, TERM_REPLACEMENTS
+from paragrid.functions.rules import ANNEX_EXCLUDE, DEFINITION_VERBS, INTERNAL_ANCHORS, INTERNAL_DETERMINERS, INTERNAL_LOCATORS, SPELLINGS, TERM_LITERALS, TERM_REPLACEMENTS, TO_US_ONLY, WIDE_SPELLINGS
 from paragrid.functions.text import needs_space, replace_all
 
 Pass = tuple[str, Callable[[Column], Column]]
@@ -29,8 +29,10 @@ def terminology(t: Column) -> Column:
     return F.transform(F.array(literal), lambda x: replace_all(x, TERM_REPLACEMENTS))[0]
 
 
-def spelling(to: str) -> Callable[[Column], Column]:
-    pairs = SPELLINGS if to == "uk" else [(b, a) for a, b in SPELLINGS]
+def spelling(to: str, wide: bool = False) -> Callable[[Column], Column]:
+    """Spellings of one side as those of the other; the wide tables hold more, and some words that only become US ones."""
+    both = SPELLINGS + (WIDE_SPELLINGS if wide else [])
+    pairs = both if to == "uk" else [(b, a) for a, b in both] + (TO_US_ONLY if wide else [])
     any_of = r"(?U)\b(?:" + "|".join(a for a, _ in pairs) + r")\b"
     return lambda t: F.when(F.regexp_like(t, F.lit(any_of)), replace_all(t, [(rf"(?U)\b{a}\b", b) for a, b in pairs])).otherwise(t)
 
@@ -48,20 +50,59 @@ def definition_line_breaks(t: Column) -> Column:
     return F.when(t.rlike("|".join(DEFINITION_VERBS)) & t.rlike("[“\"„]"), F.regexp_replace(t, r"\s*\n\s*", " ")).otherwise(t)
 
 
-def internal_articles(t: Column) -> Column:
-    """Article N becomes Clause N, Articles N Clauses N, unless ``of`` and a capitalized name that is no part of the document follow."""
-    inside = r"Schedules?|Annex(?:es|ures?)?|Attachments?|Append(?:ix|ices|ixes)|Exhibits?|Sections?|(?:Sub)?[Pp]aragraphs?|Clauses?|Articles?|Chapters?|Parts?"
-    return F.regexp_replace(t, rf"\bArticle(s?)\s+(\d(?:[\d.:]*\d)?+(?:-[A-Za-z]{{1,15}})*+)(?!(?:\([^)]*\)|[\d.,\s]|and )*\s+of\s+(?:the\s+|a\s+)?(?!(?:{inside})\b)[A-Z])", "Clause$1 $2")
+_CITED = r"Articles?\s+\d[\d.:]*(?:-[A-Za-z]{1,15})*"
+#: How far behind a citation its target is looked for, and how much of what was read tells determiners.
+_REACH, _BEHIND = 250, 24
 
 
-def passes(variant: str = "uk") -> list[Pass]:
+def _is_outside(tail: Column) -> Column:
+    """Whether what follows a citation names an act of its own, told by the first word that decides.
+
+    The rest of the sentence is read word by word: a locator (above, hereof) or a part of the document (Schedule, Clause) means inside, as does
+    a capitalized word behind a determiner (this, the said); any other capitalized word means outside. Lower-case words, figures and further
+    citations decide nothing; a sentence without a deciding word means inside."""
+    sentence = F.regexp_replace(tail, r"(?s)(?:[!?\n]|\.(?= *\p{Lu}|\z)).*\z", "")
+    read = F.regexp_extract_all(F.regexp_replace(sentence, rf"(?U)\b{_CITED}", "#"), F.lit(r"(\s*(?:[A-Za-z][A-Za-z0-9'-]*|[^\sA-Za-z]))"), 1)
+    start = F.struct(F.lit(None).cast("boolean").alias("outside"), F.lit("").alias("behind"))
+
+    def step(state: Column, token: Column) -> Column:
+        word = F.regexp_replace(token, r"^\s+", "")
+        behind = F.lower(F.regexp_replace(F.concat(state["behind"], F.regexp_extract(token, r"^\s*", 0)), r"\s+\z", ""))
+        determined = behind.rlike("(?:^| )(?:" + "|".join(INTERNAL_DETERMINERS) + r")\z")
+        told = F.when(F.lower(word).isin(INTERNAL_LOCATORS), False).when(~word.rlike("^[A-Z]"), F.lit(None).cast("boolean")).otherwise(~word.isin(INTERNAL_ANCHORS) & ~determined)
+        kept = F.concat(state["behind"], token)
+        return F.when(state["outside"].isNotNull(), state).otherwise(F.struct(told.alias("outside"), F.substring(kept, F.greatest(F.length(kept) - _BEHIND + 1, F.lit(1)), F.lit(_BEHIND)).alias("behind")))
+
+    return F.aggregate(read, start, step, lambda s: F.coalesce(s["outside"], F.lit(False)))
+
+
+def internal_articles(t: Column, to: str = "Clause") -> Column:
+    """Article N becomes Clause N, Articles N Clauses N, but for citations of other acts (see ``_is_outside``), one by one."""
+    chunks = F.split(t, rf"(?U)(?=\b{_CITED})")
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, chunk: Column) -> Column:
+        cited = F.regexp_extract(chunk, rf"(?U)^{_CITED}", 0)
+        tail = F.substring(t, state["at"] + F.length(cited) + 1, F.lit(_REACH))
+        inside = (cited != "") & ~_is_outside(tail)
+        made = F.when(inside, F.regexp_replace(chunk, rf"(?U)^Article(s?)\s+(?=\d)", f"{to}$1 ")).otherwise(chunk)
+        return F.struct((state["at"] + F.length(chunk)).alias("at"), F.concat(state["out"], F.array(made)).alias("out"))
+
+    rewritten = F.aggregate(chunks, start, step, lambda s: F.array_join(s["out"], ""))
+    return F.when(t.rlike(rf"(?U)\b{_CITED}"), rewritten).otherwise(t)
+
+
+def passes(variant: str = "uk", tree: str = "uk") -> list[Pass]:
+    """The passes in order. The us tree has the wide spelling tables, and its us variant calls articles of the document sections."""
+    wide = tree == "us"
+    articles = (lambda t: internal_articles(t, "Section")) if wide and variant == "us" else internal_articles
     return [
         ("definition_boundaries", definition_boundaries),
         ("double_punctuation", double_punctuation),
         ("terminology", terminology),
-        ("spelling", spelling(variant)),
+        ("spelling", spelling(variant, wide)),
         ("annexes", annexes),
-        ("internal_articles", internal_articles),
+        ("internal_articles", articles),
         ("doubled_words", doubled_words),
         ("definition_line_breaks", definition_line_breaks),
     ]
