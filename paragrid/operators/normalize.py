@@ -76,16 +76,19 @@ def _is_outside(tail: Column) -> Column:
     return F.aggregate(read, start, step, lambda s: F.coalesce(s["outside"], F.lit(False)))
 
 
-def internal_articles(t: Column, to: str = "Clause") -> Column:
-    """Article N becomes Clause N, Articles N Clauses N, but for citations of other acts (see ``_is_outside``), one by one."""
+def internal_articles(t: Column, to: str = "Clause", around: Column | None = None, offset: Column | int = 0) -> Column:
+    """Article N becomes Clause N, Articles N Clauses N, but for citations of other acts (see ``_is_outside``), one by one.
+
+    Where t is a piece of a longer text, ``around`` is that text and ``offset`` the piece's place in it: what follows is read there."""
+    around = t if around is None else around
     chunks = F.split(t, rf"(?U)(?=\b{_CITED})")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, chunk: Column) -> Column:
-        cited = F.regexp_extract(chunk, rf"(?U)^{_CITED}", 0)
-        tail = F.substring(t, state["at"] + F.length(cited) + 1, F.lit(_REACH))
-        inside = (cited != "") & ~_is_outside(tail)
-        made = F.when(inside, F.regexp_replace(chunk, rf"(?U)^Article(s?)\s+(?=\d)", f"{to}$1 ")).otherwise(chunk)
+        rest = F.substring(around, state["at"] + offset + 1, F.lit(_REACH + 100))
+        tail = F.substring(rest, F.length(F.regexp_extract(rest, rf"(?U)^{_CITED}", 0)) + 1, F.lit(_REACH))
+        inside = chunk.rlike(rf"(?U)^{_CITED}") & ~_is_outside(tail)
+        made = F.when(inside, F.regexp_replace(chunk, r"(?U)^Article(s?)\s+(?=\d)", f"{to}$1 ")).otherwise(chunk)
         return F.struct((state["at"] + F.length(chunk)).alias("at"), F.concat(state["out"], F.array(made)).alias("out"))
 
     rewritten = F.aggregate(chunks, start, step, lambda s: F.array_join(s["out"], ""))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paragrid.functions import rules, text
-from paragrid.operators import assignment, audit, definitions, findings, language, matching, normalize, quality, remnant_check, revisions, sequence, state, writeback
+from paragrid.operators import assignment, audit, definitions, findings, language, matching, normalize, postprocess, quality, remnant_check, revisions, sequence, state, writeback
 from paragrid.plans.catalog import register, table
 from paragrid.sources import packages
 from paragrid.sources.text import paragraphs, sentence_rows
@@ -539,6 +539,25 @@ def planted_passes(spark, sf_dir):
     return normalize.apply_passes(rows).select("doc_id", "idx", "text", F.array_join("changed", ",").alias("changed"))
 
 
+#: Pieces of a paragraph that passes across pieces change, and what is read then.
+_JOINTS = [(["“Term", "means x "], "“Term” means x "), (["see Article 5", " of the Civil Code "], "see Article 5 of the Civil Code "), (["by Article 6 ", "of this deed "], "by Clause 6 of this deed "), (["of the Seller, ", "Seller pays "], "of the Seller,  pays "), (["one,", "two "], "one, two ")]
+_JOINT_ROWS = ", ".join(f"({k}, '{made}')" for k, (_, made) in enumerate(_JOINTS))
+
+
+@register("post_processed_parts", f"with {LINES} select doc_id, row_number() over (partition by doc_id order by idx) - 1 as place, made || md5(text) as text from lines join (values {_JOINT_ROWS}) p(k, made) on idx % {len(_JOINTS)} = k")
+def post_processed_parts(spark, sf_dir):
+    """A part per document, its lines cut into pieces, after all passes within and across pieces, read again."""
+    run = lambda t: f'<w:r><w:t xml:space="preserve">{t}</w:t></w:r>'
+    said = F.element_at(F.array(*[F.lit("".join(map(run, pieces))) for pieces, _ in _JOINTS]), (F.col("idx") % len(_JOINTS) + 1).cast("int"))
+    body = F.concat(F.lit("<w:p>"), said, F.lit("<w:r><w:t>"), F.md5("text"), F.lit("</w:t></w:r></w:p>"))
+    top = f'<w:document xmlns:w="{packages.W[1:-1]}"><w:body>'
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", body.alias("body")))), lambda r: r["body"]), "")
+    parts = _lines(spark, sf_dir).groupBy(F.col("doc_id").cast("string").alias("path")).agg(F.concat(F.lit(top), joined, F.lit("</w:body></w:document>")).cast("binary").alias("content")).select("path", F.lit(writeback.MAIN).alias("part"), "content", F.lit(None).cast("string").alias("error"))
+    changed, _ = postprocess.post_process(parts)
+    found = packages.paragraphs(changed.unionByName(parts.join(changed, ["path", "part"], "left_anti")))
+    return found.select(F.col("path").cast("long").alias("doc_id"), F.col("idx").cast("long").alias("place"), "text")
+
+
 def _log(spark, sf_dir):
     """Events as a validation log: user, place, hour of the batch."""
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), (F.col("event_id") % 500).alias("idx"), "ts", F.date_trunc("day", "ts").alias("batch"), "event_id", F.col("event_type") == "error")
