@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paragrid.functions import rules, text
-from paragrid.operators import assignment, audit, definitions, findings, language, matching, normalize, postprocess, quality, remnant_check, revisions, sequence, side_parts, state, writeback
+from paragrid.operators import assignment, audit, definitions, findings, landing, language, matching, normalize, postprocess, quality, remnant_check, revisions, sequence, side_parts, state, writeback
 from paragrid.plans.catalog import register, table
 from paragrid.sources import packages
 from paragrid.sources.text import paragraphs, sentence_rows
@@ -748,3 +748,23 @@ def side_parts_back(spark, sf_dir):
     again = side_parts.side_rows(made.drop("n")).join(made.select("path", "n"), "path")
     fields = F.array_join(F.transform("fields", lambda f: F.concat_ws(" ", f["type"], f["cached_result"])), " ")
     return again.select(F.col("path").cast("long").alias("doc_id"), "text", F.size("fields").alias("n_fields"), F.col("n").cast("int").alias("n"), fields.alias("fields"))
+
+
+_LETTERS = ("0123456789", "abcdefghij")
+_OWN = "translate(idx::varchar, '0123456789', 'abcdefghij')"
+_CONTENT_TOKENS = r"""list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace({}, '([a-z][a-z])\.([a-z])', '\1. \2', 'g'), '[A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9]|[A-Za-z0-9]+'), lambda w: lower(w)), lambda w: length(w) >= 3 and w not in (""" + ", ".join(f"'{w}'" for w in rules.STRUCTURAL_WORDS) + ")))"
+
+
+@register("token_landing", f"""with {LINES}, e as (select doc_id, idx, text || ' qxa' || {_OWN} || ' qxb' || {_OWN} || ' qxc' || {_OWN} || ' qxd' || {_OWN} as en, idx % 4 = 0 as cut from lines),
+t as (select doc_id, len({_CONTENT_TOKENS.format('en')}) as n, cut from e)
+select doc_id, sum(n)::bigint as n_required, sum(n - cut::int)::bigint as n_present, sum(cut::int)::bigint as n_incomplete, 0::bigint as n_unmatched, case when sum(cut::int) > 0 then 'WARN' else 'PASS' end as verdict from t group by rollup(doc_id)""")
+def token_landing(spark, sf_dir):
+    """Words that landed, per document and in all: each line bears words of its own, is written at another place, and every fourth one loses a word."""
+    own = F.translate(F.col("idx").cast("string"), *_LETTERS)
+    mark = lambda c: F.concat(F.lit(f" qx{c}"), own)
+    lines = _lines(spark, sf_dir)
+    last = F.max("idx").over(Window.partitionBy("doc_id"))
+    written = lines.select("doc_id", (last - F.col("idx")).alias("idx"), F.concat("text", mark("a"), mark("b"), mark("c"), F.when(F.col("idx") % 4 == 0, "").otherwise(mark("d"))).alias("text"))
+    none = lambda kind: F.lit(None).cast(kind)
+    records = lines.select("doc_id", "idx", F.concat("text", mark("a"), mark("b"), mark("c"), mark("d")).alias("en"), none("string").alias("en_deleted"), none("array<struct<type:string,en:string>>").alias("en_segments"), none("array<struct<type:string,count:int>>").alias("tc_cluster_hits"))
+    return landing.totals(landing.landed(records, written))
