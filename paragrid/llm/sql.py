@@ -19,12 +19,12 @@ with p as (
   from pages),
 l as (select doc_id as key, max(case when toxic = 1 or quality = 0 then 1 else 0 end) as bad from labels group by 1),
 j as (select p.host, l.bad from p left join l using (key)),
-h0 as (select host, count(bad) as n, coalesce(sum(bad), 0) as bad, regexp_replace(host, ':[0-9]*$', '') as name, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') as parts from j group by host),
-h1 as (select host, n, bad, case when len(parts) > 2 and ((length(parts[-1]) = 2 and parts[-2] in {_listed(SECOND_LEVEL)}) or array_to_string(parts[-2:], '.') in {_listed(SUFFIXES)})
-              then array_to_string(parts[-3:], '.') else array_to_string(parts[-2:], '.') end as domain, regexp_replace(domain, '^[^.]*\.', '') as suffix from h0),
+h0 as (select host, count(bad) as n, coalesce(sum(bad), 0) as bad, regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', '') as name, string_split(regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', ''), '.') as parts from j group by host),
+h1 as (select host, n, bad, case when regexp_matches(name, '^[0-9]+([.][0-9]+){{3}}$') then name when len(parts) > 2 and ((length(parts[-1]) = 2 and parts[-2] in {_listed(SECOND_LEVEL)}) or array_to_string(parts[-2:], '.') in {_listed(SUFFIXES)})
+              then array_to_string(parts[-3:], '.') else array_to_string(parts[-2:], '.') end as domain, case when regexp_matches(name, '^[0-9]+([.][0-9]+){{3}}$') then name else regexp_replace(domain, '^[^.]*\.', '') end as suffix from h0),
 d0 as (select suffix, domain, sum(n) as n, sum(bad) as bad from h1 group by all),
 s0 as (select suffix, sum(n) as n, sum(bad) as bad from d0 group by all),
-s1 as (select *, (select coalesce(sum(bad) / sum(n), 0) from s0) as mean from s0),
+s1 as (select *, (select (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) from s0) as mean from s0),
 sk as (select coalesce(greatest(1.0, least(1000.0, sum(n * mean * (1 - mean)) / greatest(sum(case when n > 0 then pow(bad - n * mean, 2) / n else 0 end) - sum(case when n > 0 then mean * (1 - mean) else 0 end), 1e-6 * sum(n)) - 1)), 1.0) as k from s1),
 s2 as (select suffix, (bad + k * mean) / (n + k) as rate from s1, sk),
 d1 as (select d0.*, s2.rate as mean from d0 join s2 using (suffix)),

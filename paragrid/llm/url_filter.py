@@ -1,14 +1,15 @@
 """URL filter: fixed rules first, then empirical-Bayes host reputation. DataFrame functions only.
 
-Labelled page outcomes are counted per host and shrunk through beta-binomial priors: the global rate is the
-prior mean of each suffix, a suffix's posterior mean that of its registered domains, a domain's that of its
-hosts. Each level's prior strength is fitted by moments over that level's groups. A host is blocked when the
+Labelled page outcomes are counted per host and shrunk through beta-binomial priors: the global rate, itself shrunk by a
+Beta(1/2, 1/2) prior so that few labels can't make it 0 or 1, is the prior mean of each suffix, a suffix's posterior mean that
+of its registered domains, a domain's that of its hosts. Each level's prior strength is fitted by moments over that level's groups. A host is blocked when the
 lower bound of its posterior rate of bad pages passes a threshold. The bound is the posterior mean less z posterior standard
 deviations, a normal approximation: SQL has no quantile of the beta distribution. URLs are tallied by host once; that table is
 written, and domains and suffixes are summed from it.
 
 A registered domain is one label below a public suffix: the last label, or the last two where ``suffixes`` lists them or where a
-two-letter country's second label is one of ``SECOND_LEVEL``. A port is no part of the domain.
+two-letter country's second label is one of ``SECOND_LEVEL``. A port and what stands before an @ are no part of the domain; an IP
+address is a domain and a suffix of its own.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and no rule; all such pages
 share the empty host's reputation. An unlabelled host takes its domain's rate, an unlabelled domain its
@@ -60,22 +61,32 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
+def _name_of(host: Column) -> Column:
+    """A host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"^[\s\S]*@", ""), ":[0-9]*$", "")
+
+
+def _is_address(name: Column) -> Column:
+    return name.rlike(r"^[0-9]+(?:\.[0-9]+){3}$")
+
+
 def suffix_of(host: Column, suffixes=SUFFIXES) -> Column:
-    """The public suffix: the registered domain without its first label (of a domain of one label, that label)."""
-    return F.regexp_replace(domain_of(host, suffixes), r"^[^.]*\.", "")
+    """The public suffix: the registered domain without its first label (of a domain of one label, that label; of an address, itself)."""
+    name = _name_of(host)
+    return F.when(_is_address(name), name).otherwise(F.regexp_replace(domain_of(host, suffixes), r"^[^.]*\.", ""))
 
 
 def domain_of(host: Column, suffixes=SUFFIXES) -> Column:
-    name = F.regexp_replace(host, ":[0-9]*$", "")
+    name = _name_of(host)
     parts = F.split(name, r"\.")
     three = (F.length(F.element_at(parts, -1)) == 2) & F.try_element_at(parts, F.lit(-2)).isin(SECOND_LEVEL) | F.substring_index(name, ".", -2).isin(list(suffixes))
-    return F.when(three & (F.size(parts) > 2), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    return F.when(_is_address(name), name).when(three & (F.size(parts) > 2), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def _with_rate(groups: DataFrame, prior: DataFrame | None, on: str | None, z: float = 0.0) -> DataFrame:
     """Adds ``rate`` (posterior mean) and ``low`` (its lower bound) to groups of (n, bad), given the level above."""
     if prior is None:
-        mean = F.coalesce(F.try_divide(F.sum("bad"), F.sum("n")), F.lit(0.0))
+        mean = (F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)
         top = groups.agg(mean.alias("mean"))
         groups = groups.crossJoin(F.broadcast(top))  # one row
     else:

@@ -187,3 +187,30 @@ def test_registered_domain(spark):
     got = hosts.select(url_filter.domain_of(F.col("h")), url_filter.suffix_of(F.col("h")), url_filter.domain_of(F.col("h"), ["b.com"])).collect()
     assert [r[0] for r in got] == ["b.co.uk", "b.com", "x", "", "me.github.io", "me.github.io", "co.uk", "a.asso.fr"]
     assert [r[1] for r in got] == ["co.uk", "com", "x", "", "github.io", "github.io", "uk", "asso.fr"] and got[1][2] == "a.b.com"
+
+
+def verdicts(spark, rows):
+    df = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, b) for k, (_, b) in enumerate(rows) if b is not None], "key long, bad int")
+    return {r["host"]: r["verdict"] for r in url_filter.judge_urls(df, labels).collect()}
+
+
+def test_few_labels_block_no_strangers(spark):
+    others = [(f"http://h{k}.org{k}.{s}/", None) for k in range(20) for s in ("io", "uk")] + [(None, None)]
+    one_bad = verdicts(spark, [("http://bad.spam.biz/", 1), *others])
+    assert {h for h, v in one_bad.items() if v == "block"} <= {"bad.spam.biz"}
+    one_good = verdicts(spark, [("http://fine.org/", 0), *others])
+    assert "block" not in one_good.values() and "block" not in verdicts(spark, others).values()
+    all_bad = verdicts(spark, [(f"http://x{k % 3}.spam.biz/{k}", 1) for k in range(60)] + others)
+    assert {all_bad[f"x{k}.spam.biz"] for k in range(3)} == {"block"}
+    all_good = verdicts(spark, [(f"http://x{k % 3}.fine.biz/{k}", 0) for k in range(60)] + others)
+    assert "block" not in all_good.values()
+
+
+def test_addresses_users_long_urls_and_repeats(spark):
+    hosts = spark.createDataFrame([("1.2.3.4",), ("9.8.3.4:80",), ("user:pw@a.example.com",), ("user@example.com:8080",), ("1.2.3",)], "h string")
+    got = hosts.select(url_filter.domain_of(F.col("h")), url_filter.suffix_of(F.col("h"))).collect()
+    assert [tuple(r) for r in got] == [("1.2.3.4", "1.2.3.4"), ("9.8.3.4", "9.8.3.4"), ("example.com", "com"), ("example.com", "com"), ("2.3", "3")]
+    rows = [("http://1.2.3.4/a", 1)] * 40 + [("http://9.8.3.4/a", 0)] * 40 + [("http://long.org/" + "x" * 200_000, 0)] * 2
+    made = verdicts(spark, rows)
+    assert (made["1.2.3.4"], made["9.8.3.4"], made["long.org"]) == ("block", "allow", "allow")

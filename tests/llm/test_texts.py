@@ -225,6 +225,18 @@ def test_scores(spark):
     assert lm_scoring.score(df.limit(0)).count() == 0
 
 
+def test_scores_do_not_depend_on_the_layout(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdeäö") for _ in range(r.randint(1, 6))) for _ in range(300)]
+    docs = [(k, " ".join(r.choice(words) + ("" if r.random() < 0.9 else str(r.randint(0, 9999))) for _ in range(r.randint(1, 80)))) for k in range(250)] + [(7, "again"), (7, "again"), (None, "none")]
+    found = []
+    for parts in (1, 4, 7):
+        rows = r.sample(docs, len(docs))
+        made = lm_scoring.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), block_bytes=4000)
+        found.append(sorted(((x["doc_id"], x["score"], x["total_bits"]) for x in made.collect()), key=repr))
+    assert found[0] == found[1] == found[2]
+
+
 def fitted(texts, table_bits=12):
     """A model of texts that is read by one learner, without Spark."""
     tokens = [lm_scoring.tokens_of(t.encode()) for t in texts]
