@@ -24,16 +24,16 @@ h1 as (select host, n, bad, case when regexp_matches(name, '^[0-9]+([.][0-9]+){{
               then array_to_string(parts[-3:], '.') else array_to_string(parts[-2:], '.') end as domain, case when regexp_matches(name, '^[0-9]+([.][0-9]+){{3}}$') then name else regexp_replace(domain, '^[^.]*\.', '') end as suffix from h0),
 d0 as (select suffix, domain, sum(n) as n, sum(bad) as bad from h1 group by all),
 s0 as (select suffix, sum(n) as n, sum(bad) as bad from d0 group by all),
-s1 as (select *, (select (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) from s0) as mean from s0),
+s1 as (select *, (select (count(case when n > 0 then 1 end) * coalesce(sum(bad) / sum(n), 0.0) + 0.5) / (count(case when n > 0 then 1 end) + 1) from s0) as mean, (select count(case when n > 0 then 1 end) + 1.0 from s0) as most from s0),
 sk as (select coalesce(greatest(1.0, least(1000.0, sum(n * mean * (1 - mean)) / greatest(sum(case when n > 0 then pow(bad - n * mean, 2) / n else 0 end) - sum(case when n > 0 then mean * (1 - mean) else 0 end), 1e-6 * sum(n)) - 1)), 1.0) as k from s1),
-s2 as (select suffix, (bad + k * mean) / (n + k) as rate from s1, sk),
-d1 as (select d0.*, s2.rate as mean from d0 join s2 using (suffix)),
+s2 as (select suffix, (bad + least(k, most) * mean) / (n + least(k, most)) as rate, n + least(k, most) as total from s1, sk),
+d1 as (select d0.*, s2.rate as mean, s2.total as most from d0 join s2 using (suffix)),
 dk as (select coalesce(greatest(1.0, least(1000.0, sum(n * mean * (1 - mean)) / greatest(sum(case when n > 0 then pow(bad - n * mean, 2) / n else 0 end) - sum(case when n > 0 then mean * (1 - mean) else 0 end), 1e-6 * sum(n)) - 1)), 1.0) as k from d1),
-d2 as (select domain, (bad + k * mean) / (n + k) as rate from d1, dk),
-g1 as (select h1.*, d2.rate as mean from h1 join d2 using (domain)),
+d2 as (select domain, (bad + least(k, most) * mean) / (n + least(k, most)) as rate, n + least(k, most) as total from d1, dk),
+g1 as (select h1.*, d2.rate as mean, d2.total as most from h1 join d2 using (domain)),
 gk as (select coalesce(greatest(1.0, least(1000.0, sum(n * mean * (1 - mean)) / greatest(sum(case when n > 0 then pow(bad - n * mean, 2) / n else 0 end) - sum(case when n > 0 then mean * (1 - mean) else 0 end), 1e-6 * sum(n)) - 1)), 1.0) as k from g1),
-g2 as (select host, n, k, (bad + k * mean) / (n + k) as rate from g1, gk),
-g3 as (select host, rate - 1.645 * sqrt(rate * (1 - rate) / (n + k + 1)) as low from g2),
+g2 as (select host, n + least(k, most) as total, (bad + least(k, most) * mean) / (n + least(k, most)) as rate from g1, gk),
+g3 as (select host, rate - 1.645 * sqrt(rate * (1 - rate) / (total + 1)) as low from g2),
 f as (
   select page_id, host, path, case
     when (host = 'www.example.com' or ends_with(host, '.www.example.com')) and starts_with(path, '/en/') then 'www.example.com/en/'

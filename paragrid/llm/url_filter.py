@@ -1,8 +1,8 @@
 """URL filter: fixed rules first, then empirical-Bayes host reputation. DataFrame functions only.
 
 Labelled page outcomes are counted per host and shrunk through beta-binomial priors: the global rate, itself shrunk by a
-Beta(1/2, 1/2) prior so that few labels can't make it 0 or 1, is the prior mean of each suffix, a suffix's posterior mean that
-of its registered domains, a domain's that of its hosts. Each level's prior strength is fitted by moments over that level's groups. A host is blocked when the
+Beta(1/2, 1/2) prior over as many outcomes as suffixes have labels, so that few labels can't make it 0 or 1, is the prior mean
+of each suffix, a suffix's posterior mean that of its registered domains, a domain's that of its hosts. Each level's prior strength is fitted by moments over that level's groups, and is at most what the level above is worth in labels. A host is blocked when the
 lower bound of its posterior rate of bad pages passes a threshold. The bound is the posterior mean less z posterior standard
 deviations, a normal approximation: SQL has no quantile of the beta distribution. URLs are tallied by host once; that table is
 written, and domains and suffixes are summed from it.
@@ -84,20 +84,22 @@ def domain_of(host: Column, suffixes=SUFFIXES) -> Column:
 
 
 def _with_rate(groups: DataFrame, prior: DataFrame | None, on: str | None, z: float = 0.0) -> DataFrame:
-    """Adds ``rate`` (posterior mean) and ``low`` (its lower bound) to groups of (n, bad), given the level above."""
+    """Adds ``rate`` (posterior mean), ``low`` (its lower bound) and ``total`` (labels that it is worth) to groups of (n, bad), given the level above.
+
+    A prior is worth no more labels than the level above has: at the top, one for each labelled group and one more."""
     if prior is None:
-        mean = (F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)
-        top = groups.agg(mean.alias("mean"))
+        pooled, labelled = F.coalesce(F.try_divide(F.sum("bad"), F.sum("n")), F.lit(0.0)), F.count(F.when(F.col("n") > 0, 1))
+        top = groups.agg(((labelled * pooled + 0.5) / (labelled + 1)).alias("mean"), (labelled + 1).cast("double").alias("most"))
         groups = groups.crossJoin(F.broadcast(top))  # one row
     else:
-        groups = groups.join(prior.select(on, F.col("rate").alias("mean")), on)
+        groups = groups.join(prior.select(on, F.col("rate").alias("mean"), F.col("total").alias("most")), on)
     groups = materialize(groups, "groups")
     total, spread = F.sum("n"), F.sum(F.when(F.col("n") > 0, F.try_divide(F.pow(F.col("bad") - F.col("n") * F.col("mean"), 2), F.col("n"))).otherwise(0.0))
     inside, at = F.sum(F.when(F.col("n") > 0, F.col("mean") * (1 - F.col("mean"))).otherwise(0.0)), F.sum(F.col("n") * F.col("mean") * (1 - F.col("mean")))
     strength = groups.agg(F.coalesce(F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.try_divide(at, F.greatest(spread - inside, 1e-6 * total)) - 1)), F.lit(1.0)).alias("k"))
-    alpha, total = F.col("bad") + F.col("k") * F.col("mean"), F.col("n") + F.col("k")
-    rate = alpha / total
-    return groups.crossJoin(F.broadcast(strength)).withColumn("rate", rate).withColumn("low", F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (total + 1))).drop("mean", "k")
+    own = groups.crossJoin(F.broadcast(strength)).withColumn("k", F.least("k", "most"))
+    rated = own.withColumn("total", F.col("n") + F.col("k")).withColumn("rate", (F.col("bad") + F.col("k") * F.col("mean")) / F.col("total"))
+    return rated.withColumn("low", F.col("rate") - z * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("total") + 1))).drop("mean", "k", "most")
 
 
 def host_reputation(labelled: DataFrame, z: float = 1.645, suffixes=SUFFIXES) -> DataFrame:
