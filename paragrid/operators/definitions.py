@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from paragrid.functions.rules import BOLD_NO_TERM_STARTS, BOLD_NO_TERMS, HEADING_STYLES, NO_TERM_PARTS
 from paragrid.functions.text import trimmed
 from paragrid.operators.sequence import running_group
+from paragrid.sources.tables import written
 
 #: How far starts of one block may be from each other, how many isolated starts may go, and how far behind a heading definitions begin.
 GAP, MOST_TRIMS, AHEAD = 20, 5, 8
@@ -78,44 +79,45 @@ def sections(rows: DataFrame, text: str = "text", doc: str = "doc_id", order: st
     one). The block reaches from the first of them to the last row before the next heading or line in capitals, or to the document's end.
     by heading: a heading that names definitions with three or more predicates (term, then means or the like) in the eight rows behind it; up
     to the last predicate that follows within a gap."""
-    at = Window.partitionBy(doc).orderBy(order)
+    whole = Window.partitionBy(doc)
+    at = whole.orderBy("pos")
     words = F.coalesce(text, F.lit(""))
-    told = rows.select(doc, order, words.alias("t"), (F.col(style) if style else F.lit(None).cast("string")).alias("style"), is_start(words, F.col(runs) if runs else None).alias("start"))
-    blank, heading = trimmed(F.col("t")) == "", is_heading(F.col("style")) if style else F.lit(False)
-
-    starts = told.where("start").select(doc, order)
+    heading = is_heading(F.col(style)) if style else F.lit(False)
+    blank, start, hit, large = trimmed(words) == "", is_start(words, F.col(runs) if runs else None), words.rlike(PREDICATE), _capitals(words)
+    capitals = large & ~trimmed(words).rlike('^["“‘«]') & ~F.substring(trimmed(words), 1, 30).contains(":")
+    title = (F.length(trimmed(words)) <= 80) & words.rlike(HEADING)
+    flags = rows.select(doc, F.col(order).alias("o"), start.alias("start"), hit.alias("hit"), title.alias("title"), (~blank & ~start & (heading | capitals)).alias("stop"), (heading | large).alias("large"), blank.alias("blank"))
+    told = written(flags.withColumn("pos", F.row_number().over(whole.orderBy("o"))), "flags")  # texts are read once, and gaps are counted in rows
+
+    starts = told.where("start").select(doc, "pos")
     for k in (1, 2, 3):
-        starts = starts.withColumn(f"s{k}", F.lead(order, k).over(at))
-    here, rank = F.col(order), F.row_number().over(at)
+        starts = starts.withColumn(f"s{k}", F.lead("pos", k).over(at))
+    here, rank = F.col("pos"), F.row_number().over(at)
     tail = F.when(F.col("s3").isNotNull(), F.col("s3") - F.col("s1") <= 3 * GAP).otherwise(F.col("s2").isNotNull() & (F.col("s2") - F.col("s1") <= GAP))
     isolated = F.coalesce((F.col("s1") - here > GAP) & tail, F.lit(False))
     ranked = starts.withColumn("rank", rank).withColumn("stays", ~isolated | (rank > MOST_TRIMS))
-    first = F.min(F.when(F.col("stays"), F.col("rank"))).over(Window.partitionBy(doc))
+    first = F.min(F.when(F.col("stays"), F.col("rank"))).over(whole)
     kept = ranked.withColumn("from", first).where(F.col("rank") >= F.col("from"))
     tight = F.when(F.col("s2").isNotNull(), F.col("s2") - here <= 3 * GAP).otherwise(F.coalesce(F.col("s1") - here <= GAP, F.lit(False)))
-    broken = F.sum(F.when(here - F.lag(order).over(at) > GAP, 1).otherwise(0)).over(at)
+    broken = F.sum(F.when(here - F.lag("pos").over(at) > GAP, 1).otherwise(0)).over(at)
     kept = kept.withColumns({"tight": F.first(tight).over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "broken": broken}).where("tight and broken = 0")
-    clusters = kept.groupBy(doc).agg(F.min(order).alias("first"), F.max(order).alias("final"))
-
-    capitals = _capitals(F.col("t")) & ~trimmed(F.col("t")).rlike('^["“‘«]') & ~F.substring(trimmed(F.col("t")), 1, 30).contains(":")
-    stop = ~blank & ~F.col("start") & (heading | capitals)
-    inside = told.join(clusters, doc).where(F.col(order) >= F.col("first"))
-    end = F.min(F.when(stop & (F.col(order) > F.col("final")), F.col(order)))
-    spans = inside.groupBy(doc).agg(F.min("first").alias("first"), end.alias("end"), F.max(order).alias("most"), F.min("final").alias("final"))
-    before = told.join(spans, doc).where(F.col(order).between(F.col("first"), F.col("most")) & (F.col("end").isNull() | (F.col(order) < F.col("end"))))
-    by_cluster = before.groupBy(doc).agg(F.min("first").alias("first"), F.max(order).alias("last"), F.sum(F.col("start").cast("int")).cast("long").alias("n"), F.lit("cluster").alias("by"))
+    clusters = kept.groupBy(doc).agg(F.min("pos").alias("first"), F.max("pos").alias("final"))
+    inside = told.join(clusters, doc).where(F.col("pos") >= F.col("first"))
+    ended = F.max(F.col("stop") & (F.col("pos") > F.col("final"))).over(at)
+    by_cluster = inside.withColumn("ended", ended).where("not ended").groupBy(doc).agg(F.min("o").alias("first"), F.max("o").alias("last"), F.sum(F.col("start").cast("int")).cast("long").alias("n"), F.lit("cluster").alias("by"))
+    by_cluster = written(by_cluster, "clusters")
 
-    rest = told.join(by_cluster.select(doc), doc, "left_anti").withColumn("hit", F.col("t").rlike(PREDICATE))
+    rest = told.join(by_cluster.select(doc), doc, "left_anti")
     ahead = at.rowsBetween(1, AHEAD)
     hits = F.coalesce(F.sum(F.col("hit").cast("int")).over(ahead), F.lit(0))
-    near = rest.withColumns({"hits": hits, "head": F.min(F.when(F.col("hit"), F.col(order))).over(ahead), "tail": F.max(F.when(F.col("hit"), F.col(order))).over(ahead)})
-    titles = near.where((F.length(trimmed(F.col("t"))) <= 80) & F.col("t").rlike(HEADING) & (F.col("hits") >= 3))
-    title = titles.groupBy(doc).agg(F.min(F.struct(order, "head", "tail")).alias("at")).select(doc, F.col("at.head").alias("first"), F.col("at.tail").alias("tail"))
-    behind = rest.join(title, doc).where(F.col(order) >= F.col("tail")).withColumn("far", F.col(order) - F.max(F.when(F.col("hit"), F.col(order))).over(at.rowsBetween(Window.unboundedPreceding, -1)) > GAP)
-    ends = ~(trimmed(F.col("t")) == "") & (F.coalesce(F.col("far"), F.lit(False)) | (~F.col("hit") & (heading | _capitals(F.col("t")))))
-    reached = behind.withColumn("ended", F.max(ends).over(at)).where(F.col("hit") & ~F.col("ended"))
-    last = reached.groupBy(doc).agg(F.max(order).alias("last"), F.min("first").alias("first"))
-    by_heading = rest.join(last, doc).where(F.col(order).between(F.col("first"), F.col("last"))).groupBy(doc).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.col("hit").cast("int")).cast("long").alias("n"), F.lit("heading").alias("by"))
+    near = rest.withColumns({"hits": hits, "head": F.min(F.when(F.col("hit"), F.col("pos"))).over(ahead), "tail": F.max(F.when(F.col("hit"), F.col("pos"))).over(ahead)})
+    heads = near.where(F.col("title") & (F.col("hits") >= 3)).groupBy(doc).agg(F.min(F.struct("pos", "head", "tail")).alias("at")).select(doc, F.col("at.head").alias("first"), F.col("at.tail").alias("tail"))
+    behind = rest.join(heads, doc).where(F.col("pos") >= F.col("first"))
+    followed = behind.where(F.col("pos") >= F.col("tail")).withColumn("far", F.col("pos") - F.max(F.when(F.col("hit"), F.col("pos"))).over(at.rowsBetween(Window.unboundedPreceding, -1)) > GAP)
+    ends = ~F.col("blank") & (F.coalesce(F.col("far"), F.lit(False)) | (~F.col("hit") & F.col("large")))
+    reached = followed.withColumn("ended", F.max(ends).over(at)).where(F.col("hit") & ~F.col("ended"))
+    last = reached.groupBy(doc).agg(F.max("pos").alias("last"))
+    by_heading = behind.join(last, doc).where(F.col("pos") <= F.col("last")).groupBy(doc).agg(F.min("o").alias("first"), F.max("o").alias("last"), F.sum(F.col("hit").cast("int")).cast("long").alias("n"), F.lit("heading").alias("by"))
     return by_cluster.unionByName(by_heading)
 
 
@@ -135,9 +137,9 @@ def reordered(rows: DataFrame, found: DataFrame, text: str = "text", doc: str =
     block = grouped(rows, found, text, doc, order, runs)
     whole = Window.partitionBy(doc)
     real = F.min(is_real_term(F.col("term"))).over(whole)
-    placed = block.withColumns({"head": F.min(order).over(Window.partitionBy(doc, "group")), "real": real, "place": F.row_number().over(whole.orderBy(order))}).where("real")
+    placed = block.select(doc, order, "group", "term").withColumns({"head": F.min(order).over(Window.partitionBy(doc, "group")), "real": real, "place": F.row_number().over(whole.orderBy(order))}).where("real")
     to = F.row_number().over(whole.orderBy(F.lower("term"), "head", order))
-    moved = placed.withColumn("to", to)
+    moved = written(placed.withColumn("to", to).select(doc, order, "place", "to"), "moved")
     places = moved.select(F.col(doc), F.col("place").alias("to"), F.col(order).alias("new_idx"))
     return rows.select(doc, order).join(moved.select(doc, order, "to").join(places, [doc, "to"]).drop("to"), [doc, order], "left").select(doc, order, F.coalesce("new_idx", order).alias("new_idx"))
 

@@ -11,6 +11,8 @@ from paragrid.operators.state import CAP, not_yet
 
 #: Order of verdicts: a gate that read nothing isn't clean.
 VERDICTS = ["PASS", "WARN", "BLOCK", "VOID"]
+#: Bytes of text that ``carried`` sends to all tasks.
+MOST_BYTES = 8 << 20
 
 
 def gate(examined: DataFrame, found: DataFrame) -> DataFrame:
@@ -59,9 +61,9 @@ def consistent(claims: DataFrame, label: str = "label", value: str = "value") ->
 
 
 def carried(items: DataFrame, texts: DataFrame, item: str = "item", name: str = "name") -> DataFrame:
-    """item, places: in which texts each item stands, white space and case aside; nowhere is an empty list. texts: few and small, their number is checked."""
-    if texts.limit(1001).count() > 1000:
-        raise ValueError("more than 1000 texts: split the table")
+    """item, places: in which texts each item stands, white space and case aside; nowhere is an empty list. texts go to all tasks; their bytes are checked."""
+    if (texts.agg(F.sum(F.octet_length("text")).cast("long")).first()[0] or 0) > MOST_BYTES:
+        raise ValueError(f"more than {MOST_BYTES} bytes of texts: split the table")
     norm = lambda c: F.lower(F.regexp_replace(c, r"\s+", ""))
     hits = items.join(F.broadcast(texts), F.contains(norm(F.col("text")), norm(F.col(item))), "left")
     return hits.groupBy(item).agg(F.array_sort(F.collect_set(name)).alias("places"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paragrid.functions.text import normalized, tokens
+from paragrid.sources.tables import written
 
 
 def nearest_exact(left: DataFrame, right: DataFrame, text: str = "text", doc: str = "doc_id", order: str = "idx") -> DataFrame:
@@ -82,11 +83,21 @@ def nearest_by_prefix(left: DataFrame, right: DataFrame, taken: DataFrame, text:
     return sides[0].cogroup(sides[1]).applyInPandas(claim, f"doc_id {left.schema[doc].dataType.simpleString()}, idx long, match_idx long, match_kind string")
 
 
-def overlap_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str = "text") -> DataFrame:
-    """left_id, right_id, shared, wanted: numbers of tokens in common and of the left side's."""
-    a = left.select(left_id, tokens(F.col(text)).alias("t")).select(left_id, F.size("t").alias("wanted"), F.explode("t").alias("t"))
-    b = right.select(right_id, F.explode(tokens(F.col(text))).alias("t"))
-    return a.join(b, "t").groupBy(left_id, right_id).agg(F.count("*").alias("shared"), F.first("wanted").alias("wanted"))
+def overlap_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str = "text", share: float = 0.0) -> DataFrame:
+    """left_id, right_id, shared, wanted: numbers of tokens in common and of the left side's, where these hold the share of them.
+
+    A text that shares so many holds one of the left side's rarest tokens at least, one more than may be missing; only these are joined, and
+    what is shared in all is counted on the pairs that they give. Without a share any common token makes a pair."""
+    a, b = left.select(left_id, tokens(F.col(text)).alias("w")), right.select(right_id, tokens(F.col(text)).alias("there"))
+    often = b.select(F.explode("there").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    asked = a.select(left_id, F.size("w").alias("wanted"), F.explode("w").alias("t")).join(often, "t", "left")
+    rank = F.row_number().over(Window.partitionBy(left_id).orderBy(F.coalesce("n", F.lit(0)), "t"))
+    least = F.greatest(F.ceil(F.col("wanted") * share), F.lit(1))
+    rare = asked.withColumn("rank", rank).where(F.col("n").isNotNull() & (F.col("rank") <= F.col("wanted") - least + 1)).select(left_id, "t")
+    pairs = rare.join(b.select(right_id, F.explode("there").alias("t")), "t").select(left_id, right_id).distinct()
+    both = pairs.join(a, left_id).join(b, right_id)
+    counted = both.select(left_id, right_id, F.size(F.array_intersect("w", "there")).cast("long").alias("shared"), F.size("w").alias("wanted"))
+    return counted.where((F.col("shared") >= share * F.col("wanted")) & (F.col("shared") >= 1))
 
 
 def greedy_overlap(left: DataFrame, right: DataFrame, share: float = 0.5, text: str = "text", doc: str = "doc_id", order: str = "idx") -> DataFrame:
@@ -108,7 +119,7 @@ def greedy_overlap(left: DataFrame, right: DataFrame, share: float = 0.5, text:
                     break
         return pd.DataFrame(out, columns=["doc_id", "idx", "match_idx", "shared"])
 
-    claimed = counted.groupBy("doc_id").applyInPandas(claim, f"doc_id {left.schema[doc].dataType.simpleString()}, idx long, match_idx long, shared long")
+    claimed = written(counted.groupBy("doc_id").applyInPandas(claim, f"doc_id {left.schema[doc].dataType.simpleString()}, idx long, match_idx long, shared long"), "claims")
     place = lambda by: F.row_number().over(Window.partitionBy("doc_id").orderBy(by)).alias("place")
     placed = a.where(F.size("t") > 0).select("doc_id", F.col("idx").cast("long").alias("idx"), place("idx"))
     at = right.where(F.col(text).rlike(r"(?U)\S")).select(F.col(doc).alias("doc_id"), F.col(order).cast("long").alias("match_idx")).select("doc_id", "match_idx", place("match_idx"))

@@ -118,8 +118,8 @@ b as (select doc_id, unnest({_TOKENS.format('text')}) as t from documents)
 select item_id, doc_id, count(*) as shared, any_value(wanted) as wanted from a join b using (t) group by 1, 2 having count(*) >= 0.8 * any_value(wanted)""")
 def token_overlap(spark, sf_dir):
     """Reference texts and documents that hold four fifths of their tokens."""
-    pairs = matching.overlap_candidates(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text"), "item_id", "doc_id")
-    return pairs.where(F.col("shared") >= 0.8 * F.col("wanted")).select("item_id", "doc_id", "shared", F.col("wanted").cast("long").alias("wanted"))
+    pairs = matching.overlap_candidates(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text"), "item_id", "doc_id", share=0.8)
+    return pairs.select("item_id", "doc_id", "shared", F.col("wanted").cast("long").alias("wanted"))
 
 
 @register("whitespace_normal_form", r"select doc_id, regexp_replace(regexp_replace(replace(text, chr(160), ' '), '\s+', ' ', 'g'), '^ | $', '', 'g') as normal from documents")
