@@ -510,6 +510,29 @@ def reordered_definitions(spark, sf_dir):
     return definitions.reordered(rows, definitions.sections(rows))
 
 
+def _block_rows(spark, sf_dir):
+    """Lines as definitions: a preamble, a heading, and terms that stand in falling order; each holds what the line's text hashes to."""
+    term = F.concat(F.lit("“Term "), F.translate((9999 - F.col("idx")).cast("string"), *_DIGITS), F.lit("” means the thing "), F.md5("text"))
+    said = F.when(F.col("idx") == 0, F.concat(F.lit("a preamble "), F.md5("text"))).when(F.col("idx") == 1, "Definitions").otherwise(term)
+    return _lines(spark, sf_dir).withColumn("text", said)
+
+
+_DIGITS = ("0123456789", "abcdefghij")
+
+
+@register("defined_blocks", f"with {LINES} select doc_id, 2 as first, (count(*) - 1)::int as last, (count(*) - 2)::bigint as n, 'cluster' as by from lines group by doc_id having count(*) >= 4")
+def defined_blocks(spark, sf_dir):
+    """The block of definitions of each document whose lines are made ones."""
+    return definitions.sections(_block_rows(spark, sf_dir))
+
+
+@register("reordered_blocks", f"with {LINES}, c as (select *, count(*) over (partition by doc_id) as n from lines) select doc_id, idx::int as idx, case when n >= 4 and idx >= 2 then (n + 1 - idx)::int else idx::int end as new_idx from c")
+def reordered_blocks(spark, sf_dir):
+    """Terms in falling order stand in rising order then: the block is turned round."""
+    rows = _block_rows(spark, sf_dir)
+    return definitions.reordered(rows, definitions.sections(rows))
+
+
 @register("ordered_replacement", r"select doc_id, replace(replace(replace(regexp_replace(text, '[ ]+([,.;:])', '\1', 'g'), 'the the', 'the'), '::', ':'), ';;', ';') as fixed from documents")
 def ordered_replacement(spark, sf_dir):
     steps = [("space_before", lambda t: F.regexp_replace(t, r"[ ]+([,.;:])", "$1")), ("the", lambda t: F.replace(t, F.lit("the the"), F.lit("the"))), ("colons", lambda t: F.replace(t, F.lit("::"), F.lit(":"))), ("semicolons", lambda t: F.replace(t, F.lit(";;"), F.lit(";")))]
@@ -539,6 +562,24 @@ def planted_passes(spark, sf_dir):
     return normalize.apply_passes(rows).select("doc_id", "idx", "text", F.array_join("changed", ",").alias("changed"))
 
 
+#: Texts with something for each check, whether they follow the line's hash, and the findings.
+_FAULTY = [
+    ("ABCmeans x ", [("definition_boundary", 1)]), ("a,, b;; c:: d ", [("double_punctuation", 3)]), ("the Business Register ", [("terminology", 1)]), ("our Financing here ", [("standalone_financing", 1)]), ("word word again ", [("doubled_word", 1)]), ("“Term means x ", [("quotes", 2)]),
+    ("Deed of Creation of Mortgage ", [("terminology", 1), ("title", 1)]), ("rights existing and future ", [("word_order", 1)]), ("we authorize it ", [("spelling", 1)]), ("see Article 5 below ", [("article_reference", 1)]), ("the clause that precedes ", [("that_precedes", 1)]), (" and then some more words of the", [("truncation", 1)]),
+]
+_FAULT_ROWS = ", ".join(f"({k}, '{name}', {n})" for k, (_, found) in enumerate(_FAULTY) for name, n in found)
+_BLOCKING = "('terminology', 'title')"
+
+
+@register("planted_quality", f"with {LINES} select doc_id, idx::int as idx, name as \"check\", case when name in {_BLOCKING} then 'BLOCK' else 'WARN' end as severity, n::int as n from lines join (values {_FAULT_ROWS}) p(k, name, n) on idx % {len(_FAULTY)} = k")
+def planted_quality(spark, sf_dir):
+    """Every check over lines that each hold something for one of them."""
+    said = F.element_at(F.array(*[F.lit(t) for t, _ in _FAULTY]), (F.col("idx") % len(_FAULTY) + 1).cast("int"))
+    behind = F.col("idx") % len(_FAULTY) == len(_FAULTY) - 1
+    rows = _lines(spark, sf_dir).withColumn("text", F.when(behind, F.concat(F.md5("text"), said)).otherwise(F.concat(said, F.md5("text"))))
+    return quality.check_paragraphs(rows)
+
+
 #: Pieces of a paragraph that passes across pieces change, and what is read then.
 _JOINTS = [(["“Term", "means x "], "“Term” means x "), (["see Article 5", " of the Civil Code "], "see Article 5 of the Civil Code "), (["by Article 6 ", "of this deed "], "by Clause 6 of this deed "), (["of the Seller, ", "Seller pays "], "of the Seller,  pays "), (["one,", "two "], "one, two ")]
 _JOINT_ROWS = ", ".join(f"({k}, '{made}')" for k, (_, made) in enumerate(_JOINTS))
