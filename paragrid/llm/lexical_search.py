@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from paragrid.llm.common import discard, materialize, size_bytes, text_bytes
 
-SHARD_DOCS, SHARD_BYTES, QUERY_BYTES = 65_536, 16 << 20, 1 << 20
+SHARD_DOCS, SHARD_BYTES, QUERY_BYTES = 65_536, 8 << 20, 1 << 20
 #: What stands between terms.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _INDEX = "n_docs int, ids binary, no_id binary, terms binary, starts binary, docs binary, impacts binary"
