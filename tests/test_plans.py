@@ -8,8 +8,8 @@ from paragrid.plans import queries as _registered  # noqa: F401
 from paragrid.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
-#: A choice that depends on earlier choices is made in Python, within a document.
-PYTHON = {"nearest_match", "greedy_match"}
+#: Nearest places, the automaton of source words, and parts of markup are looked at in Python, row by row.
+PYTHON = {"nearest_match", "queue_match", "source_remnants", "written_back", "post_processed_parts", "side_parts_back"}
 
 
 def plan(spark, name):
