@@ -419,7 +419,7 @@ def test_sql(spark):
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for name in ("documents", "pages", "labels"):
+    for name in ("documents", "pages", "labels", "embeddings", "benchmark"):
         con.execute(f"create view {name} as select * from '{sf}/{name}.parquet'")
     for name, sql in ORACLES.items():
         found = con.execute(sql)
