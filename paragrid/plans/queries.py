@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from paragrid.functions import rules, text
 from paragrid.operators import assignment, audit, definitions, findings, landing, language, matching, normalize, postprocess, quality, remnant_check, revisions, sequence, side_parts, state, writeback
 from paragrid.plans.catalog import register, table
-from paragrid.sources import packages
+from paragrid.sources import packages, tables
 from paragrid.sources.text import paragraphs, sentence_rows
 
 _DOUBLED = r"regexp_replace({}, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g')"
@@ -594,7 +594,7 @@ def post_processed_parts(spark, sf_dir):
     top = f'<w:document xmlns:w="{packages.W[1:-1]}"><w:body>'
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", body.alias("body")))), lambda r: r["body"]), "")
     parts = _lines(spark, sf_dir).groupBy(F.col("doc_id").cast("string").alias("path")).agg(F.concat(F.lit(top), joined, F.lit("</w:body></w:document>")).cast("binary").alias("content")).select("path", F.lit(writeback.MAIN).alias("part"), "content", F.lit(None).cast("string").alias("error"))
-    changed, _ = postprocess.post_process(parts)
+    changed = tables.written(postprocess.post_process(parts)[0], "changed")
     found = packages.paragraphs(changed.unionByName(parts.join(changed, ["path", "part"], "left_anti")))
     return found.select(F.col("path").cast("long").alias("doc_id"), F.col("idx").cast("long").alias("place"), "text")
 
@@ -763,7 +763,7 @@ def written_back(spark, sf_dir):
     place = (F.row_number().over(Window.partitionBy("doc_id").orderBy("idx")) - 1).cast("long")
     none = lambda kind: F.lit(None).cast(kind)
     records = rows.select(F.col("doc_id").cast("string").alias("path"), F.lit(writeback.MAIN).alias("part"), place.alias("idx"), "text", "en", none("string").alias("en_deleted"), "en_segments", none("array<struct<start:int,end:int,bold:boolean,italic:boolean>>").alias("en_runs"), none("array<struct<text:string,bold:boolean>>").alias("runs"))
-    changed, _ = writeback.write_back(parts, records)
+    changed = tables.written(writeback.write_back(parts, records)[0], "changed")
     same = parts.join(changed, ["path", "part"], "left_anti")
     found = packages.paragraphs(changed.unionByName(same))
     rejected = F.when(F.size("tc_segments") > 0, F.array_join(F.transform(F.filter("tc_segments", lambda s: s["type"].isin("regular", "del")), lambda s: s["text"]), ""))
