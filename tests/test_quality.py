@@ -1,7 +1,10 @@
 """Quality checks one by one: what each reports, and what it lets pass."""
 
+import re
+
 from pyspark.sql import functions as F
 
+from paragrid.functions.text import any_of, folded, literal_in
 from paragrid.operators import normalize, quality
 
 
@@ -81,3 +84,22 @@ def test_formatting(spark):
     ]
     got = [(r["idx"], r["fault"]) for r in quality.formatting(spark.createDataFrame(rows, kind)).orderBy("idx").collect()]
     assert got == [(0, "definition_not_bold"), (2, "definition_line_break"), (3, "italic_run")]
+
+
+def test_only_the_checks_that_are_asked_for_are_computed(spark):
+    rows = spark.createDataFrame([(1, 0, "word word again, see Article 5;; of assets existing and future and the")], "doc_id int, idx int, text string")
+    found = quality.check_paragraphs(rows, only=["truncation"])
+    assert [r["check"] for r in found.collect()] == ["truncation"]
+    assert "doubled_word" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["check"]: r["n"] for r in quality.check_paragraphs(rows).collect()} == {"truncation": 1, "doubled_word": 1, "double_punctuation": 1, "article_reference": 1, "word_order": 1}
+
+
+def test_patterns_that_find_the_same_sooner(spark):
+    words = ["favor", "favored", "a.b", "honor"]
+    texts = ["favored", "favors", "x favor y", "a.b", "axb", "hono honor", "", "FAVOR"]
+    for t in texts:
+        assert bool(re.search(rf"\b(?:{any_of(words)})\b", t)) == bool(re.search(r"\b(?:favor|favored|a\.b|honor)\b", t))
+    cases = [(r"(?iU)\bthe present (?:deed|act)\b", "the present "), (r"\bgoods?\s+left\b", "good"), (r"(?iU)\b(?:a|b) c|dd\b", None), (r"(?m)^\s*(?:X|Y)\s*:\s*[A-Z]", None), (r"\p{Alpha}+\bkept", "kept"), (r"\Qabc\E", None)]
+    assert [literal_in(p) for p, _ in cases] == [x for _, x in cases]
+    rows = spark.createDataFrame([(t,) for t in ["In THE PRESENT act", "ın the name", "a Kin", "the ſame", None]], "text string")
+    assert [r[0] for r in rows.select(folded(F.col("text"))).collect()] == ["in the present act", "in the name", "a kin", "the same", None]
