@@ -87,15 +87,18 @@ def overlap_candidates(left: DataFrame, right: DataFrame, left_id: str, right_id
     """left_id, right_id, shared, wanted: numbers of tokens in common and of the left side's, where these hold the share of them.
 
     A text that shares so many holds one of the left side's rarest tokens at least, one more than may be missing; only these are joined, and
-    what is shared in all is counted on the pairs that they give. Without a share any common token makes a pair."""
-    a, b = left.select(left_id, tokens(F.col(text)).alias("w")), right.select(right_id, tokens(F.col(text)).alias("there"))
-    often = b.select(F.explode("there").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    what is shared in all is counted on the pairs that they give. The right side's tokens are found once; those that the left side has are kept. Without a share any common token makes a pair."""
+    a = left.select(left_id, tokens(F.col(text)).alias("w"))
+    each = right.select(right_id, F.explode_outer(tokens(F.col(text))).alias("t"))  # the inner form would find the tokens twice
+    b = written(each.join(a.select(F.explode_outer("w").alias("t")).distinct(), "t", "left_semi"), "shared")
+    often = b.groupBy("t").agg(F.count("*").alias("n"))
     asked = a.select(left_id, F.size("w").alias("wanted"), F.explode("w").alias("t")).join(often, "t", "left")
     rank = F.row_number().over(Window.partitionBy(left_id).orderBy(F.coalesce("n", F.lit(0)), "t"))
     least = F.greatest(F.ceil(F.col("wanted") * share), F.lit(1))
     rare = asked.withColumn("rank", rank).where(F.col("n").isNotNull() & (F.col("rank") <= F.col("wanted") - least + 1)).select(left_id, "t")
-    pairs = rare.join(b.select(right_id, F.explode("there").alias("t")), "t").select(left_id, right_id).distinct()
-    both = pairs.join(a, left_id).join(b, right_id)
+    pairs = written(rare.join(b, "t").select(left_id, right_id).distinct(), "pairs")
+    there = b.join(pairs.select(right_id).distinct(), right_id, "left_semi").groupBy(right_id).agg(F.collect_list("t").alias("there"))
+    both = pairs.join(a, left_id).join(there, right_id)
     counted = both.select(left_id, right_id, F.size(F.array_intersect("w", "there")).cast("long").alias("shared"), F.size("w").alias("wanted"))
     return counted.where((F.col("shared") >= share * F.col("wanted")) & (F.col("shared") >= 1))
 
