@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paragrid.functions.text import folded, literal_in
+
 #: Order of severities in rollups.
 SEVERITIES = ["PASS", "WARN", "BLOCK"]
 
@@ -24,16 +26,23 @@ def findings(rows: DataFrame, checks: list[tuple[str, str, Column]], keys: list[
     return rows.select(*keys, F.inline_outer(F.filter(each, lambda c: c["n"] > 0))).where("check is not null")
 
 
-def rule_join(entries: DataFrame, rules: DataFrame, text: str = "text", language: Column | None = None, most_rules: int = 10_000, most_bytes: int = 8 << 20) -> DataFrame:
+def rule_join(entries: DataFrame, rules: DataFrame, text: str = "text", language: Column | None = None, most_rules: int = 10_000, most_bytes: int = 8 << 20, most_fixed: int = 400) -> DataFrame:
     """entries with the rules that match them. A rule holds for its language, for all (``*``), or when the entry's is unknown (``*``).
 
-    Rule tables are small by nature and go to every task; the number of rules and their bytes are checked."""
+    Rule tables are small by nature and go to every task; the number of rules and their bytes are checked. Up to ``most_fixed`` rules are
+    fixed patterns, compiled once; patterns read from rows are compiled for every pair of an entry and a rule."""
     n, size = rules.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()
     if n > most_rules or size > most_bytes:
         raise ValueError(f"more than {most_rules} rules or {most_bytes} bytes of patterns: split the table")
     entry_language = F.lit("*") if language is None else language
-    on = F.regexp_like(text, F.col("pattern")) & ((F.col("language") == "*") | (F.col("language") == entry_language) | (entry_language == "*"))
-    return entries.join(F.broadcast(rules), on)
+    holds = (F.col("language") == "*") | (F.col("language") == entry_language) | (entry_language == "*")
+    if n > most_fixed:
+        return entries.join(F.broadcast(rules), F.regexp_like(text, F.col("pattern")) & holds)
+    patterns = [r[0] for r in rules.where("pattern is not null").select("pattern").distinct().collect()]
+    held = lambda p, t: F.contains(t, F.lit(literal_in(p))) if literal_in(p) else F.lit(True)
+    hits = lambda t: F.array(*[F.when(held(p, t) & F.regexp_like(text, F.lit(p)), F.lit(p)) for p in patterns]).cast("array<string>")
+    found = entries.withColumn("__hit", F.explode_outer(F.array_compact(F.transform(F.array(folded(F.col(text))), hits)[0]))).where("__hit is not null")
+    return found.join(F.broadcast(rules), (F.col("__hit") == F.col("pattern")) & holds).drop("__hit")
 
 
 def counts_by_check(found: DataFrame, checks: list[str]) -> DataFrame:
