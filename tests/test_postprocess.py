@@ -82,3 +82,10 @@ def test_parts(spark):
     assert out.count("<w:i/>") == 6 and "<w:rPr></w:rPr><w:t>body of four words" in out
     assert "see Article 5" in out and "of the Civil Code and Clause 6 </w:t>" in out
     assert {(r["pass"], r["n"]) for r in counts.collect()} == {("spacing", 3), ("internal_articles", 1), ("doubled_words", 1), ("quotes", 1), ("line_break", 1), ("italic", 1), ("page_break", 2)}
+
+
+def test_edits_follow_from_one_run_of_the_passes(spark):
+    parts = spark.createDataFrame([("a", "word/document.xml", b"<x/>", None)], "path string, part string, content binary, error string")
+    passed = postprocess.with_passes(postprocess.scan(parts))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(postprocess.edits(passed)).count("array_append(") <= plan(passed.select("after", "full", "changed")).count("array_append(")
