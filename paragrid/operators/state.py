@@ -13,6 +13,13 @@ def not_yet(current: DataFrame, log: DataFrame, keys: tuple[str, ...] = ("doc_id
     return current.join(log.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def places_left(docs: DataFrame, places: Column, log: DataFrame, doc: str = "doc_id", idx: str = "idx") -> DataFrame:
+    """doc, idx: the places (an array) of each document that the log doesn't hold. Only what the log holds of a document travels, not its places."""
+    seen = log.groupBy(doc).agg(F.collect_set(idx).alias("__seen"))
+    left = F.array_except(places, F.coalesce("__seen", F.array().cast(log.select(F.array(idx)).schema[0].dataType)))
+    return docs.join(seen, doc, "left").select(doc, F.explode_outer(left).alias(idx)).where(F.col(idx).isNotNull())
+
+
 def batches_over_cap(log: DataFrame, batch: str = "batch", doc: str = "doc_id", cap: int = CAP, override: Column | None = None) -> DataFrame:
     """doc, batch, n of batches with more new rows than the cap, overridden ones excepted."""
     made = log.withColumn("__o", F.lit(False) if override is None else override)

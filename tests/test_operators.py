@@ -274,3 +274,30 @@ def test_stream(spark, tmp_path):
     coverage.append_new(spark.read.parquet(source), 9, log)
     got = spark.read.parquet(log)
     assert got.count() == 43 and {r["doc_id"] for r in got.where("over_cap").collect()} == {1} and got.where("batch = 9").count() == 0
+
+
+def test_places_left_are_those_not_yet_covered(spark):
+    docs = spark.createDataFrame([(1,), (2,), (None,)], "doc_id int")
+    log = spark.createDataFrame([(1, 0), (1, 0), (1, 7), (2, 1), (3, 2)], "doc_id int, idx long")
+    places = F.array(*[F.lit(k).cast("long") for k in range(3)])
+    found = state.places_left(docs, places, log)
+    assert sorted(found.collect(), key=str) == sorted(state.not_yet(docs.select("doc_id", F.explode(places).alias("idx")), log).collect(), key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # what is exploded doesn't travel
+
+
+def test_rules_are_fixed_patterns_and_find_what_rows_find(spark):
+    rules = spark.createDataFrame([(0, r"(?iU)\bwind park\b", "*"), (1, r"(?iU)\bnet\b", "dutch"), (2, r"(?iU)\bwind park\b", "german"), (3, None, "*"), (4, r"^\s*[A-Z]:", "*")], "seq int, pattern string, language string")
+    rows = spark.createDataFrame([(1, "the Wınd Park"), (2, "a net, a wind  park"), (3, "X: Net"), (4, None)], "k int, text string")
+    for language in (None, F.lit("dutch")):
+        fixed, read = (findings.rule_join(rows, rules, language=language, most_fixed=n) for n in (400, 0))
+        assert sorted(fixed.collect()) == sorted(read.collect()) and fixed.columns == read.columns
+    assert "NestedLoop" not in findings.rule_join(rows, rules)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_overlap_finds_the_tokens_of_the_right_side_once(spark):
+    left = spark.createDataFrame([(1, "alpha beta gamma"), (2, "Delta's-'"), (3, None)], "a int, text string")
+    right = spark.createDataFrame([(7, "Alpha.Beta and gamma"), (8, "delta's x"), (9, None), (10, "alpha")], "b int, text string")
+    found = matching.overlap_candidates(left, right, "a", "b", share=0.5)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 7, 3, 3), (2, 8, 1, 1)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2  # of the left side alone
