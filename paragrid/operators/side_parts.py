@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paragrid.sources.markup import EDIT, Node, own, paragraphs_of, splice, tree
+from paragrid.sources.tables import map_rows, written
 
 SIDE, COMMENTS = r"word/(?:header|footer)[^/]*\.xml", "word/comments.xml"
 _MARK = re.compile(r"<<[A-Z][A-Z0-9_]*>>")
@@ -95,33 +96,25 @@ def text_edits(xml: bytes, p: Node, en: str) -> Edits:
 def _over_parts(joined: DataFrame, of_part: Callable[[bytes, object], Iterator[tuple[int, tuple]]], extra: str) -> DataFrame:
     """Edits of parts (path, part, content, ``extra``) by a function of the content and the extra column, which gives (unit, edit)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, part, content, more in zip(batch["path"], batch["part"], batch["content"], batch[extra]):
-                try:
-                    rows += [(path, part, *e, unit) for unit, e in of_part(content, more)]
-                except ExpatError:
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "part", "start", "end", "content", "unit"])
+    def edits_of(path: str, part: str, content: bytes, more) -> list[tuple]:
+        try:
+            return [(path, part, *e, unit) for unit, e in of_part(content, more)]
+        except ExpatError:
+            return []
 
-    return joined.select("path", "part", "content", extra).mapInPandas(run, NUMBERED)
+    return map_rows(joined.select("path", "part", "content", extra), edits_of, NUMBERED)
 
 
 def side_rows(parts: DataFrame) -> DataFrame:
     """path, idx, source, p_idx, text, fields: paragraphs of headers and footers that aren't blank, numbered over each package."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, part, content in zip(batch["path"], batch["part"], batch["content"]):
-                try:
-                    rows += [(path, part, k, *told(p)) for k, p in enumerate(paragraphs_of(content))]
-                except ExpatError:
-                    continue
-            yield pd.DataFrame([r for r in rows if r[3].strip()], columns=["path", "source", "p_idx", "text", "fields"])
+    def of_part(path: str, part: str, content: bytes) -> list[tuple]:
+        try:
+            return [r for k, p in enumerate(paragraphs_of(content)) if (r := (path, part, k, *told(p)))[3].strip()]
+        except ExpatError:
+            return []
 
-    found = parts.where(F.col("part").rlike(f"^{SIDE}$") & F.col("content").isNotNull()).select("path", "part", "content").mapInPandas(run, f"path string, source string, p_idx int, text string, fields {FIELDS}")
+    found = map_rows(parts.where(F.col("part").rlike(f"^{SIDE}$") & F.col("content").isNotNull()).select("path", "part", "content"), of_part, f"path string, source string, p_idx int, text string, fields {FIELDS}")
     return found.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("source", "p_idx")) - 1).alias("idx"), "source", "p_idx", "text", "fields")
 
 
@@ -140,7 +133,7 @@ def apply_side_rows(parts: DataFrame, entries: DataFrame) -> DataFrame:
             if w["p_idx"] < len(found):
                 yield from ((w["p_idx"], e) for e in (zone_edits if w["with_fields"] else text_edits)(content, found[w["p_idx"]], w["en"]))
 
-    edits = _over_parts(joined, of_part, "wanted")
+    edits = written(_over_parts(joined, of_part, "wanted"), "edits")  # read twice
     changed = splice(parts, edits.drop("unit")).join(edits.groupBy("path", "part").agg(F.countDistinct("unit").alias("n")), ["path", "part"])
     made = changed.select("path", "part", F.col("content").alias("made"), "error", "n")
     return joined.select("path", "part", "content").join(made, ["path", "part"], "left").select("path", "part", F.coalesce("made", "content").alias("content"), "error", F.coalesce("n", F.lit(0)).alias("n"))

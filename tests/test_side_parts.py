@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from paragrid.operators import side_parts
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -71,3 +73,11 @@ def test_terms(spark):
     made = {r["part"]: bytes(r["content"]).decode() for r in side_parts.translate_terms(parts, [("Data", "Date"), ("Data lunga", "Long date"), ("Contratto", "Agreement")]).collect()}
     assert list(made) == ["word/header1.xml"]
     assert made["word/header1.xml"] == part(run("X").replace("<w:t>X", '<w:t xml:space="preserve">Agreement:'), run("Date e Long date"))
+
+
+def test_edits_are_made_once(spark):
+    parts = spark.createDataFrame([("a", "word/footer1.xml", b'<w:ftr xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:r><w:t>uno</w:t></w:r></w:p></w:ftr>', None)], "path string, part string, content binary, error string")
+    entries = spark.createDataFrame([("a", "word/footer1.xml", 0, "uno", "one")], "path string, source string, p_idx int, text string, en string").withColumn("fields", F.array().cast(side_parts.FIELDS))
+    made = side_parts.apply_side_rows(parts, entries)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # the splicing
+    assert [(r["n"], b">one<" in bytes(r["content"])) for r in made.collect()] == [(1, True)]
