@@ -51,7 +51,7 @@ def nearest_free(wanted: list[int], places: list[int]) -> list[int | None]:
 
 def _prepared(rows: DataFrame, text: str, doc: str, order: str, length: int) -> DataFrame:
     t = normalized(F.col(text))
-    return rows.select(F.col(doc).alias("doc_id"), F.col(order).cast("long").alias("idx"), F.xxhash64(t).alias("text"), F.length(t).alias("size"), F.substring(t, 1, length).alias("begin")).where("size > 0")
+    return rows.select(F.col(doc).alias("doc_id"), F.col(order).cast("long").alias("idx"), F.xxhash64(t).alias("text"), F.length(t).alias("size"), F.substring(t, 1, length).alias("begin"))
 
 
 def _next(members: DataFrame, listed: DataFrame, full: DataFrame) -> DataFrame:
@@ -79,8 +79,8 @@ def find_matches(left: DataFrame, right: DataFrame, text: str = "text", doc: str
 
     Rows with null or blank texts, and a null document or order, take no part; beginnings shorter than ``least`` characters find equal
     texts only. Rows of the same order in one document come in no defined turn. Empty tables give an empty result."""
-    a = written(_prepared(left, text, doc, order, length).where("doc_id is not null and idx is not null"), "wanted")
-    b = written(_prepared(right, text, doc, order, length).where("doc_id is not null and idx is not null"), "places")
+    a = written(_prepared(left, text, doc, order, length).where("doc_id is not null and idx is not null"), "wanted").where("size > 0")  # a filter before writing would normalize twice
+    b = written(_prepared(right, text, doc, order, length).where("doc_id is not null and idx is not null"), "places").where("size > 0")
     texts = b.groupBy("doc_id", "text").agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.first("begin").alias("begin"))
     asked = a.where(F.col("size") >= least).select("doc_id", "begin").distinct()
     sizes = sorted(r[0] for r in asked.select(F.length("begin")).distinct().collect())  # at most length - least + 1 numbers

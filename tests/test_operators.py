@@ -301,3 +301,11 @@ def test_overlap_finds_the_tokens_of_the_right_side_once(spark):
     found = matching.overlap_candidates(left, right, "a", "b", share=0.5)
     assert sorted(tuple(r) for r in found.collect()) == [(1, 7, 3, 3), (2, 8, 1, 1)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 2  # of the left side alone
+
+
+def test_blanks_of_all_kinds_are_made_one_and_go_at_the_ends(spark):
+    r = random.Random(3)
+    rows = [("".join(r.choice(" \t\n  \u0085 \rab") for _ in range(r.randint(0, 8))),) for _ in range(2000)] + [(None,)]
+    plain = F.regexp_replace(F.regexp_replace("t", r"(?U)\s+", " "), "^ | $", ""), F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    made = spark.createDataFrame(rows, "t string").select(*plain, text.normalized(F.col("t")), text.trimmed(F.col("t"))).collect()
+    assert all(x[0] == x[2] and x[1] == x[3] for x in made)
