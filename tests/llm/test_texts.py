@@ -301,6 +301,40 @@ def test_batches_do_not_count():
     assert np.allclose(together, alone, rtol=1e-6)
 
 
+def test_known_words_are_coded_by_their_bits():
+    """Known words that end alike and occur equally often are told apart by the short word before: no word is weighed by its count alone."""
+    pairs = [("al", "onea"), ("be", "twoa"), ("ga", "threea"), ("de", "foura")]
+    texts = [" ".join(w for k in range(20) for w in pairs[(k + j) % 4]) for j in range(100)]
+    model, counts = fitted(texts, 16)
+    assert scored(model, counts, "al onea be twoa ga threea") > scored(model, counts, "al threea be onea ga twoa") + 5
+
+
+def test_all_bits_of_a_text_are_predicted():
+    """A short text's probability is the product of those of its bits, each mixed from the counts of its three contexts; the bytes' code is a prefix code without gaps."""
+    assert sum(0.5 ** int(n) for n in lm_scoring._SIZE) == 1
+    codes = ["".join(map(str, lm_scoring._BIT[a : a + n])) for a, n in zip(lm_scoring._FROM, lm_scoring._SIZE)]
+    assert len(set(codes)) == 256 and all(not y.startswith(x) for x, y in zip(sorted(codes), sorted(codes)[1:]))
+    model, _ = fitted(["the red house", "the green house", "a red tree", "of the tree"] * 5)
+    reading = lm_scoring.Reading([lm_scoring.tokens_of("the red tree ünew".encode())])
+    got, made = model.running(reading, 1, np.zeros(1, np.int64)), model.made()
+    of, token, bit, place, slots = reading.bits(np.arange(5))
+    assert len(bit) == sum(len(codes[b]) for b in "the red tree ünew  ".encode())
+    want = np.zeros(5)
+    for j in range(len(bit)):
+        pairs = [[c if c < 64 else 64 * math.exp((c - 64) / 12) for c in divmod(int(made["packed"][k][slots[k][j]]), 256)] for k in range(3)]
+        seen = sum(pairs[1])
+        level = 0 if seen < 1 else 1 if seen < 2 else 2 if seen < 4 else 3 if seen < 16 else 4
+        gate = int(place[of[j]]) * 5 + level
+        mixed = min(max(sum(model.class_start[0][gate][k] * math.log((b + 0.1) / (a + 0.1)) for k, (a, b) in enumerate(pairs)), -12), 12)
+        at = (mixed + 12) * 32 / 24
+        low = min(int(at), 31)
+        line = model.class_start[1][level]
+        q = (1 / (1 + math.exp(-mixed)) + line[low] + (line[low + 1] - line[low]) * (at - low)) / 2
+        q = min(max(q, 1e-6), 1 - 1e-6)
+        want[token[of[j]]] += math.log(q if bit[j] else 1 - q)
+    assert np.allclose(got, want, atol=1e-3)
+
+
 def test_decontamination(spark):
     item = "What is the tallest mountain of the whole wide world as measured from the level of the sea? It is Mount Everest in Nepal."
     other = "Name the longest river that flows through the southern part of the old continent. The answer is the Nile."
