@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -335,6 +336,44 @@ def test_all_bits_of_a_text_are_predicted():
     assert np.allclose(got, want, atol=1e-3)
 
 
+def test_counts_travel_in_a_byte_each():
+    """A range of counts takes a byte for each and ten more for each large one, and their sums are exact."""
+    r = np.random.default_rng(5)
+    row = r.integers(0, 300, 2 * lm_scoring._RANGE) // 2
+    row[[0, 7, 40_000, len(row) - 1]] = 254, 255, 256, 1 << 40
+    sent = list(lm_scoring._ranges("class", row))
+    assert all(len(x.column("data")[0].as_py()) <= lm_scoring._RANGE + 30 for x in sent) and len(sent) == 2
+    for part, x in enumerate(sent):
+        total = lm_scoring._total(pa.Table.from_batches([x, x, x]))
+        assert np.array_equal(total, 3 * row[part * lm_scoring._RANGE :][: lm_scoring._RANGE])
+        again = np.zeros(lm_scoring._RANGE, np.int64)
+        lm_scoring._add_bytes(again, lm_scoring._bytes_of(total))
+        assert np.array_equal(again, total)
+
+
+def test_words_that_begin_alike_share_their_bits(monkeypatch):
+    """Counts are those of all bits of all tokens, though the bits of equal beginnings are predicted once in a batch and once in a turn of a text."""
+    words = ["house", "houses", "household", "hound", "ünder", "the", "a"]
+    texts = [[w.encode() for w in random.Random(k).choices(words, k=60)] + [b""] for k in range(5)]
+    predicted, step = [], lm_scoring.Mixer.step
+    monkeypatch.setattr(lm_scoring.Mixer, "step", lambda self, x, *a, **b: (predicted.append(x.shape[1]), step(self, x, *a, **b))[1])
+    learner, reading = lm_scoring.ClassLearner(), lm_scoring.Reading(texts)
+    for x in texts:
+        learner.read(x)
+    learner.flush()
+    want = np.zeros_like(learner.counts)
+    _, _, bit, _, slots = reading.bits(reading.cells()[0])
+    cells = len(bit)
+    _, _, bit, _, slots = reading.bits(np.arange(len(reading.tokens)))
+    for k in range(lm_scoring.ORDERS):
+        np.add.at(want[k], (slots[k], bit), 1)
+    assert np.array_equal(learner.counts, want) and sum(predicted) < 0.7 * cells
+    model, _ = fitted([" ".join(words)] * 3)
+    predicted.clear()
+    model.running(reading, 5, np.zeros(5, np.int64))
+    assert sum(predicted) < 0.7 * len(bit)
+
+
 def test_decontamination(spark):
     item = "What is the tallest mountain of the whole wide world as measured from the level of the sea? It is Mount Everest in Nepal."
     other = "Name the longest river that flows through the southern part of the old continent. The answer is the Nile."
