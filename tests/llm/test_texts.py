@@ -374,6 +374,24 @@ def test_words_that_begin_alike_share_their_bits(monkeypatch):
     assert sum(predicted) < 0.7 * len(bit)
 
 
+def test_few_and_many_bytes_are_grouped_alike(monkeypatch):
+    """Groups of equal beginnings are the same with whole hashes, which many bytes take, and first bytes stand first."""
+    r = random.Random(9)
+    tokens = [bytes(r.choices(b"abc", k=r.randint(0, 6))) for _ in range(3000)]
+    places, found = lm_scoring.Places(tokens, np.array([r.randint(0, 2) for _ in tokens], np.uint64)), []
+    lead = places.lead.tolist()
+    upto = [(t + b" ")[: k + 1] for t in tokens for k in range(len(t) + 1)]
+    for few in (1 << 16, 0):
+        monkeypatch.setattr(lm_scoring, "FEW", few)
+        order, starts = places.alike()
+        assert (np.diff(lm_scoring._LONG[places.data[order]].astype(int)) >= 0).all()
+        found.append({tuple(x.tolist()) for x in np.split(order, starts[1:])})
+    want = defaultdict(list)
+    for k, key in enumerate(zip(lead, upto)):
+        want[key].append(k)
+    assert found[0] == found[1] == {tuple(x) for x in want.values()}
+
+
 def test_decontamination(spark):
     item = "What is the tallest mountain of the whole wide world as measured from the level of the sea? It is Mount Everest in Nepal."
     other = "Name the longest river that flows through the southern part of the old continent. The answer is the Nile."
