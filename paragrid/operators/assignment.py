@@ -8,7 +8,7 @@ A queue in which all texts serve the lowest number first has one stable outcome,
 proposes to the first text that it may still get, and a text with n places takes its n first proposers. A text that is full of earlier rows is
 closed to a row for good: who holds it can only give way to still earlier ones. Rows to which the same text of one list is the first open one
 share out the places from there by their turn, so that a round serves a whole list at once. Documents in which nobody is turned away
-are settled and leave the rounds. No step gathers a document or the rows that begin alike: rounds are joins on (document, text), (document,
+are settled and leave the rounds; those in which every row finds an equal text never enter them. No step gathers a document or the rows that begin alike: rounds are joins on (document, text), (document,
 beginning, place) and windows. Only the places of one repeated text in one document, as numbers, come together at the end, where the nearest
 free one is found in about logarithmic time.
 """
@@ -74,18 +74,13 @@ def _next(members: DataFrame, listed: DataFrame, full: DataFrame) -> DataFrame:
     return first_open.withColumn("turn", F.col("mark.used") + among).join(slots, ["doc_id", "begin", "turn"]).select("doc_id", "idx", "text", "begin", "to")
 
 
-def find_matches(left: DataFrame, right: DataFrame, text: str = "text", doc: str = "doc_id", order: str = "idx", length: int = 30, least: int = 10) -> DataFrame:
-    """doc_id, idx, match_idx, match_kind (exact, prefix): each left row's partner by the rule of the queue.
-
-    Rows with null or blank texts, and a null document or order, take no part; beginnings shorter than ``least`` characters find equal
-    texts only. Rows of the same order in one document come in no defined turn. Empty tables give an empty result."""
-    a = written(_prepared(left, text, doc, order, length).where("doc_id is not null and idx is not null"), "wanted").where("size > 0")  # a filter before writing would normalize twice
-    b = written(_prepared(right, text, doc, order, length).where("doc_id is not null and idx is not null"), "places").where("size > 0")
+def _in_rounds(a: DataFrame, b: DataFrame, least: int) -> list[DataFrame]:
+    """Frames of doc_id, idx, text, to: the text that each left row gets, by rounds of proposals."""
     texts = b.groupBy("doc_id", "text").agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.first("begin").alias("begin"))
     asked = a.where(F.col("size") >= least).select("doc_id", "begin").distinct()
-    sizes = sorted(r[0] for r in asked.select(F.length("begin")).distinct().collect())  # at most length - least + 1 numbers
-    begins = F.transform(F.filter(F.lit(sizes).cast("array<int>"), lambda n: n <= F.length("begin")), lambda n: F.substring(F.col("begin"), F.lit(1), n))
-    alike = texts.select("doc_id", "text", "n", "first", F.explode(begins).alias("begin")).join(asked, ["doc_id", "begin"])
+    sizes = asked.groupBy("doc_id").agg(F.collect_set(F.length("begin")).alias("sizes"))  # at most length - least + 1 numbers
+    begins = F.transform(F.filter("sizes", lambda n: n <= F.length("begin")), lambda n: F.substring(F.col("begin"), F.lit(1), n))
+    alike = texts.join(sizes, "doc_id").select("doc_id", "text", "n", "first", F.explode(begins).alias("begin")).join(asked, ["doc_id", "begin"])
     listed = written(alike.select("doc_id", F.xxhash64("begin").alias("begin"), (F.row_number().over(Window.partitionBy("doc_id", "begin").orderBy("first")) - 1).alias("place"), "text", "n"), "lists")
     begin = F.when(F.col("size") >= least, F.xxhash64("begin"))
     sized = texts.select("doc_id", F.col("text").alias("to"), "n")
@@ -111,13 +106,33 @@ def find_matches(left: DataFrame, right: DataFrame, text: str = "text", doc: str
         state = written(stay.unionByName(of_list(_next(members, listed, full))), "queue")
         for done in (before, old, judged):
             discard(done)
+    return settled
+
+
+def find_matches(left: DataFrame, right: DataFrame, text: str = "text", doc: str = "doc_id", order: str = "idx", length: int = 30, least: int = 10) -> DataFrame:
+    """doc_id, idx, match_idx, match_kind (exact, prefix): each left row's partner by the rule of the queue.
+
+    Rows with null or blank texts, and a null document or order, take no part; beginnings shorter than ``least`` characters find equal
+    texts only. Rows of the same order in one document come in no defined turn. Empty tables give an empty result."""
+    a = written(_prepared(left, text, doc, order, length).where("doc_id is not null and idx is not null"), "wanted").where("size > 0")  # a filter before writing would normalize twice
+    b = written(_prepared(right, text, doc, order, length).where("doc_id is not null and idx is not null"), "places").where("size > 0")
+    begin = F.when(F.col("size") >= least, F.xxhash64("begin"))
+    sized = b.groupBy("doc_id", "text").agg(F.count("*").alias("n"), F.min("idx").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("idx"))
+    ranked = written(a.select("doc_id", "idx", "text", begin.alias("begin")).withColumn("rank", rank).join(sized, ["doc_id", "text"], "left"), "ranked")
+    contested = written(ranked.where("rank > n or (n is null and begin is not null)").select("doc_id").distinct(), "contested")
+    served = ranked.where("n is not null").join(contested, "doc_id", "left_anti")  # everybody finds an equal text
+    of_these = lambda rows: rows.join(contested, "doc_id", "left_semi")
+    settled = [served.where("n > 1").select("doc_id", "idx", "text", F.col("text").alias("to"))]
+    if not contested.isEmpty():
+        settled += _in_rounds(of_these(a), of_these(b), least)
     held = settled[0]
     for s in settled[1:]:
         held = held.unionByName(s)
     kind = F.when(F.col("text") == F.col("to"), "exact").otherwise("prefix")
     taken = held.select("doc_id", F.col("to").alias("text"), "idx", kind.alias("match_kind"))
     wanted = taken.groupBy("doc_id", "text").agg(F.sort_array(F.collect_list(F.struct("idx", "match_kind"))).alias("wanted"))
-    free = b.groupBy("doc_id", "text").agg(F.sort_array(F.collect_list("idx")).alias("free"))
+    free = b.join(taken.select("doc_id", "text").distinct(), ["doc_id", "text"], "left_semi").groupBy("doc_id", "text").agg(F.sort_array(F.collect_list("idx")).alias("free"))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -131,4 +146,5 @@ def find_matches(left: DataFrame, right: DataFrame, text: str = "text", doc: str
     both = wanted.join(free, ["doc_id", "text"])
     once = both.where(single).select("doc_id", F.col("wanted")[0]["idx"].alias("idx"), F.col("free")[0].alias("match_idx"), F.col("wanted")[0]["match_kind"].alias("match_kind"))
     several = both.where(~single).mapInPandas(assign, f"doc_id {left.schema[doc].dataType.simpleString()}, idx long, match_idx long, match_kind string")
-    return once.unionByName(several)
+    alone = served.where("n = 1").select("doc_id", "idx", F.col("first").alias("match_idx"), F.lit("exact").alias("match_kind"))
+    return alone.unionByName(once).unionByName(several)

@@ -93,6 +93,8 @@ def field_zones(en: Column, fields: Column) -> Column:
 def cut_places(sizes: list[int], text: str, window: int = 20) -> list[int]:
     """Where a text is cut to lie over pieces in proportion to their sizes; cuts move to behind the nearest blank within the window."""
     total, done, places = sum(sizes), 0, [0]
+    if len(sizes) <= 1:
+        return [0, len(text)]
     blanks = [k + 1 for k, c in enumerate(text) if c == " "]
     for size in sizes[:-1]:
         done += size

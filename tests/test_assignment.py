@@ -76,6 +76,18 @@ def test_many_copies_settle_in_few_rounds(spark, monkeypatch):
     assert rounds.count("proposals") <= 6
 
 
+def test_documents_without_contest_enter_no_round(spark, monkeypatch):
+    entered, rounds = [], assignment._in_rounds
+    monkeypatch.setattr(assignment, "_in_rounds", lambda a, b, least: (entered.extend(r["doc_id"] for r in a.select("doc_id").distinct().collect()), rounds(a, b, least))[1])
+    lines = lambda d: [(d, i, f"a line of document {d} that is number {i % 7} of seven") for i in range(20)] + [(d, 20, "short"), (d, 21, " ")]
+    left, right = lines(1) + lines(2) + [(3, 0, "lost")], [(d, 30 - i, t) for d, i, t in lines(1)] + lines(3)
+    assert found(spark, left, right) == by_the_rule(left, right) != []
+    assert entered == [2]  # its lines have lists and no equal texts
+    entered.clear()
+    assert found(spark, lines(1), lines(1)) == by_the_rule(lines(1), lines(1))
+    assert entered == []
+
+
 def test_empty_and_clashing(spark):
     assert found(spark, [], [(1, 0, "a")]) == found(spark, [(1, 0, "a")], []) == []
     left = spark.createDataFrame([(1, 0, "abc", 3, "x")], "doc_id int, idx int, text string, place int, begin string")

@@ -6,10 +6,11 @@ import io
 import re
 import zipfile
 
+import pyarrow as pa
 import pytest
 
 from paragrid.operators import writeback
-from paragrid.sources import markup, packages
+from paragrid.sources import markup, packages, tables
 
 HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:z="urn:z"><w:body>'
 TAIL = "<z:odd  a='1>2' /><w:sectPr/></w:body></w:document>"
@@ -128,3 +129,36 @@ def test_scan_handles_other_prefixes_and_encodings():
     assert x.leaf(leaf, " z<") == (leaf.start, leaf.end, b'<x:t a="&gt;>" xml:space="preserve"> z&lt;</x:t>')
     with pytest.raises(Exception):
         markup.tree(xml.replace(b"UTF-8", b"ISO-8859-1"))
+
+
+def test_kept_texts_are_those_of_the_tree():
+    boxed = "<w:p>" + run("out ") + "<w:r><w:pict><z:box><w:p>" + run("in") + dele("gone") + "<w:r><w:br/><w:cr/></w:r></w:p></z:box></w:pict><w:t>er</w:t><w:br w:type='page'/><w:tab/></w:r></w:p>"
+    moved = '<w:p><w:pPr><w:rPr><w:ins/></w:rPr><w:r><w:t>no</w:t></w:r></w:pPr><w:moveTo>' + run("to") + "<w:del>" + run("x") + "</w:del></w:moveTo><w:moveFrom>" + run("from") + "<w:ins>" + run("y") + "</w:ins></w:moveFrom><w:r><z:t>z</z:t><w:t>a<w:t>b</w:t>c</w:t></w:r><w:t>bare</w:t></w:p>"
+    for part in [HEAD + p + TAIL for p in (PLAIN, ANCHORED, NESTED, LINKED, TRACKED, FOLDING, boxed, moved, "", "<w:p/>")]:
+        xml = part.encode()
+        assert markup.kept_texts(xml) == ["".join(markup.piece(r) for r, kind, _ in markup.own(p) if kind in ("regular", "ins")) for p in markup.paragraphs_of(xml)]
+    for bad in (b"<a>", b'<?xml version="1.0" encoding="latin-1"?><a/>'):
+        with pytest.raises(markup.expat.ExpatError):
+            markup.kept_texts(bad)
+
+
+def test_values_of_nested_columns():
+    rows = [None, [], [{"a": 1, "b": [None, "x"]}, None, {"a": None, "b": None}], [{"a": 2, "b": []}]]
+    column = pa.array(rows, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.list_(pa.string()))])))
+    assert all(tables.python_values(column.slice(at, n)) == column.slice(at, n).to_pylist() for at in range(5) for n in range(5))
+
+
+def test_parts_are_edited_where_their_records_are(spark, tmp_path, monkeypatch):
+    """Edits are no rows that travel to the parts once more, and records of another part of the same letters do not reach it."""
+    def no_rows(*_):
+        raise AssertionError("edits became rows")
+
+    monkeypatch.setattr(markup, "splice", no_rows)
+    monkeypatch.setattr(writeback, "splice", no_rows, raising=False)
+    content = (HEAD + PLAIN.replace("Il ", "In ") + FOLDING + TAIL).encode()
+    parts = spark.createDataFrame([("a", "b\nc", content, None), ("a\nb", "c", content, None), ("d", "e", b"<w", None)], packages.PART)
+    texts = markup.kept_texts(content)
+    records = spark.createDataFrame([("a", "b\nc", 0, texts[0], "first", None, None, None, None), ("d", "e", 0, "x", "y", None, None, None, None), (None, "b", 0, texts[0], "no", None, None, None, None)], RECORD)
+    changed, report = writeback.write_back(parts, records)
+    assert [(r["path"], r["part"], r["error"]) for r in changed.collect()] == [("a", "b\nc", None)]
+    assert sorted(str((r["path"], r["status"])) for r in report.collect()) == ["('a', 'applied')", "('d', 'missing')", "(None, 'missing')"]
